@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstone.llm import decontam, langid, minhash, quality, toxicity
+from loamstone.llm import decontam, langid, lz, minhash, quality, token_counts, toxicity
+from loamstone.llm.common import shared_dir
 from loamstone.llm.samples import fold
 
 
@@ -15,6 +16,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Where the public vocabulary files lie; every executor has them.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """Totals after the first load of documents and a replay of it, which must change nothing."""
+    kinds = [token_counts.ByteBpe("byte_bpe_50k", f"{tokenizers}/byte_bpe_50k.tiktoken"), token_counts.Words()]
+    ledger = token_counts.TokenLedger(spark, shared_dir(spark, "token-ledger"))
+    load = token_counts.inserts(token_counts.count_tokens(_table(spark, sf_dir, "documents"), kinds))
+    for _ in range(2):
+        ledger.commit("load", load)
+    return ledger.totals()
+
+
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz.edit_likeness(_table(spark, sf_dir, "documents"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.digest(decontam.find_contamination(docs, _table(spark, sf_dir, "benchmark")))
@@ -49,7 +68,7 @@ def toxicity_text(spans: str):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_benchmark_decontamination, op7_quality_classifier, op8_language_id, op9_minhash_near_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op3_token_counts, op4_document_fingerprints, op6_benchmark_decontamination, op7_quality_classifier, op8_language_id, op9_minhash_near_dedup, op10_toxicity)}
 
 
 _LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
