@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstone.llm import decontam, langid, lz, minhash, quality, token_counts, toxicity
+from loamstone.llm import decontam, langid, lz, minhash, quality, spm, token_counts, toxicity
 from loamstone.llm.common import shared_dir
 from loamstone.llm.samples import fold
 
@@ -20,6 +20,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 TOKENIZERS = "/opt/tokenizers"
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    return spm.round_trip(_table(spark, sf_dir, "documents"), f"{tokenizers}/piece_bpe_32k.model")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     """Totals after the first load of documents and a replay of it, which must change nothing."""
     kinds = [token_counts.ByteBpe("byte_bpe_50k", f"{tokenizers}/byte_bpe_50k.tiktoken"), token_counts.Words()]
@@ -68,7 +72,7 @@ def toxicity_text(spans: str):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op4_document_fingerprints, op6_benchmark_decontamination, op7_quality_classifier, op8_language_id, op9_minhash_near_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op2_sentencepiece, op3_token_counts, op4_document_fingerprints, op6_benchmark_decontamination, op7_quality_classifier, op8_language_id, op9_minhash_near_dedup, op10_toxicity)}
 
 
 _LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
