@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstone.llm import decontam, langid, lz, minhash, quality, spm, token_counts, toxicity
+from loamstone.llm import decontam, langid, lm, lz, minhash, quality, spm, token_counts, toxicity
 from loamstone.llm.common import shared_dir
 from loamstone.llm.samples import fold
 
@@ -38,6 +38,11 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz.edit_likeness(_table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score(docs, lm.train(docs.where(~lm.held_out_tenth())), held_out=lm.held_out_tenth())
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.digest(decontam.find_contamination(docs, _table(spark, sf_dir, "benchmark")))
@@ -72,7 +77,7 @@ def toxicity_text(spans: str):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_token_counts, op4_document_fingerprints, op6_benchmark_decontamination, op7_quality_classifier, op8_language_id, op9_minhash_near_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op2_sentencepiece, op3_token_counts, op4_document_fingerprints, op5_lm_scoring, op6_benchmark_decontamination, op7_quality_classifier, op8_language_id, op9_minhash_near_dedup, op10_toxicity)}
 
 
 _LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
