@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstone.llm import decontam, langid, lm, lz, minhash, quality, spm, token_counts, toxicity
+from loamstone.llm import decontam, langid, lm, lz, minhash, pii, quality, spm, token_counts, toxicity
 from loamstone.llm.common import shared_dir
 from loamstone.llm.samples import fold
 
@@ -20,6 +20,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 TOKENIZERS = "/opt/tokenizers"
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.transform("base_spans", lambda z: z["kind"])
+    count = {f"n_{k}": (F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long") for k in pii.BASE}
+    texts = {"base_sha256": F.sha2(pii.spans_text("base_spans"), 256), "spans": pii.spans_text(F.concat("base_spans", "more_spans"))}
+    return found.withColumns(count | texts).select("doc_id", *count, *texts)
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     return spm.round_trip(_table(spark, sf_dir, "documents"), f"{tokenizers}/piece_bpe_32k.model")
 
@@ -77,7 +85,7 @@ def toxicity_text(spans: str):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_token_counts, op4_document_fingerprints, op5_lm_scoring, op6_benchmark_decontamination, op7_quality_classifier, op8_language_id, op9_minhash_near_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_pii, op2_sentencepiece, op3_token_counts, op4_document_fingerprints, op5_lm_scoring, op6_benchmark_decontamination, op7_quality_classifier, op8_language_id, op9_minhash_near_dedup, op10_toxicity)}
 
 
 _LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
