@@ -197,15 +197,15 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", bound:
     return fit(x, (np.array(got.column("label").to_pylist(), float) > 0).astype(float))
 
 
-def score(docs: DataFrame, model: Gam, *, text_col: str = "text") -> DataFrame:
-    """docs with score and predicted (columns of these names are replaced)."""
-    base = docs.drop("score", "predicted")
+def score(docs: DataFrame, model: Gam, *, text_col: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with a score and a prediction under `names` (columns of these names are replaced)."""
+    base = docs.drop(*names)
     kept = base.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text_col):
                 s = model.score(features(batch.column(text_col)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*kept, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*kept, *names])
 
-    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())]))
