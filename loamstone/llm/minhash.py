@@ -11,14 +11,18 @@ values a band and 32 bands, a pair at J = 0.75 shares none with probability
 Steps:
  1. One Arrow pass makes each text's shingle set, the set's digest and signature.
  2. Documents with equal sets form a class; its smallest id stands for it.
- 3. Every band bucket links its members to its smallest id. No bucket emits all
-    its pairs: links are confirmed on the full 64-bit shingle sets and contracted
-    into components.
- 4. Buckets that still span several components are looked at again: pairs across
-    components whose signatures come near the threshold are confirmed as well.
-    Large buckets are cut into blocks of members, and blocks are compared two by
-    two in numpy; only the pairs that pass leave the task. This makes step 3
-    lossless: pairs inside one component need no check.
+ 3. Every band bucket offers a link from each member to its smallest id. Offers
+    whose signatures come near the threshold are confirmed on the full 64-bit
+    shingle sets, and the links contracted into components.
+ 4. Buckets that still span several components are looked at again. Signatures
+    are compared in numpy, block of members against block, and components with
+    near members are gathered into clusters; a task returns a spanning forest of
+    them, never its pairs.
+ 5. Clusters are dealt out with their shingle sets, again block against block, and
+    every pair of different components that comes near the threshold is confirmed
+    on the full sets. A task returns a spanning forest of the links.
+Pairs inside one component need no check, so steps 4 and 5 lose no link that any
+band shows. All that leaves a task is in proportion to its members.
 
 Defined results: a null or wordless text has an empty set, links with nothing
 and is kept. A text of one to four words has one shingle, its whole sequence.
@@ -42,6 +46,8 @@ from loamstone.llm.components import components
 SHINGLE, PERMUTATIONS, ROWS = 5, 64, 4
 THRESHOLD = 75  # in hundredths
 BLOCK = 1024
+#: Ids broadcast at most: 2 million, about 32 MB.
+BROADCAST_IDS = 2_000_000
 _rng = np.random.Generator(np.random.PCG64(977))
 _A = _rng.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -89,29 +95,69 @@ def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, class binary, signature binary")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full shingle sets meet the threshold."""
+def _only(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows of docs with one of the ids (distinct, in id_col).
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Up to BROADCAST_IDS ids (16 bytes each) are broadcast, so texts stay where they
+    are; more are joined by a shuffle.
+    """
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, id_col, "left_semi")
+
+
+def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, grams) of the wanted ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text_col):
                 data, offsets = shingle_sets(batch, text_col)
-                yield pa.RecordBatch.from_arrays([batch.column(id_col).cast(pa.int64()), pa.array([data[s:e].tobytes() for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())], names=["i", "grams"])
+                yield pa.RecordBatch.from_arrays([batch.column(id_col).cast(pa.int64()), pa.array([data[s:e].tobytes() for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())], names=["id", "grams"])
+
+    return _only(docs.select(id_col, text_col), ids.select(F.col("id").alias(id_col)).distinct(), id_col).mapInArrow(run, "id long, grams binary")
+
+
+def _words(column: pa.Array, kind: type) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), kind) for x in column]
+
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _judge(pairs: DataFrame, columns: list[str], keep) -> DataFrame:
+    """The pairs (a, b) whose two binary columns `keep` accepts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = np.zeros(batch.num_rows, bool)
-            for k, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(p), len(q)) >= threshold * max(len(p), len(q)):
-                    common = len(np.intersect1d(p, q, assume_unique=True))
-                    good[k] = 100 * common >= threshold * (len(p) + len(q) - common)
+            good = np.fromiter((keep(x.as_buffer(), y.as_buffer()) for x, y in zip(*(batch.column(c) for c in columns), strict=True)), bool, batch.num_rows)
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    wanted = pairs.select(F.col("a").alias(id_col)).union(pairs.select(F.col("b").alias(id_col))).distinct()
-    held = docs.select(id_col, text_col).join(wanted, id_col, "left_semi").mapInArrow(sets, "i long, grams binary")
-    both = pairs.join(held.select(F.col("i").alias("a"), F.col("grams").alias("x")), "a").join(held.select(F.col("i").alias("b"), F.col("grams").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
+    return pairs.select("a", "b", *columns).mapInArrow(run, "a long, b long")
+
+
+def _floor(threshold: int) -> int:
+    """Agreeing signature values under which a pair is not looked at.
+
+    The estimate's standard error at 0.75 is below 0.04; this is over four of them.
+    """
+    return int(max(0.0, threshold / 100 - 0.17) * 2 * PERMUTATIONS)
+
+
+def _confirm(pairs: DataFrame, signed: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: int) -> DataFrame:
+    """Those of the pairs (a, b) whose full shingle sets meet the threshold. signed: (id, signature)."""
+    floor = _floor(threshold)
+
+    def near(x: pa.Buffer, y: pa.Buffer) -> bool:
+        return int((np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)).sum()) >= floor
+
+    def alike(x: pa.Buffer, y: pa.Buffer) -> bool:
+        p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        common = len(np.intersect1d(p, q, assume_unique=True))
+        return 100 * common >= threshold * (len(p) + len(q) - common)
+
+    def both(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
+        return left.join(right.select(F.col("id").alias("a"), F.col(column).alias("x")), "a").join(right.select(F.col("id").alias("b"), F.col(column).alias("y")), "b")
+
+    some = stored(_judge(both(pairs, signed, "signature"), ["x", "y"], near), "minhash-near")
+    sets = _sets(docs, some.select(F.col("a").alias("id")).union(some.select(F.col("b").alias("id"))), id_col, text_col)
+    return _judge(both(some, sets, "grams"), ["x", "y"], alike)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -135,38 +181,107 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def _across(members: DataFrame, threshold: int, values: int, block: int) -> DataFrame:
-    """Pairs of one bucket but different components whose signatures come near the threshold.
+class _Forest:
+    """Union-find over the components that a task sees."""
 
-    The estimate's standard error at 0.75 is below 0.04; pairs under the
-    threshold by 0.25 (over six of them) are left out before the full check.
-    """
-    floor = max(0.0, threshold / 100 - 0.25) * values
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-    cut = members.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    def __init__(self, labels: np.ndarray) -> None:
+        self.names, self.of = np.unique(labels, return_inverse=True)
+        self.root = np.arange(len(self.names))
+
+    def roots(self) -> np.ndarray:
+        """Root of each member's component."""
+        while True:
+            up = self.root[self.root]
+            if (up == self.root).all():
+                return self.root[self.of]
+            self.root = up
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = (self._find(k) for k in (x, y))
+        self.root[max(x, y)] = min(x, y)
+        return x != y
+
+    def _find(self, k: int) -> int:
+        while self.root[k] != k:
+            k = int(self.root[k])
+        return k
+
+
+def _blocks(members: DataFrame, key: str, block: int) -> DataFrame:
+    """members (key, id, ...) dealt to every pair of blocks (p, q) of their group, sorted by it."""
+    sizes = members.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+    cut = members.join(sizes, key).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     sides = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sides = sides.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "component", "signature")
-    dealt = sides.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    dealt = sides.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).drop("other", "blocks", "n")
+    return dealt.repartition(key, "p", "q").sortWithinPartitions(key, "p", "q")
+
+
+def _near(t: pa.Table, floor: int) -> Iterator[tuple[int, np.ndarray, _Forest]]:
+    """For each left member: the right members of other components near it. The forest may be joined on meanwhile."""
+    own = t.column("own").to_numpy()
+    sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint32).reshape(len(own), -1)
+    ids, forest = t.column("id").to_numpy(), _Forest(t.column("component").to_numpy())
+    right = np.flatnonzero(own == t.column("q")[0].as_py())
+    roots = forest.roots()
+    if len(forest.names) < 2:
+        return
+    for i in np.flatnonzero(own == t.column("p")[0].as_py()).tolist():
+        far = right[(roots[right] != roots[i]) & ((ids[right] > ids[i]) | (own[right] != own[i]))]
+        if len(far):
+            near = far[(sig[far] == sig[i]).sum(axis=1) >= floor]
+            if len(near):
+                yield i, near, forest
+                roots = forest.roots()
+
+
+def _clusters(members: DataFrame, threshold: int, block: int) -> DataFrame:
+    """Edges (a, b) between components of one bucket that have near members; a spanning forest a task. members: (key, id, component, signature)."""
+    floor = _floor(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, ["key", "p", "q"]):
-            ids, comp, own = (t.column(c).to_numpy() for c in ("id", "component", "own"))
-            sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint32).reshape(len(ids), -1)
-            right = np.flatnonzero(own == t.column("q")[0].as_py())
-            left = np.flatnonzero(own == t.column("p")[0].as_py())
             a, b = [], []
-            for i in left.tolist():
-                far = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | (own[right] != own[i]))]
-                if len(far):
-                    near = far[(sig[far] == sig[i]).sum(axis=1) >= floor]
-                    a.append(np.minimum(ids[near], ids[i]))
-                    b.append(np.maximum(ids[near], ids[i]))
+            for i, near, forest in _near(t, floor):
+                for j in near.tolist():
+                    x, y = int(forest.of[i]), int(forest.of[j])
+                    if forest.join(x, y):
+                        a.append(int(forest.names[x]))
+                        b.append(int(forest.names[y]))
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
+    dealt = _blocks(members, "key", block).select("key", "p", "q", "own", "id", "component", "signature")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _links(members: DataFrame, threshold: int, block: int) -> DataFrame:
+    """Links (a, b) between different components of a cluster; a spanning forest a task. members: (cluster, id, component, signature, grams)."""
+    floor = _floor(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, ["cluster", "p", "q"]):
+            ids = t.column("id").to_numpy()
+            grams = _words(t.column("grams"), np.uint64)
+            size = np.array([len(g) for g in grams])
+            a, b = [], []
+            for i, near, forest in _near(t, floor):
+                near = near[100 * np.minimum(size[near], size[i]) >= threshold * np.maximum(size[near], size[i])]
+                if not len(near):
+                    continue
+                every = np.concatenate([grams[j] for j in near.tolist()])
+                at = np.minimum(np.searchsorted(grams[i], every), size[i] - 1)
+                common = np.add.reduceat((grams[i][at] == every).astype(np.int64), np.cumsum(size[near]) - size[near])
+                for j in near[100 * common >= threshold * (size[near] + size[i] - common)].tolist():
+                    if forest.join(int(forest.of[i]), int(forest.of[j])):
+                        a.append(min(int(ids[i]), int(ids[j])))
+                        b.append(max(int(ids[i]), int(ids[j])))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    dealt = _blocks(members, "cluster", block).select("cluster", "p", "q", "own", "id", "component", "signature", "grams")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, *, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     width = 4 * rows
@@ -180,14 +295,17 @@ def near_duplicates(docs: DataFrame, *, threshold: int = THRESHOLD, id_col: str
     buckets = spread.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
     members = stored(spread.join(buckets, "key"), "minhash-buckets")
     stars = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = stored(_confirm(stored(stars, "minhash-stars"), docs, id_col, text_col, threshold), "minhash-links")
+    signed = classes.select(F.col("rep").alias("id"), "signature")
+    links = stored(_confirm(stored(stars, "minhash-stars"), signed, docs, id_col, text_col, threshold), "minhash-links")
     found = components(links, "a", "b", "minhash-components")
 
     here = members.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = here.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    open_ = here.join(mixed, "key").join(classes.select(F.col("rep").alias("id"), "signature"), "id")
-    pairs = stored(_across(open_, threshold, 2 * PERMUTATIONS, block), "minhash-across")
-    more = stored(_confirm(pairs, docs, id_col, text_col, threshold), "minhash-more")
+    edges = stored(_clusters(here.join(mixed, "key").join(signed, "id"), threshold, block), "minhash-near-components")
+    clusters = components(edges, "a", "b", "minhash-clusters").select(F.col("node").alias("component"), F.col("component").alias("cluster"))
+    parts = signed.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")).join(clusters, "component")
+    parts = stored(parts, "minhash-parts")
+    more = stored(_links(parts.join(_sets(docs, parts.select("id"), id_col, text_col), "id"), threshold, block), "minhash-more")
     if not more.isEmpty():
         found = components(links.union(more), "a", "b", "minhash-components")
 
@@ -198,5 +316,6 @@ def near_duplicates(docs: DataFrame, *, threshold: int = THRESHOLD, id_col: str
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """docs without those that are near copies of a row with a smaller id."""
-    gone = near_duplicates(docs, id_col=id_col, **options).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    gone = stored(near_duplicates(docs, id_col=id_col, **options).where("not kept").select(F.col("doc_id").alias(id_col)).distinct(), "minhash-gone")
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, id_col, "left_anti").select(*docs.columns)
