@@ -41,4 +41,5 @@ def components(edges: DataFrame, a: str, b: str, name: str = "components", most:
         was = now
     else:
         raise RuntimeError("components did not settle")
-    return held.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    roots = held.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return held.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
