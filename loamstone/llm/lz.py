@@ -110,7 +110,7 @@ def _neighbours(docs: DataFrame, per_partition: int) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = parts * per_partition
-    cuts = sorted(set(docs.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.25 / n)))
+    cuts = sorted(set(docs.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.25 / n))) or [0.0]
     bucket = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="at", outputCol="bucket", handleInvalid="keep")
     last = len(cuts) + 1
     dealt = bucket.transform(docs.withColumn("at", F.col("doc_id").cast("double"))).withColumn("r", F.when(F.col("at").isNull(), last).otherwise(len(cuts) - F.col("bucket")).cast("int")).select("r", "doc_id", "text")

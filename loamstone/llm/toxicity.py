@@ -270,9 +270,12 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", bound: in
     first = sample.groupBy("near").agg(F.min(F.struct("doc_id", "label", "text")).alias("r")).select("r.*").persist()
     try:
         totals = first.agg(F.count("*").alias("n"), F.sum((F.col("label") > 0).cast("long")).alias("t")).first()
-        rate = totals.t / totals.n
+        if not totals.n:  # none of the labelled texts is here
+            return model
+        rate = (totals.t or 0) / totals.n
         # Chernoff's bound on the chance of as many toxic texts: n times the divergence of their share from the sample's.
         share = F.least(F.col("t") / F.col("n"), F.lit(1 - 1e-12))
+        rate = max(rate, 0.5 / totals.n)
         evidence = F.col("n") * (share * F.log(share / rate) + (1 - share) * F.log((1 - share) / max(1 - rate, 1e-9)))
         cues = _cue_counts(first).where((share >= MIN_SHARE) & (share > rate) & (evidence >= MIN_EVIDENCE)).orderBy(F.desc("t"), "h").limit(MAX_CUES).toArrow()
         model.cues = np.sort(cues.column("h").to_numpy().view(np.uint64))
