@@ -111,10 +111,12 @@ class IvfIndex:
     """Inverted file: coarse centres fitted on a bounded sample, every row filed under its nearest.
 
     Rows are dealt by list and a hash of the id, so a long list is many partitions.
-    A query probes the lists of its nprobe nearest centres.
+    A query probes the lists of its nprobe nearest centres; nprobe is set when the
+    index is made, so that the sample's own exact neighbours are found at the
+    `target` rate.
     """
 
-    def __init__(self, vectors: DataFrame, lists: int = 32, sample: int = 50_000, rounds: int = 15, seed: int = 11) -> None:
+    def __init__(self, vectors: DataFrame, lists: int = 32, sample: int = 50_000, rounds: int = 15, target: float = 0.95, seed: int = 11) -> None:
         self.spark = vectors.sparkSession
         chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()
         x = _unit(_matrix(chosen.column("embedding").combine_chunks()))
@@ -127,8 +129,19 @@ class IvfIndex:
                     c[k] = x[near == k].mean(axis=0)
             c = _unit(c)
         self.centres = c
+        self.nprobe = self._probes(x, target)
         self.filed = self._file(vectors, 1).withColumnRenamed("list", "lists").withColumn("list", F.element_at("lists", 1)).drop("lists")
 
+    def _probes(self, x: np.ndarray, target: float, queries: int = 500, k: int = 10) -> int:
+        """Lists to probe: the rank, among a query's lists, under which the target share of its neighbours lies."""
+        if len(x) < 2:
+            return 1
+        q = x[: min(queries, len(x))]
+        near = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, 1 : k + 1]
+        place = np.argsort(np.argsort(-(q @ self.centres.T), axis=1, kind="stable"), axis=1)
+        home = (x @ self.centres.T).argmax(axis=1)
+        return int(np.quantile(np.take_along_axis(place, home[near], axis=1), target, method="higher")) + 1
+
     def _file(self, vectors: DataFrame, n: int) -> DataFrame:
         c = self.centres
 
@@ -140,13 +153,14 @@ class IvfIndex:
 
         return vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id long, embedding array<float>, list array<int>")
 
-    def search(self, queries: DataFrame, k: int = 10, nprobe: int = 8) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 10, nprobe: int | None = None) -> DataFrame:
+        nprobe = nprobe or self.nprobe
         q = self._file(queries, nprobe).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.explode("list").alias("list"))
         both = self.filed.join(broadcast_if_small(q, QUERY_BLOCK * nprobe), "list").where("vec_id <> query_id")
         return top(both.select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), DIGITS).alias("sim")), k)
 
 
-def ann_lsh(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 12, bits: int = 5, seed: int = 5) -> DataFrame:
+def ann_lsh(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 64, bits: int = 6, seed: int = 5) -> DataFrame:
     """Random-hyperplane hashing: candidates share a signature in one table; candidates are then ranked exactly."""
     rng = np.random.Generator(np.random.PCG64(seed))
     dim = len(vectors.select("embedding").first()[0])
