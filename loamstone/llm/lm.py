@@ -2,9 +2,9 @@
 
 Counting is Spark's: each task turns its texts into numbers, sums equal n-grams
 and deals the sums to hash ranges ("shards"), where they are merged, sorted and
-written to the shared folder as arrays: sorted 64-bit hashes, then counts. Shards
-grow in number with spark.sql.shuffle.partitions, and as n-grams are dealt by
-hash, one text, source or word cannot make one shard large. Workers memory-map
+written to the shared folder as arrays: sorted 64-bit hashes, then counts. There are as
+many shards as spark.sql.shuffle.partitions, one a task, and as n-grams are dealt
+by hash, one text, source or word cannot make one shard large. Workers memory-map
 the shards and look n-grams up in sorted order, so the model is neither sent to
 the driver nor broadcast, and a machine holds one copy of the pages it uses.
 
@@ -88,20 +88,25 @@ def _map(path: str) -> np.ndarray:
         return np.frombuffer(f.read(), np.uint8)
 
 
+def _cuts(shards: int) -> np.ndarray:
+    """First key of every shard but the first: equal ranges of the 64-bit hashes."""
+    return np.array([-(-(s << 64) // shards) for s in range(1, shards)], np.uint64)
+
+
 class Table:
     """Shards of sorted uint64 keys, each with uint32 columns after them."""
 
-    def __init__(self, path: str, bits: int, sizes: list[int], columns: int) -> None:
-        self.path, self.bits, self.columns = path, bits, columns
+    def __init__(self, path: str, sizes: list[int], columns: int) -> None:
+        self.path, self.columns = path, columns
         self.base = np.cumsum([0, *sizes])
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """Global places of sorted keys (-1: absent) and their columns (0 there)."""
         place = np.full(len(keys), -1, np.int64)
         out = [np.zeros(len(keys), np.uint32) for _ in range(self.columns)]
-        bounds = np.searchsorted(keys, np.arange(1, 1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits))
-        cut = [0, *bounds.tolist(), len(keys)]
-        for s in range(1 << self.bits):
+        shards = len(self.base) - 1
+        cut = [0, *np.searchsorted(keys, _cuts(shards)).tolist(), len(keys)]
+        for s in range(shards):
             a, b, n = cut[s], cut[s + 1], int(self.base[s + 1] - self.base[s])
             if a == b or not n:
                 continue
@@ -132,12 +137,11 @@ def _groups_of_slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, n
         yield part, np.concatenate([np.zeros(0, np.uint64), *words]), np.concatenate(rows)
 
 
-def _chunks(keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
+def _chunks(keys: np.ndarray, counts: np.ndarray, shards: int) -> pa.RecordBatch:
     """Sorted keys and counts as one row a shard."""
-    bounds = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-    cut = [0, *bounds.tolist(), len(keys)]
+    cut = [0, *np.searchsorted(keys, _cuts(shards)).tolist(), len(keys)]
     small = np.minimum(counts, 0xFFFFFFFF).astype(np.uint32)
-    some = [s for s in range(1 << bits) if cut[s] < cut[s + 1]]
+    some = [s for s in range(shards) if cut[s] < cut[s + 1]]
     return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([keys[cut[s] : cut[s + 1]].tobytes() for s in some], pa.binary()), pa.array([small[cut[s] : cut[s + 1]].tobytes() for s in some], pa.binary())], names=["shard", "k", "n"])
 
 
@@ -158,7 +162,8 @@ _CHUNK = "shard int, k binary, n binary"
 
 
 def _dealt(chunks: DataFrame, parts: int) -> DataFrame:
-    return chunks.repartition(parts, "shard").sortWithinPartitions("shard")
+    """Every shard to the partition of its number; what is not a shard's own (under 0, a few rows) to the first."""
+    return chunks.repartitionById(parts, F.greatest("shard", F.lit(0))).sortWithinPartitions("shard")
 
 
 def _ids(table: Table, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,10 +201,10 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
 class Model:
     """What scoring needs: where the shards are, their sizes, and a few totals. Small, whatever the corpus."""
 
-    def __init__(self, path: str, bits: int, word_sizes: list[int], bigram_sizes: list[int], texts: int, tokens: int, cc: list[int], ac: list[int], kinds: int, special: dict[int, tuple[int, int, int, int]]) -> None:
-        self.words = Table(f"{path}/words", bits, word_sizes, 1)
+    def __init__(self, path: str, word_sizes: list[int], bigram_sizes: list[int], texts: int, tokens: int, cc: list[int], ac: list[int], kinds: int, special: dict[int, tuple[int, int, int, int]]) -> None:
+        self.words = Table(f"{path}/words", word_sizes, 1)
         self.stats = f"{path}/stats"
-        self.bigrams = Table(f"{path}/bigrams", bits, bigram_sizes, 1)
+        self.bigrams = Table(f"{path}/bigrams", bigram_sizes, 1)
         self.texts, self.tokens, self.special = texts, tokens, special
         self.vocabulary = int(sum(word_sizes)) + (1 if texts else 0)
         self.kinds = kinds
@@ -249,7 +254,6 @@ class Model:
 def train(docs: DataFrame, *, text_col: str = "text") -> Model:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(2, (4 * parts - 1).bit_length())
     path = shared_dir(spark, "kneser-ney")
     texts = docs.select(F.col(text_col).alias("text"))
 
@@ -261,7 +265,7 @@ def train(docs: DataFrame, *, text_col: str = "text") -> Model:
                 keys.append(k)
                 counts.append(c)
             if keys:
-                yield _chunks(*_merged(keys, counts), bits)
+                yield _chunks(*_merged(keys, counts), parts)
 
     def merge(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,13 +277,13 @@ def train(docs: DataFrame, *, text_col: str = "text") -> Model:
         return run
 
     made = _dealt(texts.mapInArrow(words, _CHUNK), parts).mapInArrow(merge(f"{path}/words"), "shard int, size long, total long").collect()
-    sizes = [0] * (1 << bits)
+    sizes = [0] * parts
     for r in made:
         sizes[r.shard] = r.size
     n_texts, n_words = texts.count(), sum(r.total for r in made)
     if sum(sizes) + FIRST >= 1 << 32:
         raise ValueError("more than 2**32 distinct words: numbers of words no longer pack in pairs")
-    table = Table(f"{path}/words", bits, sizes, 1)
+    table = Table(f"{path}/words", sizes, 1)
     base = table.base + FIRST
 
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +295,7 @@ def train(docs: DataFrame, *, text_col: str = "text") -> Model:
                 keys.append(k)
                 counts.append(c)
             if keys:
-                yield _chunks(*_merged(keys, counts), bits)
+                yield _chunks(*_merged(keys, counts), parts)
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Writes bigram shards; sends what they say of each word to the word's shard (-1: special words, -2: the shard itself)."""
@@ -337,7 +341,7 @@ def train(docs: DataFrame, *, text_col: str = "text") -> Model:
 
     counted = _dealt(texts.mapInArrow(bigrams, _CHUNK), parts).mapInArrow(stats, _CHUNK)
     told = _dealt(counted, parts).mapInArrow(gather, "kind string, v array<long>").collect()
-    pair_sizes, cc, ac, special = [0] * (1 << bits), [0] * 4, [0] * 5, {}
+    pair_sizes, cc, ac, special = [0] * parts, [0] * 4, [0] * 5, {}
     for r in told:
         if r.kind == "bigrams":
             pair_sizes[r.v[0]] = r.v[1]
@@ -346,7 +350,7 @@ def train(docs: DataFrame, *, text_col: str = "text") -> Model:
             ac = [x + y for x, y in zip(ac, r.v[:5], strict=True)]
             if r.kind == "special":
                 special = {k: tuple(r.v[6 + 4 * k : 10 + 4 * k]) for k in range(FIRST)}
-    return Model(path, bits, sizes, pair_sizes, n_texts, n_words + n_texts, cc, ac, sum(pair_sizes), special)
+    return Model(path, sizes, pair_sizes, n_texts, n_words + n_texts, cc, ac, sum(pair_sizes), special)
 
 
 def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
