@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamstone.llm.common import ALNUM, lowered, row_words, slices, span_hashes, text_buffer, word_spans
+from loamstone.llm.common import ALNUM, lowered, row_words, slices, span_hashes, text_buffer, tidy, word_spans
 
 WINDOW = 13
 #: A document is contaminated from one word in so many.
@@ -254,7 +254,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = W
                     k = batch.schema.get_field_index(text_col)
                     yield batch.set_column(k, batch.schema.field(k), pa.array(texts, batch.schema.field(k).type))
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(tidy(run), schema)
 
 
 def digest(items: DataFrame) -> DataFrame:

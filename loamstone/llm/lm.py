@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamstone.llm.common import NONSPACE, row_words, shared_dir, slices
+from loamstone.llm.common import NONSPACE, row_words, shared_dir, slices, tidy
 from loamstone.llm.samples import fold
 
 END, BOS, UNK, FIRST = 0, 1, 2, 3
@@ -276,7 +276,7 @@ def train(docs: DataFrame, *, text_col: str = "text") -> Model:
 
         return run
 
-    made = _dealt(texts.mapInArrow(words, _CHUNK), parts).mapInArrow(merge(f"{path}/words"), "shard int, size long, total long").collect()
+    made = _dealt(texts.mapInArrow(tidy(words), _CHUNK), parts).mapInArrow(tidy(merge(f"{path}/words")), "shard int, size long, total long").collect()
     sizes = [0] * parts
     for r in made:
         sizes[r.shard] = r.size
@@ -339,8 +339,8 @@ def train(docs: DataFrame, *, text_col: str = "text") -> Model:
                 _write(f"{path}/stats/{shard}", [np.minimum(out, 0xFFFFFFFF).astype(np.uint32)])
             yield pa.RecordBatch.from_arrays([pa.array(["special" if shard < 0 else "words"]), pa.array([[int(x) for x in told[0]]], pa.list_(pa.int64()))], names=["kind", "v"])
 
-    counted = _dealt(texts.mapInArrow(bigrams, _CHUNK), parts).mapInArrow(stats, _CHUNK)
-    told = _dealt(counted, parts).mapInArrow(gather, "kind string, v array<long>").collect()
+    counted = _dealt(texts.mapInArrow(tidy(bigrams), _CHUNK), parts).mapInArrow(tidy(stats), _CHUNK)
+    told = _dealt(counted, parts).mapInArrow(tidy(gather), "kind string, v array<long>").collect()
     pair_sizes, cc, ac, special = [0] * parts, [0] * 4, [0] * 5, {}
     for r in told:
         if r.kind == "bigrams":
@@ -396,7 +396,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.lit(False) if held_out is None else held_out).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def held_out_tenth(id_col: str = "doc_id") -> Column:

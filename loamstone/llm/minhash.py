@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamstone.llm.common import NONSPACE, ngram_hashes, row_words, slices, stored
+from loamstone.llm.common import NONSPACE, ngram_hashes, row_words, slices, stored, tidy
 from loamstone.llm.components import components
 
 SHINGLE, PERMUTATIONS, ROWS = 5, 64, 4
@@ -92,7 +92,7 @@ def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 cls = [hashlib.blake2b(sets[s:e].tobytes(), digest_size=16).digest() for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(id_col).cast(pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array(cls, pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())], names=["doc_id", "n_shingles", "class", "signature"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, class binary, signature binary")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), "doc_id long, n_shingles long, class binary, signature binary")
 
 
 def _only(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
@@ -114,7 +114,7 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFr
                 data, offsets = shingle_sets(batch, text_col)
                 yield pa.RecordBatch.from_arrays([batch.column(id_col).cast(pa.int64()), pa.array([data[s:e].tobytes() for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())], names=["id", "grams"])
 
-    return _only(docs.select(id_col, text_col), ids.select(F.col("id").alias(id_col)).distinct(), id_col).mapInArrow(run, "id long, grams binary")
+    return _only(docs.select(id_col, text_col), ids.select(F.col("id").alias(id_col)).distinct(), id_col).mapInArrow(tidy(run), "id long, grams binary")
 
 
 def _words(column: pa.Array, kind: type) -> list[np.ndarray]:
@@ -129,7 +129,7 @@ def _judge(pairs: DataFrame, columns: list[str], keep) -> DataFrame:
             good = np.fromiter((keep(x.as_buffer(), y.as_buffer()) for x, y in zip(*(batch.column(c) for c in columns), strict=True)), bool, batch.num_rows)
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    return pairs.select("a", "b", *columns).mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", *columns).mapInArrow(tidy(run), "a long, b long")
 
 
 def _floor(threshold: int) -> int:
@@ -251,7 +251,7 @@ def _clusters(members: DataFrame, threshold: int, block: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     dealt = _blocks(members, "key", block).select("key", "p", "q", "own", "id", "component", "signature")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _links(members: DataFrame, threshold: int, block: int) -> DataFrame:
@@ -279,7 +279,7 @@ def _links(members: DataFrame, threshold: int, block: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     dealt = _blocks(members, "cluster", block).select("cluster", "p", "q", "own", "id", "component", "signature", "grams")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS, block: int = BLOCK) -> DataFrame:

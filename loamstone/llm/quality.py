@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from loamstone.llm.common import NONSPACE, lowered, ngram_hashes, slices, span_hashes, text_buffer, word_spans
+from loamstone.llm.common import NONSPACE, lowered, ngram_hashes, slices, span_hashes, text_buffer, tidy, word_spans
 from loamstone.llm.samples import labelled
 
 BOUND = 20_000
@@ -192,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", bound:
                 x = features(batch.column("text"))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("label"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
-    got = labelled(docs, labels, label, bound=bound, n=n, out=out, id_col=id_col, text_col=text_col).mapInArrow(run, "doc_id long, label int, x array<double>").toArrow().sort_by("doc_id")
+    got = labelled(docs, labels, label, bound=bound, n=n, out=out, id_col=id_col, text_col=text_col).mapInArrow(tidy(run), "doc_id long, label int, x array<double>").toArrow().sort_by("doc_id")
     x = np.array(got.column("x").to_pylist(), float).reshape(got.num_rows, len(FEATURES))
     return fit(x, (np.array(got.column("label").to_pylist(), float) > 0).astype(float))
 
@@ -208,4 +208,4 @@ def score(docs: DataFrame, model: Gam, *, text_col: str = "text", names: tuple[s
                 s = model.score(features(batch.column(text_col)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*kept, *names])
 
-    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())]))
+    return base.mapInArrow(tidy(run), T.StructType([*base.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())]))

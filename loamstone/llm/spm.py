@@ -33,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from loamstone.llm.common import slices, span_hashes, text_buffer
+from loamstone.llm.common import slices, span_hashes, text_buffer, tidy
 
 SPACE = "▁"
-CHUNK, LONG, CACHE = 400_000, 256, 1_000_000
+CHUNK, LONG, CACHE = 250_000, 256, 400_000
 
 
 class Model:
@@ -294,19 +294,28 @@ def decode_ids(model: Model, flat: np.ndarray, offsets: np.ndarray) -> list[str]
     return out
 
 
-def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", to: str = "ids") -> DataFrame:
-    """docs with an array of piece ids (a column of that name is replaced)."""
-    base = docs.drop(to)
+def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", to: str = "ids", check: bool = False) -> DataFrame:
+    """docs with an array of piece ids; with `check` also n_pieces and round_trip, whether they decode to the text.
+
+    Columns of these names are replaced. Checking decodes in the same worker, so no second one is started.
+    """
+    more = [to, "n_pieces", "round_trip"] if check else [to]
+    base = docs.drop(*more)
     kept = base.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)
         for whole in batches:
-            for batch in slices(whole, text_col, 4 << 20):
+            for batch in slices(whole, text_col, 2 << 20):
                 flat, offsets = encode_batch(model, batch.column(text_col))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], names=[*kept, to])
+                made = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))]
+                if check:
+                    back = decode_ids(model, flat, offsets)
+                    made += [pa.array(np.diff(offsets)), pa.array([a == (b or "") for a, b in zip(back, batch.column(text_col).to_pylist(), strict=True)])]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], names=[*kept, *more])
 
-    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField(to, T.ArrayType(T.IntegerType()))]))
+    added = [T.StructField(to, T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("round_trip", T.BooleanType())]
+    return base.mapInArrow(tidy(run), T.StructType([*base.schema.fields, *added[: len(more)]]))
 
 
 def decode(encoded: DataFrame, model_path: str, *, ids_col: str = "ids", to: str = "text") -> DataFrame:
@@ -324,7 +333,7 @@ def decode(encoded: DataFrame, model_path: str, *, ids_col: str = "ids", to: str
                 size = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(decode_ids(model, flat, np.concatenate([[0], np.cumsum(size)])), pa.string())], names=[*kept, to])
 
-    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField(to, T.StringType())]))
+    return base.mapInArrow(tidy(run), T.StructType([*base.schema.fields, T.StructField(to, T.StringType())]))
 
 
 def round_trip(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -333,7 +342,7 @@ def round_trip(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)
         for whole in batches:
-            for batch in slices(whole, text_col, 4 << 20):
+            for batch in slices(whole, text_col, 2 << 20):
                 flat, offsets = encode_batch(model, batch.column(text_col))
                 texts = decode_ids(model, flat, offsets)
                 cut = offsets.tolist()
@@ -348,4 +357,4 @@ def round_trip(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text
                     names=["doc_id", "n_pieces", "ids_sha256", "decoded_sha256", "same"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, n_pieces long, ids_sha256 string, decoded_sha256 string, same boolean")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), "doc_id long, n_pieces long, ids_sha256 string, decoded_sha256 string, same boolean")
