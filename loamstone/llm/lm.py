@@ -1,23 +1,29 @@
-"""Language-model scores: an interpolated modified Kneser-Ney bigram model.
+"""Language-model scores: an interpolated modified Kneser-Ney model of any order from 2.
 
 Counting is Spark's: each task turns its texts into numbers, sums equal n-grams
 and deals the sums to hash ranges ("shards"), where they are merged, sorted and
-written to the shared folder as arrays: sorted 64-bit hashes, then counts. There are as
-many shards as spark.sql.shuffle.partitions, one a task, and as n-grams are dealt
-by hash, one text, source or word cannot make one shard large. Workers memory-map
-the shards and look n-grams up in sorted order, so the model is neither sent to
-the driver nor broadcast, and a machine holds one copy of the pages it uses.
+written to the shared folder as arrays: sorted 64-bit keys, and columns of counts.
+There are as many shards as spark.sql.shuffle.partitions, one a task, and as n-grams
+are dealt by hash, one text, source or word cannot make one shard large. Workers
+memory-map the shards and look n-grams up in sorted order, so the model is neither sent
+to the driver nor broadcast, and a machine holds one copy of the pages it uses.
 
  1. Words (A-Z lowered, cut at ASCII white space) -> sorted hashes and counts.
     A word's number is its place in them.
- 2. Bigrams of numbers, packed into 64 bits and multiplied by an odd constant
-    (which can be undone), -> sorted hashes and counts. Each shard also yields,
-    for its contexts, how many followers were seen once, twice and more often,
-    and for its words how many contexts precede them; these are summed by word.
- 3. Scores: discounts from the counts of counts (Chen & Goodman 1998), the bigram
-    interpolated with continuation shares, those with the uniform 1 / (V + 1).
-
-Writing a shard ends with a rename, and its content depends on the data alone, so
+ 2. For n = 2 to the order: the number of a text's n-1 words before a word and the
+    word's own, packed into 64 bits and multiplied by an odd constant (which can be
+    undone), -> sorted keys and counts. An n-gram's number is its place in them.
+ 3. From the order down to 2: each shard yields, for its contexts, how many followers
+    were seen once, twice and more often (below the order: have so many words before
+    them), and for its n-grams without their first word how many words precede them;
+    these are summed by number.
+ 4. Scores: discounts from the counts of counts (Chen & Goodman 1998), each order
+    interpolated with the continuation shares of the next lower, the lowest with the
+    uniform 1 / (V + 1). A text's start precedes its first word once, however high the
+    order; what begins with it keeps its plain counts in lower orders, as nothing
+    precedes it (as in KenLM).
+
+Writing a column ends with a rename, and its content depends on the data alone, so
 a task that runs again after its executor is lost does no harm. The shared
 folder should be mounted on the workers; elsewhere shards are read through
 pyarrow's file systems, into memory.
@@ -29,6 +35,7 @@ harmlessly; a null id counts as an empty text in the choice of training rows.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import os
 import uuid
@@ -36,7 +43,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamstone.llm.common import NONSPACE, row_words, shared_dir, slices, tidy
@@ -44,6 +51,8 @@ from loamstone.llm.samples import fold
 
 END, BOS, UNK, FIRST = 0, 1, 2, 3
 GROUP_BYTES = 6 << 20
+#: Words before it (distinct); followers seen once, twice, more often; sum of the followers' own counts.
+COLUMNS = ("a", "f1", "f2", "f3", "t")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _UNDO = np.uint64(pow(int(_ODD), -1, 1 << 64))
 
@@ -93,31 +102,90 @@ def _cuts(shards: int) -> np.ndarray:
     return np.array([-(-(s << 64) // shards) for s in range(1, shards)], np.uint64)
 
 
+def _packed(counts: np.ndarray) -> list[np.ndarray]:
+    """Counts as bytes; then the places and values of those of 255 and more."""
+    large = np.flatnonzero(counts >= 255)
+    return [np.minimum(counts, 255).astype(np.uint8), large.astype(np.uint64), counts[large].astype(np.uint64)]
+
+
+def _unpacked(raw: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
+    """The counts at some places of n packed ones."""
+    out = raw[:n][at].astype(np.int64)
+    large = out == 255
+    if large.any():
+        m = (len(raw) - n) // 16
+        held = np.searchsorted(raw[n : n + 8 * m].view(np.uint64), at[large].astype(np.uint64))
+        out[large] = raw[n + 8 * m :].view(np.uint64)[held]
+    return out
+
+
+def _squeezed(keys: np.ndarray) -> bytes:
+    """Sorted uint64: the first, then differences in as many bytes as the largest needs."""
+    step = np.diff(keys)
+    width = (int(step.max()).bit_length() + 7) // 8 if len(step) else 0
+    return bytes([width]) + keys[:1].tobytes() + step.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _full(raw: bytes) -> np.ndarray:
+    if len(raw) < 9:
+        return np.zeros(0, np.uint64)
+    step = np.frombuffer(raw, np.uint8, offset=9)
+    out = np.zeros((1 + (len(step) // raw[0] if raw[0] else 0), 8), np.uint8)
+    out[0] = np.frombuffer(raw, np.uint8, 8, 1)
+    if raw[0]:
+        out[1:, : raw[0]] = step.reshape(-1, raw[0])
+    return np.cumsum(out.view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _counts(raw: bytes, n: int) -> np.ndarray:
+    return _unpacked(np.frombuffer(raw, np.uint8), n, np.arange(n))
+
+
 class Table:
-    """Shards of sorted uint64 keys, each with uint32 columns after them."""
+    """Shards of sorted uint64 keys, and columns of counts in files of their own."""
 
-    def __init__(self, path: str, sizes: list[int], columns: int) -> None:
-        self.path, self.columns = path, columns
+    def __init__(self, path: str, sizes: list[int]) -> None:
+        self.path = path
         self.base = np.cumsum([0, *sizes])
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Global places of sorted keys (-1: absent) and their columns (0 there)."""
+    def __len__(self) -> int:
+        return int(self.base[-1])
+
+    def keys(self, shard: int) -> np.ndarray:
+        n = int(self.base[shard + 1] - self.base[shard])
+        return _map(f"{self.path}/{shard}")[: 8 * n].view(np.uint64) if n else np.zeros(0, np.uint64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of sorted keys; -1: absent."""
         place = np.full(len(keys), -1, np.int64)
-        out = [np.zeros(len(keys), np.uint32) for _ in range(self.columns)]
         shards = len(self.base) - 1
         cut = [0, *np.searchsorted(keys, _cuts(shards)).tolist(), len(keys)]
         for s in range(shards):
-            a, b, n = cut[s], cut[s + 1], int(self.base[s + 1] - self.base[s])
-            if a == b or not n:
-                continue
-            raw = _map(f"{self.path}/{s}")
-            held = raw[: 8 * n].view(np.uint64)
-            at = np.minimum(np.searchsorted(held, keys[a:b]), n - 1)
-            hit = held[at] == keys[a:b]
-            place[a:b][hit] = at[hit] + self.base[s]
-            for k, col in enumerate(out):
-                col[a:b][hit] = raw[8 * n + 4 * n * k : 8 * n + 4 * n * (k + 1)].view(np.uint32)[at[hit]]
-        return place, out
+            a, b, held = cut[s], cut[s + 1], self.keys(s) if cut[s] < cut[s + 1] else ()
+            if len(held):
+                at = np.minimum(np.searchsorted(held, keys[a:b]), len(held) - 1)
+                hit = held[at] == keys[a:b]
+                place[a:b][hit] = at[hit] + self.base[s]
+        return place
+
+    def _each(self, places: np.ndarray) -> Iterator[tuple[int, slice, np.ndarray]]:
+        cut = np.searchsorted(places, self.base)
+        for s in np.flatnonzero(np.diff(cut)).tolist():
+            own = slice(int(cut[s]), int(cut[s + 1]))
+            yield s, own, places[own] - self.base[s]
+
+    def column(self, name: str, places: np.ndarray) -> np.ndarray:
+        """Counts at sorted places; 0 at places below 0."""
+        out = np.zeros(len(places), np.int64)
+        for s, own, at in self._each(places):
+            out[own] = _unpacked(_map(f"{self.path}/{s}.{name}"), int(self.base[s + 1] - self.base[s]), at)
+        return out
+
+    def keys_at(self, places: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(places), np.uint64)
+        for s, own, at in self._each(places):
+            out[own] = self.keys(s)[at]
+        return out
 
 
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -140,9 +208,13 @@ def _groups_of_slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, n
 def _chunks(keys: np.ndarray, counts: np.ndarray, shards: int) -> pa.RecordBatch:
     """Sorted keys and counts as one row a shard."""
     cut = [0, *np.searchsorted(keys, _cuts(shards)).tolist(), len(keys)]
-    small = np.minimum(counts, 0xFFFFFFFF).astype(np.uint32)
-    some = [s for s in range(shards) if cut[s] < cut[s + 1]]
-    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([keys[cut[s] : cut[s + 1]].tobytes() for s in some], pa.binary()), pa.array([small[cut[s] : cut[s + 1]].tobytes() for s in some], pa.binary())], names=["shard", "k", "n"])
+    return _rows([(s, keys[cut[s] : cut[s + 1]], counts[cut[s] : cut[s + 1]]) for s in range(shards) if cut[s] < cut[s + 1]])
+
+
+def _rows(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    shard, keys, counts = zip(*parts, strict=True) if parts else ((), (), ())
+    columns = [pa.array(shard, pa.int32()), pa.array([len(k) for k in keys], pa.int32()), pa.array([_squeezed(k) for k in keys], pa.binary()), pa.array([b"".join(x.tobytes() for x in _packed(c)) for c in counts], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["shard", "size", "k", "n"])
 
 
 def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
@@ -158,7 +230,7 @@ def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dic
         yield held[0]["shard"], held
 
 
-_CHUNK = "shard int, k binary, n binary"
+_CHUNK = "shard int, size int, k binary, n binary"
 
 
 def _dealt(chunks: DataFrame, parts: int) -> DataFrame:
@@ -166,12 +238,49 @@ def _dealt(chunks: DataFrame, parts: int) -> DataFrame:
     return chunks.repartitionById(parts, F.greatest("shard", F.lit(0))).sortWithinPartitions("shard")
 
 
-def _ids(table: Table, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Number of each word, and for every distinct word: its count, and which one each word is."""
+def _ids(table: Table, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number and training count of each word."""
     distinct, back = np.unique(words, return_inverse=True)
-    place, (count,) = table.find(distinct)
-    ids = np.where(place < 0, UNK, place + FIRST)
-    return ids[back], count, back
+    place = table.find(distinct)
+    hit = place >= 0
+    count = np.zeros(len(distinct), np.int64)
+    count[hit] = table.column("n", place[hit])
+    return np.where(hit, place + FIRST, UNK)[back], count[back]
+
+
+def _pack(context: np.ndarray, token: np.ndarray, bits: int) -> np.ndarray:
+    return (context.astype(np.uint64) << np.uint64(bits) | token.astype(np.uint64)) * _ODD
+
+
+def _unpack(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    pairs = keys * _UNDO
+    return (pairs >> np.uint64(bits)).astype(np.int64), (pairs & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def _lookup(table: Table, context: np.ndarray, token: np.ndarray, bits: int) -> np.ndarray:
+    """Place of every (context, token); -1: absent, as with a context of -1."""
+    place = np.full(len(token), -1, np.int64)
+    some = context >= 0
+    keys, back = np.unique(_pack(context[some], token[some], bits), return_inverse=True)
+    place[some] = table.find(keys)[back]
+    return place
+
+
+def _longer(place: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Contexts one word longer: the n-gram that ends before each token; a text's first token has none."""
+    context = np.empty_like(place)
+    context[1:] = place[:-1]
+    context[at[:-1]] = -1
+    return context
+
+
+def _shortened(tables: list[Table], n: int, places: np.ndarray, bits: int) -> np.ndarray:
+    """Number of each n-gram without its first word, among those of n - 1 words."""
+    distinct, back = np.unique(places, return_inverse=True)
+    context, token = _unpack(tables[n - 1].keys_at(distinct), bits)
+    if n > 2:
+        token = _lookup(tables[n - 2], _shortened(tables, n - 1, context, bits), token, bits)
+    return token[back]
 
 
 def _bigrams(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,156 +310,188 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
 class Model:
     """What scoring needs: where the shards are, their sizes, and a few totals. Small, whatever the corpus."""
 
-    def __init__(self, path: str, word_sizes: list[int], bigram_sizes: list[int], texts: int, tokens: int, cc: list[int], ac: list[int], kinds: int, special: dict[int, tuple[int, int, int, int]]) -> None:
-        self.words = Table(f"{path}/words", word_sizes, 1)
-        self.stats = f"{path}/stats"
-        self.bigrams = Table(f"{path}/bigrams", bigram_sizes, 1)
-        self.texts, self.tokens, self.special = texts, tokens, special
-        self.vocabulary = int(sum(word_sizes)) + (1 if texts else 0)
-        self.kinds = kinds
-        self.d2, self.d1 = _discounts(cc[:4]), _discounts(ac[:4])
-        self.ac = ac
-
-    def columns(self, ids: np.ndarray) -> np.ndarray:
-        """(4, ids): contexts before a word, and followers seen once, twice, more often; ids sorted."""
-        out = np.zeros((4, len(ids)), np.int64)
-        for k, i in enumerate(ids[: np.searchsorted(ids, FIRST)].tolist()):
-            out[:, k] = self.special.get(i, (0, 0, 0, 0))
-        base = self.words.base + FIRST
-        cut = np.searchsorted(ids, base)
-        for s in np.flatnonzero(np.diff(cut)).tolist():
-            n, a, b = int(base[s + 1] - base[s]), int(cut[s]), int(cut[s + 1])
-            raw = _map(f"{self.stats}/{s}")
-            if len(raw):
-                out[:, a:b] = raw.view(np.uint32).reshape(4, n)[:, ids[a:b] - base[s]]
-        return out
-
-    def log10(self, context: np.ndarray, token: np.ndarray, counts: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-        """log10 p(token | context); counts: of sorted word ids in training."""
-        packed = (context.astype(np.uint64) << np.uint64(32) | token.astype(np.uint64)) * _ODD
-        keys, back = np.unique(packed, return_inverse=True)
-        pairs = keys * _UNDO
-        v, w = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        _, (c,) = self.bigrams.find(keys)
-        c = c.astype(float)
-        vs, vi = np.unique(v, return_inverse=True)
-        ws, wi = np.unique(w, return_inverse=True)
-        _, f1, f2, f3 = self.columns(vs)
-        total = counts(vs).astype(float)
-        left = np.divide(self.d2[0] * f1 + self.d2[1] * f2 + self.d2[2] * f3, total, out=np.ones(len(vs)), where=total > 0)
-        a = self.columns(ws)[0].astype(float)
+    def __init__(self, tables: list[Table], texts: int, tokens: int, bits: int, seen: list[list[int]], special: dict[int, dict[str, int]]) -> None:
+        self.tables, self.texts, self.tokens, self.bits, self.special = tables, texts, tokens, bits, special
+        self.words, self.order = tables[0], len(tables)
+        self.vocabulary = len(self.words) + (1 if texts else 0)
+        self.seen = seen
+        self.discounts = [_discounts(x[:4]) for x in seen]
+
+    def values(self, n: int, name: str, numbers: np.ndarray) -> np.ndarray:
+        """A column of n-grams; numbers sorted."""
+        if n > 1:
+            return self.tables[n - 1].column(name, numbers)
+        k = int(np.searchsorted(numbers, FIRST))
+        few = np.array([self.special.get(i, {}).get(name, 0) for i in numbers[:k].tolist()], np.int64)
+        return np.concatenate([few, self.words.column(name, numbers[k:] - FIRST)])
+
+    def log10(self, context: np.ndarray, token: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """log10 p(token | up to order - 1 words before it); context: the word before; at: offsets of the texts."""
+        w, back = np.unique(token, return_inverse=True)
+        a = self.values(1, "a", w)
+        n1, n2, _, _, more, kinds = self.seen[0]
         uniform = 1 / (self.vocabulary + 1)
-        if self.kinds:
-            d = np.select([a == 1, a == 2, a > 2], self.d1, 0.0)
-            spare = (self.d1[0] * self.ac[0] + self.d1[1] * self.ac[1] + self.d1[2] * self.ac[4]) / self.kinds
-            low = np.maximum(a - d, 0) / self.kinds + spare * uniform
+        if kinds:
+            d = self.discounts[0]
+            p = np.maximum(a - np.select([a == 1, a == 2, a > 2], d, 0.0), 0) / kinds + (d[0] * n1 + d[1] * n2 + d[2] * more) / kinds * uniform
         else:
-            low = np.full(len(ws), uniform)
-        d = np.select([c == 1, c == 2, c > 2], self.d2, 0.0)
-        p = np.divide(np.maximum(c - d, 0), total[vi], out=np.zeros(len(c)), where=total[vi] > 0) + left[vi] * low[wi]
-        return np.log10(p)[back]
-
-
-def train(docs: DataFrame, *, text_col: str = "text") -> Model:
+            p = np.full(len(w), uniform)
+        p = p[back]
+        for n in range(2, self.order + 1):
+            d, top = self.discounts[n - 1], n == self.order
+            v, back = np.unique(context, return_inverse=True)
+            total = self.values(n - 1, "n" if top else "t", v).astype(float)
+            left = sum(d[k] * self.values(n - 1, f"f{k + 1}", v) for k in range(3))
+            left = np.divide(left, total, out=np.ones(len(v)), where=total > 0)
+            place = _lookup(self.tables[n - 1], context, token, self.bits)
+            g, which = np.unique(place, return_inverse=True)
+            c = self.values(n, "n" if top else "a", g).astype(float)
+            c = np.maximum(c - np.select([c == 1, c == 2, c > 2], d, 0.0), 0)[which]
+            p = np.divide(c, total[back], out=np.zeros(len(c)), where=total[back] > 0) + left[back] * p
+            context = _longer(place, at)
+        return np.log10(p)
+
+
+_MERGED = "shard int, size long, total long, seen array<long>"
+
+
+def _seen(c: np.ndarray) -> list[int]:
+    """Numbers of counts of 1, 2, 3, 4 and over 2, and the sum of all."""
+    return [*(int((c == x).sum()) for x in (1, 2, 3, 4)), int((c > 2).sum()), int(c.sum())]
+
+
+def _report(shard: int, size: int, total: int, seen: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([size], pa.int64()), pa.array([total], pa.int64()), pa.array([seen], pa.list_(pa.int64()))], names=["shard", "size", "total", "seen"])
+
+
+@contextlib.contextmanager
+def _let_go(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of queries made within once they end: their results lie in the shared folder by then."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def train(docs: DataFrame, *, text_col: str = "text", order: int = 2) -> Model:
+    """A model of n-grams up to the order (2 at least), counted over all rows of docs."""
+    if order < 2:
+        raise ValueError("order must be 2 at least")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = shared_dir(spark, "kneser-ney")
     texts = docs.select(F.col(text_col).alias("text"))
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, counts = [], []
-            for _, w, _ in _groups_of_slices(batch):
-                k, c = np.unique(w, return_counts=True)
-                keys.append(k)
-                counts.append(c)
-            if keys:
-                yield _chunks(*_merged(keys, counts), parts)
-
     def merge(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for shard, held in _by_shard(batches):
-                k, c = _merged([np.frombuffer(r["k"], np.uint64) for r in held], [np.frombuffer(r["n"], np.uint32) for r in held])
-                _write(f"{folder}/{shard}", [k, np.minimum(c, 0xFFFFFFFF).astype(np.uint32)])
-                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(k)], pa.int64()), pa.array([int(c.sum())], pa.int64())], names=["shard", "size", "total"])
+                k, c = _merged([_full(r["k"]) for r in held], [_counts(r["n"], r["size"]) for r in held])
+                _write(f"{folder}/{shard}", [k])
+                _write(f"{folder}/{shard}.n", _packed(c))
+                yield _report(shard, len(k), int(c.sum()), _seen(c))
 
         return run
 
-    made = _dealt(texts.mapInArrow(tidy(words), _CHUNK), parts).mapInArrow(tidy(merge(f"{path}/words")), "shard int, size long, total long").collect()
-    sizes = [0] * parts
-    for r in made:
-        sizes[r.shard] = r.size
-    n_texts, n_words = texts.count(), sum(r.total for r in made)
-    if sum(sizes) + FIRST >= 1 << 32:
+    def counted(keys_of: Callable[[np.ndarray, np.ndarray], np.ndarray], folder: str) -> tuple[Table, int, list[int]]:
+        """Table of the keys of all texts, their number with repeats, and numbers of counts."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys, counts = [], []
+                for _, w, rows in _groups_of_slices(batch):
+                    k, c = np.unique(keys_of(w, rows), return_counts=True)
+                    keys.append(k)
+                    counts.append(c)
+                if keys:
+                    yield _chunks(*_merged(keys, counts), parts)
+
+        sizes, total, seen = [0] * parts, 0, [0] * 6
+        with _let_go(spark):
+            told = _dealt(texts.mapInArrow(tidy(run), _CHUNK), parts).mapInArrow(tidy(merge(folder)), _MERGED).collect()
+        for r in told:
+            sizes[r.shard], total, seen = r.size, total + r.total, [x + y for x, y in zip(seen, r.seen, strict=True)]
+        return Table(folder, sizes), total, seen
+
+    words, n_words, _ = counted(lambda w, rows: w, f"{path}/1")
+    n_texts = texts.count()
+    if len(words) + FIRST >= 1 << 32:
         raise ValueError("more than 2**32 distinct words: numbers of words no longer pack in pairs")
-    table = Table(f"{path}/words", sizes, 1)
-    base = table.base + FIRST
+    bits, tables = (len(words) + FIRST).bit_length(), [words]
+    seen: list[list[int]] = [[0] * 6 for _ in range(order)]
+
+    def grams(w: np.ndarray, rows: np.ndarray, tables: list[Table]) -> np.ndarray:
+        context, token, at = _bigrams(_ids(words, w)[0], rows)
+        for table in tables[1:]:
+            context = _longer(_lookup(table, context, token, bits), at)
+        some = context >= 0
+        return _pack(context[some], token[some], bits)
+
+    for n in range(2, order + 1):
+        table, _, seen[n - 1] = counted(functools.partial(grams, tables=list(tables)), f"{path}/{n}")
+        if n < order and len(table) >= 1 << (64 - bits):
+            raise ValueError(f"more than 2**{64 - bits} distinct {n}-grams: their numbers no longer pack with those of words")
+        tables.append(table)
+
+    def stats(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """What the n-grams of a shard say of those of n - 1 words, to their shards (-1: special words)."""
+        own, below = tables[n - 1], tables[n - 2]
+        first = 0 if n > 2 else FIRST
 
-    def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, counts = [], []
-            for _, w, rows in _groups_of_slices(batch):
-                context, token, _ = _bigrams(_ids(table, w)[0], rows)
-                k, c = np.unique((context.astype(np.uint64) << np.uint64(32) | token.astype(np.uint64)) * _ODD, return_counts=True)
-                keys.append(k)
-                counts.append(c)
-            if keys:
-                yield _chunks(*_merged(keys, counts), parts)
-
-    def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Writes bigram shards; sends what they say of each word to the word's shard (-1: special words, -2: the shard itself)."""
-        for shard, held in _by_shard(batches):
-            k, c = _merged([np.frombuffer(r["k"], np.uint64) for r in held], [np.frombuffer(r["n"], np.uint32) for r in held])
-            _write(f"{path}/bigrams/{shard}", [k, np.minimum(c, 0xFFFFFFFF).astype(np.uint32)])
-            pairs = k * _UNDO
-            row = [(-2, np.array([shard, len(k), *((c == x).sum() for x in (1, 2, 3, 4))], np.int64).tobytes(), b"")]
-            v, w = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            parts_ = []
-            for column, ids in enumerate((w, v[c == 1], v[c == 2], v[c > 2])):
-                i, n = np.unique(ids, return_counts=True)
-                parts_.append((i, np.full(len(i), column), n))
-            i, column, n = (np.concatenate(x) for x in zip(*parts_, strict=True))
-            at = np.searchsorted(base, i, side="right") - 1
-            order = np.argsort(at, kind="stable")
-            i, column, n, at = i[order], column[order], n[order], at[order]
-            for s, e in zip(*(x.tolist() for x in _runs(at)), strict=True):
-                # Numbers within the shard and the column, in one uint64.
-                t = int(at[s])
-                inside = i[s:e] - (base[t] if t >= 0 else 0)
-                row.append((t, (inside.astype(np.uint64) << np.uint64(2) | column[s:e].astype(np.uint64)).tobytes(), n[s:e].astype(np.uint32).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in row], pa.int32()), pa.array([r[1] for r in row], pa.binary()), pa.array([r[2] for r in row], pa.binary())], names=["shard", "k", "n"])
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, held in _by_shard(batches):
-            if shard == -2:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for shard in (s for batch in batches for s in batch.column(0).to_pylist()):
+                context, token = _unpack(own.keys(shard), bits)
+                c = own.column("n" if n == order else "a", np.arange(own.base[shard], own.base[shard + 1]))
+                short = token if n == 2 else _lookup(below, _shortened(tables, n - 1, context, bits), token, bits)
+                told = [np.unique(x, return_counts=True) for x in (short, context[c == 1], context[c == 2], context[c > 2])]
+                if n < order:
+                    i, back = np.unique(context, return_inverse=True)
+                    told.append((i, np.bincount(back, c, len(i)).astype(np.int64)))
+                i, column, value = (np.concatenate(x) for x in zip(*((i, np.full(len(i), k), v) for k, (i, v) in enumerate(told)), strict=True))
+                at = np.searchsorted(below.base + first, i, side="right") - 1
+                # Places within the shard and columns, in one uint64.
+                code = (i - np.where(at >= 0, below.base[at] + first, 0)).astype(np.uint64) << np.uint64(3) | column.astype(np.uint64)
+                by = np.lexsort((code, at))
+                at, code, value = at[by], code[by], value[by]
+                sent = [(int(at[s]), code[s:e], value[s:e]) for s, e in zip(*(x.tolist() for x in _runs(at)), strict=True)]
+                # Each shard below hears of itself, even if no n-gram names it.
+                yield _rows([*sent, (shard, code[:0], value[:0])])
+
+        return run
+
+    def gather(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        own = tables[n - 1]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for shard, held in _by_shard(batches):
+                size = FIRST if shard < 0 else int(own.base[shard + 1] - own.base[shard])
+                out = np.zeros((5, size), np.int64)
                 for r in held:
-                    yield pa.RecordBatch.from_arrays([pa.array(["bigrams"]), pa.array([np.frombuffer(r["k"], np.int64).tolist()], pa.list_(pa.int64()))], names=["kind", "v"])
-                continue
-            n = FIRST if shard < 0 else sizes[shard]
-            out = np.zeros((4, n), np.int64)
-            for r in held:
-                k = np.frombuffer(r["k"], np.uint64)
-                np.add.at(out, ((k & np.uint64(3)).astype(int), (k >> np.uint64(2)).astype(int)), np.frombuffer(r["n"], np.uint32).astype(np.int64))
-            a = out[0]
-            told = [[(a == x).sum() for x in (1, 2, 3, 4)] + [(a > 2).sum(), a.sum()]]
-            if shard < 0:
-                told[0] += out.T.ravel().tolist()
-            else:
-                _write(f"{path}/stats/{shard}", [np.minimum(out, 0xFFFFFFFF).astype(np.uint32)])
-            yield pa.RecordBatch.from_arrays([pa.array(["special" if shard < 0 else "words"]), pa.array([[int(x) for x in told[0]]], pa.list_(pa.int64()))], names=["kind", "v"])
-
-    counted = _dealt(texts.mapInArrow(tidy(bigrams), _CHUNK), parts).mapInArrow(tidy(stats), _CHUNK)
-    told = _dealt(counted, parts).mapInArrow(tidy(gather), "kind string, v array<long>").collect()
-    pair_sizes, cc, ac, special = [0] * parts, [0] * 4, [0] * 5, {}
-    for r in told:
-        if r.kind == "bigrams":
-            pair_sizes[r.v[0]] = r.v[1]
-            cc = [x + y for x, y in zip(cc, r.v[2:], strict=True)]
-        else:
-            ac = [x + y for x, y in zip(ac, r.v[:5], strict=True)]
-            if r.kind == "special":
-                special = {k: tuple(r.v[6 + 4 * k : 10 + 4 * k]) for k in range(FIRST)}
-    return Model(path, sizes, pair_sizes, n_texts, n_words + n_texts, cc, ac, sum(pair_sizes), special)
+                    k = _full(r["k"])
+                    out[(k & np.uint64(7)).astype(int), (k >> np.uint64(3)).astype(int)] += _counts(r["n"], r["size"])
+                if n > 1:
+                    # Only what begins a text has nothing before it.
+                    out[0] = np.where(out[0] > 0, out[0], own.column("n", np.arange(own.base[shard], own.base[shard + 1])))
+                if shard >= 0 and size:
+                    for name, c in zip(COLUMNS if n < order - 1 else COLUMNS[:4], out, strict=False):
+                        _write(f"{own.path}/{shard}.{name}", _packed(c))
+                yield _report(shard, size, 0, _seen(out[0]) + (out.T.ravel().tolist() if shard < 0 else []))
+
+        return run
+
+    special: dict[int, dict[str, int]] = {}
+    for n in range(order, 1, -1):
+        seen[n - 2] = [0] * 6
+        with _let_go(spark):
+            told = _dealt(spark.range(0, parts, 1, parts).mapInArrow(tidy(stats(n)), _CHUNK), parts).mapInArrow(tidy(gather(n - 1)), _MERGED).collect()
+        for r in told:
+            seen[n - 2] = [x + y for x, y in zip(seen[n - 2], r.seen[:6], strict=True)] if r.size else seen[n - 2]
+            if r.shard < 0:
+                special = {k: dict(zip(COLUMNS, r.seen[6 + 5 * k : 11 + 5 * k], strict=True)) for k in range(FIRST)}
+    special.setdefault(BOS, {})["n"] = n_texts
+    return Model(tables, n_texts, n_words + n_texts, bits, seen, special)
 
 
 def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -367,27 +508,15 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
         total, kinds = model.tokens, model.vocabulary
         for batch in batches:
             for part, words, rows in _groups_of_slices(batch):
-                ids, count, back = _ids(model.words, words)
+                ids, count = _ids(model.words, words)
                 context, token, at = _bigrams(ids, rows)
-                known_ids, first = np.unique(ids, return_index=True)
-                held = count[back][first].astype(np.int64)
-
-                def counts(some: np.ndarray, known_ids=known_ids, held=held) -> np.ndarray:
-                    out = np.zeros(len(some), np.int64)
-                    k = np.minimum(np.searchsorted(known_ids, some), max(len(known_ids) - 1, 0))
-                    if len(known_ids):
-                        hit = (known_ids[k] == some) & (some >= FIRST)
-                        out[hit] = held[k[hit]]
-                    out[some == BOS] = model.texts
-                    return out
-
                 c = np.empty(len(token), np.int64)
                 ends = np.zeros(len(token), bool)
                 ends[at[1:] - 1] = True
-                c[~ends] = count[back]
+                c[~ends] = count
                 c[ends] = model.texts
                 base = np.log10((c + 0.1) / (total + 0.1 * (kinds + 1)))
-                best = model.log10(context, token, counts)
+                best = model.log10(context, token, at)
                 size = np.diff(at)
                 s = np.add.reduceat(best, at[:-1])
                 yield pa.RecordBatch.from_arrays(

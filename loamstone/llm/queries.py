@@ -48,7 +48,7 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lm.score(docs, lm.train(docs.where(~lm.held_out_tenth())), held_out=lm.held_out_tenth())
+    return lm.score(docs, lm.train(docs.where(~lm.held_out_tenth()), order=3), held_out=lm.held_out_tenth())
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
