@@ -83,7 +83,13 @@ def st_session(spark, d):
 
 @query("st_dedup")
 def st_dedup(spark, d):
-    return E.run_once(E.dedup(_stream(spark, d), "user_id", "event_type"), scratch(spark, "st")).select("event_id", "user_id", "event_type")
+    """Events but repeats of their user and type within ten minutes; state lives in RocksDB."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = E.run_once(E.dedup(_stream(spark, d), "user_id", "event_type"), scratch(spark, "st"))
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    return out.select("event_id", "user_id", "event_type")
 
 
 @query("st_join", "SELECT p.user_id, v.event_id AS view_id, p.event_id AS purchase_id FROM events v JOIN events p ON v.user_id = p.user_id AND p.ts >= v.ts AND p.ts <= v.ts + INTERVAL 1 HOUR WHERE v.event_type = 'view' AND p.event_type = 'purchase'")

@@ -43,9 +43,45 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return g.select("user_id", F.col("w.start").alias("start"), "n")
 
 
-def dedup(events: DataFrame, *keys: str) -> DataFrame:
-    """First of each key within the watermark; which one depends on how events fall into micro-batches."""
-    return event_time(events).dropDuplicatesWithinWatermark(list(keys))
+class FirstWithin(StatefulProcessor):
+    """Rows of a key, in order of time, that come no sooner than the delay after the last one kept; state goes once the watermark is past it."""
+
+    def __init__(self, delay: str, columns: list[str]) -> None:
+        self.delay, self.columns = pd.Timedelta(delay), columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("last", "at long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        step = self.delay // pd.Timedelta("1us")
+        before = self.state.get()[0] if self.state.exists() else None
+        last, kept = before, []
+        some = pd.concat(list(rows)).sort_values(["ts", *(c for c in self.columns if c != "ts")], kind="stable", ignore_index=True)
+        for i, t in enumerate(some["ts"].astype("datetime64[us]").astype("int64").tolist()):
+            if last is None or abs(t - last) >= step:
+                kept.append(i)
+                last = t if last is None else max(last, t)
+        if last != before:
+            self.state.update((last,))
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at[0] if isinstance(at, tuple) else at)
+            self.handle.registerTimer((last + step) // 1000 + 1)
+        if kept:
+            yield some.iloc[kept][self.columns]
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def dedup(events: DataFrame, *keys: str, delay: str = DELAY) -> DataFrame:
+    """Rows but those less than the delay after the last kept row of their key (needs the RocksDB state store); a stream's files should rise in time."""
+    timed = event_time(events, delay)
+    return timed.groupBy(*keys).transformWithStateInPandas(FirstWithin(delay, timed.columns), timed.schema, "Append", "EventTime")
 
 
 def view_then_purchase(events: DataFrame, within: str = "1 hour") -> DataFrame:
