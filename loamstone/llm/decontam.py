@@ -12,7 +12,9 @@ words than that make more blocks, each a pass of its own over the texts'
 matches; no block is dropped.
 
 Defined results: a null or wordless text has no words, no hits and is clean. An
-item without words never occurs. Repeated items both count. Rows are judged one
+item without words never occurs. Repeated items both count. Items with a null id hit
+like others; together they are one null at the end of `items`, which n_items counts
+and the digest leaves out, as the SQL does. Rows are judged one
 by one, so repeated ids and null ids are harmless, and all other columns pass
 through untouched.
 """
@@ -39,7 +41,7 @@ BLOCK_WORDS = 500_000
 class Automaton:
     """Generalised suffix automaton; states carry the items of their longest windows."""
 
-    def __init__(self, items: list[tuple[str, list[int]]], window: int) -> None:
+    def __init__(self, items: list[tuple[str | None, list[int]]], window: int) -> None:
         self.window = window
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
@@ -54,8 +56,8 @@ class Automaton:
             up = self.link[s]
             self.full[s] = self.full[up] if self.length[up] >= window else (s if self.length[s] >= window else -1)
         #: Short items: state -> [(words, items)]; each state also points to the nearest such state above it.
-        self.owners: dict[int, set[str]] = {}
-        self.short: dict[int, list[tuple[int, set[str]]]] = {}
+        self.owners: dict[int, set[str | None]] = {}
+        self.short: dict[int, list[tuple[int, set[str | None]]]] = {}
         for name, words in items:
             if 0 < len(words) < window:
                 s = 0
@@ -114,10 +116,10 @@ class Automaton:
         to = self.next[state].get(w)
         return (0, 0) if to is None else (to, length + 1)
 
-    def scan(self, words: list[int]) -> tuple[list[tuple[int, int]], set[str]]:
+    def scan(self, words: list[int]) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Hit word ranges (start, end), in order of end, and the items that occur."""
         spans: list[tuple[int, int]] = []
-        found: set[str] = set()
+        found: set[str | None] = set()
         nxt, link, size, full, short, above = self.next, self.link, self.length, self.full, self.short, self.above
         state = length = 0
         for i, w in enumerate(words, 1):
@@ -146,12 +148,12 @@ class Automaton:
 class Index:
     """One block of test items: hash of each of their words -> number, and the automaton."""
 
-    def __init__(self, items: list[tuple[str, np.ndarray]], window: int) -> None:
+    def __init__(self, items: list[tuple[str | None, np.ndarray]], window: int) -> None:
         self.hashes = np.unique(np.concatenate([w for _, w in items])) if items else np.zeros(0, np.uint64)
         self.least = min([window, *(len(w) for _, w in items if len(w))])
         self.automaton = Automaton([(k, np.searchsorted(self.hashes, w).tolist()) for k, w in items], window)
 
-    def matches(self, words: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]], set[str]]]:
+    def matches(self, words: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]], set[str | None]]]:
         """Row, hit ranges of word numbers within all words, items; only for rows with a hit."""
         if not len(self.hashes) or not len(words):
             return
@@ -185,9 +187,9 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def build_index(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, id_col: str = "item_id", text_col: str = "text") -> list[Index]:
     """Blocks of the normalised test items. The benchmark is read row by row, block by block."""
     blocks: list[Index] = []
-    held: list[tuple[str, np.ndarray]] = []
+    held: list[tuple[str | None, np.ndarray]] = []
     size = 0
-    rows = benchmark.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("t")).where(F.col("t").isNotNull() & F.col("k").isNotNull())
+    rows = benchmark.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
     for r in rows.toLocalIterator():
         words, _ = row_words(pa.array([r.t]), ALNUM)
         held.append((r.k, words))
@@ -228,7 +230,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = W
                 n = np.diff(rows)
                 hit, items = np.zeros(len(n), np.int64), [[] for _ in n]
                 spans: dict[int, list[tuple[int, int]]] = {}
-                found: dict[int, set[str]] = {}
+                found: dict[int, set[str | None]] = {}
                 for block in blocks:
                     for r, some, hits in block.value.matches(words, rows):
                         spans.setdefault(r, []).extend(some)
@@ -236,7 +238,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = W
                 for r in spans:
                     spans[r] = _merged(spans[r])
                     hit[r] = sum(e - s for s, e in spans[r])
-                    items[r] = sorted(found[r])
+                    items[r] = sorted(found[r], key=lambda k: (k is None, k or ""))
                 bad = (hit > 0) & (coverage * hit >= n)
                 if action == "mark":
                     yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(n, pa.int64()), pa.array(hit), pa.array(items, pa.list_(pa.string())), pa.array(bad)], names=[*kept, *added])
