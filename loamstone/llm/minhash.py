@@ -26,8 +26,9 @@ band shows. All that leaves a task is in proportion to its members.
 
 Defined results: a null or wordless text has an empty set, links with nothing
 and is kept. A text of one to four words has one shingle, its whole sequence.
-Rows with a null id take no part (component_id is null, kept is true). Rows that
-repeat an id are each judged by their own text under that id.
+Rows with a null id take no part (component_id is null, kept is true). Where an id
+repeats, rows are numbered and each is judged by its own text; of a component one row
+of the smallest id is kept, so literal repeats of a row leave one.
 """
 
 from __future__ import annotations
@@ -282,8 +283,37 @@ def _links(members: DataFrame, threshold: int, block: int) -> DataFrame:
     return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
+def _repeats(docs: DataFrame, id_col: str) -> bool:
+    ids = docs.select(F.col(id_col).cast("long").alias("i")).where("i is not null")
+    return not ids.groupBy("i").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+
+def _numbered(docs: DataFrame, id_col: str) -> DataFrame:
+    """docs with a number of each row that has an id, written so that numbers stay."""
+    return stored(docs.withColumn("__row", F.when(F.col(id_col).isNotNull(), F.monotonically_increasing_id())), "minhash-rows")
+
+
+def _by_row(numbered: DataFrame, id_col: str, **options) -> DataFrame:
+    """near_duplicates of rows that repeat ids, with __row: of each component the first row of the smallest id is kept."""
+    judged = _judged(numbered, id_col="__row", **options).withColumnRenamed("doc_id", "__row")
+    ids = numbered.where("__row is not null").select("__row", F.col(id_col).cast("long").alias("doc_id"))
+    some = judged.where("__row is not null").select("__row", "n_shingles", F.col("component_id").alias("part")).join(ids, "__row")
+    first = some.groupBy("part").agg(F.min(F.struct("doc_id", "__row")).alias("first"))
+    named = some.join(first, "part").select("__row", "doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), (F.col("first.__row") == F.col("__row")).alias("kept"))
+    none = judged.where("__row is null").select("__row", F.lit(None).cast("long").alias("doc_id"), "n_shingles", "component_id", "kept")
+    return named.unionByName(none)
+
+
 def near_duplicates(docs: DataFrame, *, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
+    options = {"threshold": threshold, "text_col": text_col, "rows": rows, "block": block}
+    if _repeats(docs, id_col):
+        return _by_row(_numbered(docs.select(id_col, text_col), id_col), id_col, **options).drop("__row")
+    return _judged(docs, id_col=id_col, **options)
+
+
+def _judged(docs: DataFrame, *, threshold: int, id_col: str, text_col: str, rows: int, block: int) -> DataFrame:
+    """near_duplicates of rows whose ids are distinct or null."""
     width = 4 * rows
     bands = 2 * PERMUTATIONS // rows
     seen = stored(profiles(docs, id_col, text_col), "minhash-profiles")
@@ -314,8 +344,15 @@ def near_duplicates(docs: DataFrame, *, threshold: int = THRESHOLD, id_col: str
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without those that are near copies of a row with a smaller id."""
-    gone = stored(near_duplicates(docs, id_col=id_col, **options).where("not kept").select(F.col("doc_id").alias(id_col)).distinct(), "minhash-gone")
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", threshold: int = THRESHOLD, text_col: str = "text", rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+    """docs with one row of each group of near copies, that of the smallest id; rows in no group stay."""
+    options = {"threshold": threshold, "text_col": text_col, "rows": rows, "block": block}
+    if _repeats(docs, id_col):
+        held, key = _numbered(docs, id_col), "__row"
+        judged = _by_row(held, id_col, **options)
+    else:
+        held, key = docs, id_col
+        judged = _judged(docs, id_col=id_col, **options).withColumnRenamed("doc_id", id_col)
+    gone = stored(judged.where("not kept").select(key), "minhash-gone")
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, id_col, "left_anti").select(*docs.columns)
+    return held.join(F.broadcast(gone) if few else gone, key, "left_anti").select(*docs.columns)
