@@ -168,9 +168,15 @@ _same("set_except_all", "SELECT lang FROM documents WHERE n_chars > 100 EXCEPT A
 
 @query("pivot", "SELECT lang, " + ", ".join(f"count(*) FILTER (WHERE source = 'src{k}') AS src{k}" for k in range(20)) + " FROM documents GROUP BY lang")
 def pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The values are named, so no job is spent on finding them."""
-    names = [f"src{k}" for k in range(20)]
-    return load(spark, sf_dir, "documents").groupBy("lang").pivot("source", names).agg(F.count("doc_id")).na.fill(0, names)
+    """A column a source: the 20 known ones, and what others the table holds (`null` for none), 1,000 at most."""
+    docs = load(spark, sf_dir, "documents").withColumn("source", F.coalesce("source", F.lit("null")))
+    known = [f"src{k}" for k in range(20)]
+    more = [r.source for r in docs.where(~F.col("source").isin(known)).select("source").distinct().limit(1_001).collect()]
+    if len(more) > 1_000:
+        raise ValueError("more than 1,000 sources besides the known ones: too many columns to pivot to")
+    names = known + sorted(more)
+    counts = docs.groupBy("lang").pivot("source", names).agg(F.count(F.lit(1)))
+    return counts.select("lang", *(F.coalesce(F.col(f"`{n.replace('`', '``')}`"), F.lit(0)).alias(n) for n in names))
 
 
 @query("unpivot", "SELECT doc_id, 'quality' AS kind, quality AS v FROM labels UNION ALL SELECT doc_id, 'toxic', toxic FROM labels")
