@@ -30,7 +30,8 @@ pyarrow's file systems, into memory.
 
 Defined results: null and empty texts are one end token. Without training texts
 every token is unknown: the score spreads uniformly over one kind. Ids repeat
-harmlessly; a null id counts as an empty text in the choice of training rows.
+harmlessly; a null id counts as an empty text in the choice of training rows. Counts
+are exact up to 2**53, beyond what one byte holds in 64 bits beside the bytes.
 """
 
 from __future__ import annotations

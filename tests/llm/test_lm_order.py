@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import harness
+import numpy as np
 import pytest
 
 from loamstone.llm import lm
@@ -81,3 +82,15 @@ def test_tiny_tables_at_order_3(spark):
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
         scored = lm.score(spark.createDataFrame([(1, "a b c"), (2, None)], docs.schema), lm.train(docs, order=3)).collect()
         assert len(scored) == 2 and all(-100 < r.score <= 1e-12 for r in scored)
+
+
+def test_counts_beyond_32_bits_are_kept(tmp_path):
+    keys = np.sort(np.array([5, 1 << 40, (1 << 64) - 9, 7, 1 << 63], np.uint64))
+    counts = np.array([1, 254, 255, 1 << 32, 1 << 52])
+    held = lm._chunks(keys, counts, 3).to_pylist()
+    assert np.concatenate([lm._full(r["k"]) for r in held]).tolist() == keys.tolist()
+    assert np.concatenate([lm._counts(r["n"], r["size"]) for r in held]).tolist() == counts.tolist()
+    lm._write(f"{tmp_path}/0", [keys])
+    lm._write(f"{tmp_path}/0.n", lm._packed(counts))
+    table = lm.Table(str(tmp_path), [len(keys)])
+    assert table.column("n", table.find(keys)).tolist() == counts.tolist()
