@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamstone.llm import decontam, langid, lm, lz, minhash, pii, quality, spm, token_counts, toxicity
-from loamstone.llm.common import shared_dir
+from loamstone.llm.common import shared_dir, stored
 from loamstone.llm.samples import fold
 
 
@@ -33,12 +33,18 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENI
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
-    """Totals after the first load of documents and a replay of it, which must change nothing."""
+    """Totals after a load of half texts, its replay (which changes nothing), a revision to whole texts, a load of all once more, its withdrawal, and compaction: those of the whole texts."""
     kinds = [token_counts.ByteBpe("byte_bpe_50k", f"{tokenizers}/byte_bpe_50k.tiktoken"), token_counts.Words()]
     ledger = token_counts.TokenLedger(spark, shared_dir(spark, "token-ledger"))
-    load = token_counts.inserts(token_counts.count_tokens(_table(spark, sf_dir, "documents"), kinds))
+    docs = _table(spark, sf_dir, "documents")
+    half = docs.withColumn("text", F.expr("left(text, int(length(text) / 2))"))
+    before, after = (stored(token_counts.count_tokens(d, kinds), "token-counts") for d in (half, docs))
     for _ in range(2):
-        ledger.commit("load", load)
+        ledger.commit("load", token_counts.inserts(before))
+    ledger.commit("revise", token_counts.changes(before, after))
+    ledger.commit("again", token_counts.inserts(after))
+    ledger.commit("withdraw", token_counts.deletes(after))
+    ledger.compact()
     return ledger.totals()
 
 
