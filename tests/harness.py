@@ -13,7 +13,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def testdata(sf: str = "0.01") -> str:
+def data_dir(sf: str = "0.01") -> str:
     return os.environ.get("TESTDATA", "/root/testdata") + f"/sf{sf}"
 
 

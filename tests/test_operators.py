@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from harness import testdata
+from harness import data_dir
 from pyspark.sql import functions as F
 
 from loamstone.functions.text import html_to_text, normalize_ws, tokenize, url_canonical
@@ -26,7 +26,7 @@ def test_text_functions(spark):
 
 
 def test_chunks_rejoin_to_the_text(spark):
-    docs = load(spark, testdata("0.001"), "documents")
+    docs = load(spark, data_dir("0.001"), "documents")
     size, overlap = 120, 20
     rows = chunking.chunk_chars(docs, size, overlap).collect()
     by = {}
@@ -55,7 +55,7 @@ def test_keyword_ranking(spark, docs):
 
 @pytest.fixture(scope="module")
 def vecs(spark):
-    return load(spark, testdata("0.01"), "embeddings")
+    return load(spark, data_dir("0.01"), "embeddings")
 
 
 def test_exact_search_agrees_with_sql_form(vecs):
@@ -104,7 +104,7 @@ def test_upsert_keeps_the_later_version(spark):
 
 
 def test_filters_and_columns_reach_the_scan(spark):
-    df = load_pruned(spark, testdata("0.001"), "documents", ["doc_id"], (F.col("lang") == "en") & (F.col("n_chars") > 30))
+    df = load_pruned(spark, data_dir("0.001"), "documents", ["doc_id"], (F.col("lang") == "en") & (F.col("n_chars") > 30))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(lang,en)" in plan and "GreaterThan(n_chars,30)" in plan and "text" not in plan.split("ReadSchema")[1]
 

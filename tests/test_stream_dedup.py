@@ -4,7 +4,7 @@ import datetime as dt
 from collections import defaultdict
 
 import pytest
-from harness import testdata as data
+from harness import data_dir as data
 
 from loamstone.queries.streams import QUERIES
 from loamstone.sources.tables import load
