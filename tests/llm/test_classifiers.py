@@ -1,7 +1,7 @@
 """Held-out accuracy, and what must not matter to a score."""
 
 import pytest
-from harness import compare, testdata
+from harness import compare, data_dir
 from pyspark.sql import functions as F
 
 from loamstone.llm import toxicity
@@ -10,7 +10,7 @@ from loamstone.llm import queries as llm
 
 @pytest.fixture(scope="module")
 def labels(spark):
-    return spark.read.parquet(testdata("0.1") + "/labels.parquet")
+    return spark.read.parquet(data_dir("0.1") + "/labels.parquet")
 
 
 def accuracy(df, label):
@@ -19,14 +19,14 @@ def accuracy(df, label):
 
 
 def test_quality_held_out(spark, labels):
-    got = llm.op7_quality_classifier(spark, testdata("0.1")).join(labels, "doc_id").where("held_out").persist()
+    got = llm.op7_quality_classifier(spark, data_dir("0.1")).join(labels, "doc_id").where("held_out").persist()
     assert accuracy(got, "quality") > 0.97
     assert got.agg(F.min("score"), F.max("score")).first()[0] >= 0
 
 
 def test_language_held_out(spark):
-    docs = spark.read.parquet(testdata("0.1") + "/documents.parquet").select("doc_id", "lang")
-    got = llm.op8_language_id(spark, testdata("0.1")).join(docs, "doc_id").where("held_out").persist()
+    docs = spark.read.parquet(data_dir("0.1") + "/documents.parquet").select("doc_id", "lang")
+    got = llm.op8_language_id(spark, data_dir("0.1")).join(docs, "doc_id").where("held_out").persist()
     assert got.where("lang = lang_pred").count() > 0.97 * got.count()
     # Rejection is calibrated: what is accepted is right more often than what is not.
     right = got.agg(F.avg(F.when(~F.col("rejected"), (F.col("lang") == F.col("lang_pred")).cast("double"))).alias("accepted")).first()
@@ -34,7 +34,7 @@ def test_language_held_out(spark):
 
 
 def test_toxicity_held_out(spark, labels):
-    got = llm.op10_toxicity(spark, testdata("0.1")).join(labels, "doc_id").where("held_out").persist()
+    got = llm.op10_toxicity(spark, data_dir("0.1")).join(labels, "doc_id").where("held_out").persist()
     tp = got.where("predicted = 1 and toxic = 1").count()
     assert tp > 0.75 * got.where("toxic = 1").count() and tp > 0.9 * got.where("predicted = 1").count()
 
@@ -71,14 +71,14 @@ def test_marginals_equal_enumeration():
 
 @pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
 def test_sql(spark, name):
-    assert compare(spark, name, testdata("0.001")) > 0
+    assert compare(spark, name, data_dir("0.001")) > 0
 
 
 def test_pipeline_stages_against_queries(spark):
     """The deduplication and decontamination stages keep what the queries on the same rows call kept and clean."""
     import corpus_pipeline
 
-    d = testdata("0.001")
+    d = data_dir("0.001")
     docs = spark.read.parquet(f"{d}/documents.parquet")
     kept = {r.doc_id for r in corpus_pipeline.minhash_near_dedup(spark, docs, d).collect()}
     assert kept == {r.doc_id for r in llm.op9_minhash_near_dedup(spark, d).where("kept").collect()}

@@ -55,7 +55,7 @@ def kneser_ney(texts, order):
 
 @pytest.mark.parametrize("order", [3, 4])
 def test_higher_orders_equal_plain_dictionaries(spark, order):
-    docs = spark.read.parquet(harness.testdata("0.001") + "/documents.parquet").select("doc_id", "text")
+    docs = spark.read.parquet(harness.data_dir("0.001") + "/documents.parquet").select("doc_id", "text")
     text = {r.doc_id: r.text for r in docs.collect()} | {-1: None, -2: "", -3: "never-seen-word the"}
     docs = spark.createDataFrame(list(text.items()), docs.schema).repartition(5)
     best, p, vocabulary = kneser_ney([t for i, t in text.items() if zlib.crc32(str(i).encode()) % 10], order)
@@ -70,10 +70,10 @@ def test_higher_orders_equal_plain_dictionaries(spark, order):
 def test_registered_query_scores_held_out_rows_by_trigrams(spark):
     from loamstone.llm.queries import op5_lm_scoring
 
-    docs = spark.read.parquet(harness.testdata("0.001") + "/documents.parquet").select("doc_id", "text")
+    docs = spark.read.parquet(harness.data_dir("0.001") + "/documents.parquet").select("doc_id", "text")
     rows = docs.collect()
     best, _, _ = kneser_ney([r.text for r in rows if zlib.crc32(str(r.doc_id).encode()) % 10], 3)
-    got = {r.doc_id: r.score for r in op5_lm_scoring(spark, harness.testdata("0.001")).where("held_out").collect()}
+    got = {r.doc_id: r.score for r in op5_lm_scoring(spark, harness.data_dir("0.001")).where("held_out").collect()}
     assert got and all(got[r.doc_id] == pytest.approx(sum(best(r.text)), rel=1e-9) for r in rows if r.doc_id in got)
 
 

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 
 import pyarrow as pa
 import pytest
-from harness import testdata
+from harness import data_dir
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -71,7 +71,7 @@ def test_pieces_equal_the_public_library(spark):
     import sentencepiece
 
     p = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    texts = ODD + [r.text for r in spark.read.parquet(testdata("0.001") + "/documents.parquet").collect()]
+    texts = ODD + [r.text for r in spark.read.parquet(data_dir("0.001") + "/documents.parquet").collect()]
     flat, at = spm.encode_batch(spm.load(PIECES), pa.array(texts))
     for k, t in enumerate(texts):
         assert flat[at[k] : at[k + 1]].tolist() == p.encode(t or ""), t
@@ -117,7 +117,7 @@ def test_bpe_counts_equal_the_public_library(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(f"{TOKENIZERS}/byte_bpe_50k.json")
-    docs = spark.read.parquet(testdata("0.001") + "/documents.parquet")
+    docs = spark.read.parquet(data_dir("0.001") + "/documents.parquet")
     got = {r.doc_id: (r.text, r.n_tokens) for r in token_counts.count_tokens(docs, [token_counts.ByteBpe("b", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")], keep=["doc_id", "text"]).collect()}
     assert all(n == len(t.encode(x, add_special_tokens=False).ids) for x, n in got.values())
 
@@ -177,7 +177,7 @@ def kneser_ney(texts):
 
 
 def test_language_model_equals_plain_dictionaries(spark):
-    docs = spark.read.parquet(testdata("0.001") + "/documents.parquet").select("doc_id", "text")
+    docs = spark.read.parquet(data_dir("0.001") + "/documents.parquet").select("doc_id", "text")
     rows = docs.collect()
     tok, c, n, base, best, p = kneser_ney([r.text for r in rows if zlib.crc32(str(r.doc_id).encode()) % 10])
     assert abs(sum(p("the", w) for w in c) + p("the", "never seen") - 1) < 1e-9
