@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,6 +30,10 @@ _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint
 _STEP = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 SLICE_BYTES = 1 << 20
+#: Spans of more bytes are hashed one by one: a polynomial modulo 2**64 maps some long texts of two letters to one value.
+STRONG_FROM = 64
+#: Folders made by `shared_dir` in this process.
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -47,7 +52,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             spark.sparkContext.setCheckpointDir(root)
         else:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -57,6 +63,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the folders of a `stored` table that nothing reads any more."""
+    for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        found = next((m for m in _made if path.split(":", 1)[-1].lstrip("/") == m.split(":", 1)[-1].lstrip("/")), None)
+        if found:
+            _delete(table.sparkSession, found)
+            _made.remove(found)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete every folder that operators have left in the shared folder; call it once their results are written. Returns how many."""
+    n = len(_made)
+    while _made:
+        _delete(spark, _made.pop())
+    return n
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """name, with underscores before it until none of the frames has such a column."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, after which the worker hands freed memory back to the system; workers live on and else keep their peak."""
 
@@ -136,11 +172,19 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, from prefix sums of a polynomial over random byte codes."""
+    """A 64-bit hash of each byte span.
+
+    Short spans take prefix sums of a polynomial over random byte codes, all at once;
+    those of over STRONG_FROM bytes a cryptographic hash, as such a polynomial has
+    collisions there whatever its base. Equal spans have equal hashes wherever they lie.
+    """
     up, down = _power(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _STEP[63])
+    out = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _STEP[63])
+    for k in np.flatnonzero(ends - starts > STRONG_FROM).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def row_words(column: pa.Array, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamstone.llm.common import stored
+from loamstone.llm.common import discard, stored
 
 
 def components(edges: DataFrame, a: str, b: str, name: str = "components", most: int = 64) -> DataFrame:
@@ -15,7 +15,7 @@ def components(edges: DataFrame, a: str, b: str, name: str = "components", most:
     every node links its neighbours to their minimum until only stars are left.
     Each half is a partial aggregate and a join, so a node with a great many
     neighbours is pre-aggregated and its join side can be split. Every round is
-    written to the shared folder. Rounds grow with the logarithm of the longest
+    written to the shared folder, the one before deleted. Rounds grow with the logarithm of the longest
     path; `most` only guards against a defect and raises.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
@@ -34,7 +34,8 @@ def components(edges: DataFrame, a: str, b: str, name: str = "components", most:
         down = large.where("u <> v")
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        held = stored(small, name)
+        before, held = held, stored(small, name)
+        discard(before)
         now = signature(held)
         if now == was:
             break

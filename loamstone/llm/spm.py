@@ -14,7 +14,9 @@ the best-ranked, leftmost one is taken, until none is left. All units go
 through these rounds together in numpy; units of over 256 characters use a heap
 over the same edges. Characters outside the vocabulary fall back to bytes.
 
-Encoded units are remembered by a 64-bit hash, up to CACHE of them in a worker.
+Encoded units are remembered by a 64-bit hash, up to CACHE of them in a worker. Their
+bytes are kept too and compared whenever one is met again; units that share a hash but
+not their bytes are encoded on their own, so ids never depend on the hash.
 
 Defined results: null and empty texts have no ids; decoding no ids, or null, gives
 "". As in the public library a space and U+2581 are one character, so texts
@@ -93,6 +95,9 @@ class Model:
         self.at = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
+        self.text = np.zeros(0, np.uint8)
+        self.text_at = np.zeros(0, np.int64)
+        self.text_len = np.zeros(0, np.int64)
 
     def _keys(self, rows: np.ndarray) -> np.ndarray:
         return np.ascontiguousarray(rows.astype(">u2")).view(f"S{2 * self.depth}").ravel()
@@ -225,10 +230,15 @@ class Model:
         count = np.array([len(x) for x in got], np.int64)
         flat = np.concatenate([self.flat, *got]).astype(np.int32)
         at = np.cumsum(count) - count + len(self.flat)
+        raw = [u.replace(SPACE, " ").encode("utf-8", "surrogatepass") for u in units]
+        size = np.array([len(x) for x in raw], np.int64)
+        begin = np.cumsum(size) - size + len(self.text)
+        self.text = np.concatenate([self.text, np.frombuffer(b"".join(raw), np.uint8)])
         every = np.concatenate([self.hashes, hashes])
         order = np.argsort(every, kind="stable")
         self.hashes, self.flat = every[order], flat
         self.at, self.count = np.concatenate([self.at, at])[order], np.concatenate([self.count, count])[order]
+        self.text_at, self.text_len = np.concatenate([self.text_at, begin])[order], np.concatenate([self.text_len, size])[order]
 
     def unknown(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
@@ -255,6 +265,35 @@ def _units(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return data, starts, ends, span_hashes(data, starts, ends), np.searchsorted(starts, offsets)
 
 
+def _same(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, at: np.ndarray, size: np.ndarray) -> bool:
+    """Whether every span of data, one after the other, equals the bytes of `other` given for it."""
+    own = ends - starts
+    if (own != size).any():
+        return False
+    shift = np.repeat(at - (np.cumsum(own) - own), own)
+    mine = data if len(data) == len(shift) else data[np.repeat(starts - (np.cumsum(own) - own), own) + np.arange(len(shift))]
+    return bool((mine == other[shift + np.arange(len(shift))]).all())
+
+
+def _by_text(model: Model, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and their number for each unit, told apart by their bytes alone; nothing is remembered."""
+    raw = data.tobytes()
+    every = [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+    number = {u: k for k, u in enumerate(dict.fromkeys(every))}
+    got: list[np.ndarray] = []
+    part: list[str] = []
+    size = 0
+    for u in number:
+        part.append(u.decode("utf-8", "surrogatepass").replace(" ", SPACE))
+        size += len(u)
+        if size >= CHUNK:
+            got += model.encode_units(part)
+            part, size = [], 0
+    got += model.encode_units(part) if part else []
+    ids = [got[number[u]] for u in every]
+    return np.concatenate([np.zeros(0, np.int32), *ids]), np.array([len(x) for x in ids], np.int64)
+
+
 def encode_batch(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Flat ids of all rows and the rows' offsets into them."""
     pieces = []
@@ -262,7 +301,10 @@ def encode_batch(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray
     for batch in slices(whole):
         data, starts, ends, hashes, rows = _units(batch.column("text"))
         distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        pieces.append((distinct, back.astype(np.int32), rows))
+        if not _same(data, starts, ends, data, starts[first][back], (ends - starts)[first][back]):
+            flat, many = _by_text(model, data, starts, ends)
+            pieces.append((flat, np.concatenate([[0], np.cumsum(many)])[rows]))
+            continue
         new = np.flatnonzero(model.unknown(distinct))
         if len(new) + len(model.hashes) > CACHE:
             model.forget()
@@ -271,11 +313,16 @@ def encode_batch(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray
             # A unit starts at a space or the text's start and so at a character's first byte.
             raw = data.tobytes()
             model.learn(distinct[new], [raw[s:e].decode("utf-8", "surrogatepass").replace(" ", SPACE) for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-        k = np.searchsorted(model.hashes, distinct)[back]
+        k = np.searchsorted(model.hashes, distinct)
+        if not _same(data, starts[first], ends[first], model.text, model.text_at[k], model.text_len[k]):
+            flat, many = _by_text(model, data, starts, ends)
+            pieces.append((flat, np.concatenate([[0], np.cumsum(many)])[rows]))
+            continue
+        k = k[back]
         many, at = model.count[k], model.at[k]
         total = np.cumsum(many)
         flat = model.flat[np.repeat(at - (total - many), many) + np.arange(total[-1] if len(total) else 0)]
-        pieces[-1] = flat, np.concatenate([[0], total])[rows]
+        pieces.append((flat, np.concatenate([[0], total])[rows]))
     base = np.cumsum([0, *(len(f) for f, _ in pieces)])
     flat = np.concatenate([np.zeros(0, np.int32), *(f for f, _ in pieces)])
     ends = [np.zeros(1, np.int64), *(o[1:] + b for (_, o), b in zip(pieces, base.tolist(), strict=False))]
