@@ -4,7 +4,8 @@ A text is the mean of the embeddings of its byte n-grams (two to four bytes of
 the lower-cased text, everything but letters blanked), each hashed to one of
 2**16 rows (Joulin et al. 2017). Embeddings and softmax are trained together by
 stochastic gradient descent in numpy, on a bounded, documented sample: `per_lang`
-texts a language and `bound` in all, by hash of the id. For scoring the two
+texts a language and `bound` in all, by hash of the id (a cut-off by each language's
+count first, so no task ranks all rows of a language). For scoring the two
 matrices are multiplied out, so a text costs one gather an n-gram.
 
 A fifth of the sample is held back to calibrate: a temperature for the scores,
@@ -28,11 +29,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamstone.llm.common import slices, text_buffer
-from loamstone.llm.samples import fold
+from loamstone.llm.common import fresh, slices, text_buffer
+from loamstone.llm.samples import fold, share_for, under
 
 BITS, ORDERS, WIDTH = 16, (2, 3, 4), 16
 PER_LANG, BOUND = 500, 5_000
+#: Counts of up to so many languages are broadcast.
+MANY_LANGS = 10_000
 _BLANK = np.arange(256, dtype=np.uint8)
 _BLANK[:128] = 32
 _BLANK[97:123] = np.arange(97, 123)
@@ -141,9 +144,13 @@ def train(docs: DataFrame, *, n: int = 4, out: int = 2, per_lang: int = PER_LANG
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "lang", "ids", "counts"])
 
     known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).isNotNull().alias("ok")).where("ok and lang is not null and doc_id is not null").where(fold("doc_id", n) != out)
-    order = F.xxhash64("doc_id"), F.col("doc_id")
-    ranked = known.select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).alias("rn")).where(F.col("rn") <= per_lang)
-    chosen = ranked.orderBy("rn", *order).limit(bound).select("doc_id").distinct()
+    h = F.xxhash64("doc_id")
+    sizes = known.groupBy("lang").agg(F.count("*").alias("size"))
+    if sizes.limit(MANY_LANGS + 1).count() <= MANY_LANGS:
+        sizes = F.broadcast(sizes)
+    some = known.select("doc_id", "lang").join(sizes, "lang").where(under(h, share_for(per_lang, F.col("size"))))
+    ranked = some.select("doc_id", F.row_number().over(Window.partitionBy("lang").orderBy(h, "doc_id")).alias("rn")).where(F.col("rn") <= per_lang)
+    chosen = ranked.orderBy("rn", h, "doc_id").limit(bound).select("doc_id").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null").join(F.broadcast(chosen), "doc_id")
     got = texts.mapInArrow(run, "doc_id long, lang string, ids binary, counts binary").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
     langs = sorted(set(got.column("lang").to_pylist()))
@@ -163,12 +170,13 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFra
     """docs with lang_pred, score and rejected (columns of these names are replaced)."""
     base = docs.drop("lang_pred", "score", "rejected")
     kept = base.columns
-    marked = base.withColumn("__letter", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    mark = fresh("__letter", base)
+    marked = base.withColumn(mark, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text_col):
-                letter = batch.column("__letter").to_numpy(zero_copy_only=False)
+                letter = batch.column(mark).to_numpy(zero_copy_only=False)
                 if model.langs:
                     p = model.proba(model.logits(*text_buffer(batch.column(text_col))))
                     top = np.where(letter, p.max(axis=1), 0.0)

@@ -16,7 +16,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Where the public vocabulary files lie; every executor has them.
+def tokenizers_dir(spark: SparkSession) -> str:
+    """Where the public vocabulary files lie on every executor: the setting spark.loamstone.tokenizers."""
+    return spark.conf.get("spark.loamstone.tokenizers", TOKENIZERS)
+
+
+#: The folder where that isn't set.
 TOKENIZERS = "/opt/tokenizers"
 
 
@@ -28,13 +33,13 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns(count | texts).select("doc_id", *count, *texts)
 
 
-def op2_sentencepiece(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
-    return spm.round_trip(_table(spark, sf_dir, "documents"), f"{tokenizers}/piece_bpe_32k.model")
+def op2_sentencepiece(spark: SparkSession, sf_dir: str, tokenizers: str | None = None) -> DataFrame:
+    return spm.round_trip(_table(spark, sf_dir, "documents"), f"{tokenizers or tokenizers_dir(spark)}/piece_bpe_32k.model")
 
 
-def op3_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+def op3_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str | None = None) -> DataFrame:
     """Totals after a load of half texts, its replay (which changes nothing), a revision to whole texts, a load of all once more, its withdrawal, and compaction: those of the whole texts."""
-    kinds = [token_counts.ByteBpe("byte_bpe_50k", f"{tokenizers}/byte_bpe_50k.tiktoken"), token_counts.Words()]
+    kinds = [token_counts.ByteBpe("byte_bpe_50k", f"{tokenizers or tokenizers_dir(spark)}/byte_bpe_50k.tiktoken"), token_counts.Words()]
     ledger = token_counts.TokenLedger(spark, shared_dir(spark, "token-ledger"))
     docs = _table(spark, sf_dir, "documents")
     half = docs.withColumn("text", F.expr("left(text, int(length(text) / 2))"))
