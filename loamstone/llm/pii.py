@@ -11,7 +11,10 @@ and shape, which decides on the further candidates.
 
 Candidates are found in one row's own arrays, so nothing but counts of vote
 patterns is shuffled (their number is bounded: kinds x votes x flags); the
-estimates are made from those counts on the driver.
+estimates are made from those counts on the driver. Texts are searched once: the
+candidates are kept in the shared folder for the estimates and for the decision.
+No length of a span or of the text before it is limited, but where a format has
+one (account numbers have 15 to 34 signs).
 
 Patterns are written with possessive quantifiers and look-behinds so that long
 runs of one character class are scanned once; they match what the plain forms do.
@@ -31,6 +34,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamstone.llm.common import fresh, stored
+
 # The base patterns, equal to the plain forms
 #   email [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
 #   ip    [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
@@ -50,12 +55,12 @@ NAMES = ["Alice", "Andrea", "Anna", "Antonio", "Carlos", "Carmen", "Charles", "C
 COUNTRIES = "AT|BE|CH|CZ|DE|DK|ES|FI|FR|GB|GR|HU|IE|IT|LU|NL|NO|PL|PT|RO|SE"
 DOMAINS = "com|org|net|edu|gov|io|info|de|fr|es|uk|eu"
 MORE = (
-    r"(?<![0-9A-Za-z.+@-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}"
+    r"(?<![0-9A-Za-z._%+@-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}"
     r"|\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}"
     r"|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?"
-    r"|[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,64}(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]{2,64}){1,4}"
-    rf"|(?:{_TITLES})\.?\x20\p{{Lu}}[\p{{L}}'-]{{1,40}}(?:\x20\p{{Lu}}[\p{{L}}'-]{{1,40}})?"
-    rf"|(?:{'|'.join(NAMES)})\x20\p{{Lu}}[\p{{L}}'-]{{1,40}})(?![0-9\p{{L}}])"
+    r"|[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?(?:\(dot\)|\[dot\])\x20?)[A-Za-z0-9-]{2,}+)++"
+    rf"|(?:{_TITLES})\.?\x20\p{{Lu}}[\p{{L}}'-]++(?:\x20\p{{Lu}}[\p{{L}}'-]++)?"
+    rf"|(?:{'|'.join(NAMES)})\x20\p{{Lu}}[\p{{L}}'-]++)(?![0-9\p{{L}}])"
 )
 KINDS = [*BASE, "account", "address", "local_phone", "national", "person"]
 LABELERS = ["shape", "checks", "gazetteer", "context", "edges"]
@@ -91,7 +96,7 @@ def _found(m: str, g: str) -> Column:
     """Spans of the matches m, which lie between the pieces g of the text."""
     widths = F.zip_with(F.col(m), F.slice(F.col(g), F.lit(1), F.size(m)), lambda x, y: (F.length(x) + F.length(y)).cast("long"))
     ends = _running(widths)
-    made = F.transform(F.arrays_zip(F.col(m).alias("s"), ends.alias("e"), F.slice(F.col(g), F.lit(1), F.size(m)).alias("l"), F.slice(F.col(g), F.lit(2), F.size(m)).alias("r")), lambda z: F.struct((z["e"] - F.length(z["s"])).alias("start"), z["e"].alias("end"), z["s"].alias("s"), F.substring(z["l"], -40, 40).alias("left"), F.substring(z["r"], 1, 1).alias("right")))
+    made = F.transform(F.arrays_zip(F.col(m).alias("s"), ends.alias("e"), F.slice(F.col(g), F.lit(1), F.size(m)).alias("l"), F.slice(F.col(g), F.lit(2), F.size(m)).alias("r")), lambda z: F.struct((z["e"] - F.length(z["s"])).alias("start"), z["e"].alias("end"), z["s"].alias("s"), z["l"].alias("left"), F.substring(z["r"], 1, 1).alias("right")))
     return F.when(F.size(m) > 0, made).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,s:string,left:string,right:string>>"))
 
 
@@ -154,20 +159,23 @@ def _judged(kind: Column, z: Column) -> Column:
     return F.struct(kind.alias("kind"), z["start"].alias("start"), z["end"].alias("end"), *(v.cast("int").alias(k) for k, v in votes.items()), *(v.cast("int").alias(k) for k, v in flags.items()))
 
 
-def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the arrays __base and __more of judged candidates, in order of kind and start."""
+def candidates(docs: DataFrame, text_col: str = "text", names: tuple[str, str] = ("base", "more")) -> DataFrame:
+    """docs with two arrays of judged candidates under `names` (not names of docs' columns), in order of kind and start."""
     none = F.array().cast("array<string>")
-    text = F.coalesce(F.col(text_col), F.lit(""))
     patterns = BASE | {"more": MORE}
-    held = docs.withColumn("__text", text)
-    held = held.withColumns({f"__m_{k}": (F.when(F.contains("__text", F.lit(GUARD[k])), F.regexp_extract_all("__text", F.lit(p), F.lit(0))).otherwise(none) if k in GUARD else F.regexp_extract_all("__text", F.lit(p), F.lit(0))) for k, p in patterns.items()})
-    held = held.withColumns({f"__g_{k}": F.when(F.size(f"__m_{k}") > 0, F.split("__text", p, -1)).otherwise(none) for k, p in patterns.items()})
-    held = held.withColumns({f"__s_{k}": _found(f"__m_{k}", f"__g_{k}") for k in patterns})
-    held = held.withColumns({f"__s_{k}": F.filter(f"__s_{k}", _check(k)) for k in BASE})
-    held = held.withColumn("__base", F.concat(*(F.transform(f"__s_{k}", _judge(k)) for k in BASE)))
-    more = F.transform("__s_more", lambda z: _judged(_more_kind(z["s"]), z))
-    held = held.withColumn("__more", F.array_sort(F.filter(more, lambda z: ~F.exists("__base", lambda b: (b["start"] < z["end"]) & (z["start"] < b["end"])))))
-    return held.drop("__text", *(f"__{x}_{k}" for x in "mgs" for k in patterns))
+    t = fresh("__text", docs)
+    m, g, s = ({k: fresh(f"__{x}_{k}", docs) for k in patterns} for x in "mgs")
+    base, further = names
+    held = docs.withColumn(t, F.coalesce(F.col(text_col), F.lit("")))
+    found = {k: F.regexp_extract_all(t, F.lit(p), F.lit(0)) for k, p in patterns.items()}
+    held = held.withColumns({m[k]: F.when(F.contains(t, F.lit(GUARD[k])), v).otherwise(none) if k in GUARD else v for k, v in found.items()})
+    held = held.withColumns({g[k]: F.when(F.size(m[k]) > 0, F.split(t, p, -1)).otherwise(none) for k, p in patterns.items()})
+    held = held.withColumns({s[k]: _found(m[k], g[k]) for k in patterns})
+    held = held.withColumns({s[k]: F.filter(s[k], _check(k)) for k in BASE})
+    held = held.withColumn(base, F.concat(*(F.transform(s[k], _judge(k)) for k in BASE)))
+    more = F.transform(s["more"], lambda z: _judged(_more_kind(z["s"]), z))
+    held = held.withColumn(further, F.array_sort(F.filter(more, lambda z: ~F.exists(base, lambda b: (b["start"] < z["end"]) & (z["start"] < b["end"])))))
+    return held.drop(t, *m.values(), *g.values(), *s.values())
 
 
 @dataclass
@@ -225,7 +233,12 @@ def _logistic(x: np.ndarray, p: np.ndarray, n: np.ndarray, ridge: float = 1.0, r
 
 def train(docs: DataFrame, text_col: str = "text") -> Model:
     """Estimates over the candidates of all rows."""
-    every = candidates(docs.select(text_col), text_col).select(F.explode(F.concat("__base", "__more")).alias("z")).select("z.*")
+    names = fresh("__base", docs), fresh("__more", docs)
+    return _estimated(candidates(docs.select(text_col), text_col, names), names)
+
+
+def _estimated(held: DataFrame, names: tuple[str, str]) -> Model:
+    every = held.select(F.explode(F.concat(*names)).alias("z")).select("z.*")
     got = every.groupBy("kind", *LABELERS, *FLAGS).agg(F.count("*").alias("n")).orderBy("kind", *LABELERS, *FLAGS).collect()
     n = np.array([r.n for r in got], float)
     votes = np.array([[r[k] for k in LABELERS] for r in got], int).reshape(len(got), len(LABELERS))
@@ -236,14 +249,24 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     return Model(prior, {k: table[i].tolist() for i, k in enumerate(LABELERS)}, dict(zip(names, w.tolist(), strict=True)))
 
 
-def find(docs: DataFrame, model: Model | None = None, *, text_col: str = "text", least: float = 0.5, names: tuple[str, str] = ("base_spans", "more_spans")) -> DataFrame:
-    """docs with two arrays of (kind, start, end) under `names`; columns of these names are replaced."""
-    model = model or train(docs, text_col)
+def find(docs: DataFrame, model: Model | None = None, *, text_col: str = "text", keep_text: bool = True, least: float = 0.5, names: tuple[str, str] = ("base_spans", "more_spans")) -> DataFrame:
+    """docs with two arrays of (kind, start, end) under `names`; columns of these names are replaced.
+
+    Without a model, one is estimated from docs' own candidates. These are then kept in
+    the shared folder beside docs' columns, so texts are searched once; without
+    keep_text the text column is left out there and in the result.
+    """
     cut = math.log(least / (1 - least))
     place = lambda z: F.struct(z["kind"].alias("kind"), z["start"].alias("start"), z["end"].alias("end"))
-    held = candidates(docs.drop(*names), text_col)
-    held = held.withColumns({names[0]: F.transform("__base", place), names[1]: F.transform(F.filter("__more", lambda z: model.logit(z) >= cut), place)})
-    return held.drop("__base", "__more")
+    docs = docs.drop(*names)
+    base, further = fresh("__base", docs), fresh("__more", docs)
+    held = candidates(docs, text_col, (base, further))
+    held = held if keep_text else held.drop(text_col)
+    if model is None:
+        held = stored(held, "pii-candidates")
+        model = _estimated(held, (base, further))
+    held = held.withColumns({names[0]: F.transform(base, place), names[1]: F.transform(F.filter(further, lambda z: model.logit(z) >= cut), place)})
+    return held.drop(base, further)
 
 
 def spans_text(spans: Column | str) -> Column:
@@ -252,14 +275,15 @@ def spans_text(spans: Column | str) -> Column:
 
 def redact(docs: DataFrame, model: Model | None = None, *, text_col: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in brackets; overlapping spans go together, under the first one's kind."""
-    held = find(docs, model, text_col=text_col, names=("__base_spans", "__more_spans"))
-    spans = F.array_sort(F.transform(F.concat("__base_spans", "__more_spans"), lambda z: F.struct(z["start"].alias("start"), z["end"].alias("end"), z["kind"].alias("kind"))))
+    names = fresh("__base_spans", docs), fresh("__more_spans", docs)
+    held = find(docs, model, text_col=text_col, names=names)
+    spans = F.array_sort(F.transform(F.concat(*names), lambda z: F.struct(z["start"].alias("start"), z["end"].alias("end"), z["kind"].alias("kind"))))
     t = F.col(text_col)
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, z: Column) -> Column:
-        fresh = F.concat(acc["out"], F.array(F.substring(t, acc["at"].cast("int") + 1, (z["start"] - acc["at"]).cast("int")), F.concat(F.lit("["), F.upper(z["kind"]), F.lit("]"))))
-        return F.struct(F.greatest(acc["at"], z["end"]).alias("at"), F.when(z["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
+        fresh_part = F.concat(acc["out"], F.array(F.substring(t, acc["at"].cast("int") + 1, (z["start"] - acc["at"]).cast("int")), F.concat(F.lit("["), F.upper(z["kind"]), F.lit("]"))))
+        return F.struct(F.greatest(acc["at"], z["end"]).alias("at"), F.when(z["start"] >= acc["at"], fresh_part).otherwise(acc["out"]).alias("out"))
 
     built = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(t, acc["at"].cast("int") + 1, F.length(t))))
-    return held.withColumn(text_col, F.when(F.size(F.concat("__base_spans", "__more_spans")) > 0, built).otherwise(t)).drop("__base_spans", "__more_spans")
+    return held.withColumn(text_col, F.when(F.size(F.concat(*names)) > 0, built).otherwise(t)).drop(*names).select(*docs.columns)

@@ -26,11 +26,12 @@ TOKENIZERS = "/opt/tokenizers"
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     kinds = F.transform("base_spans", lambda z: z["kind"])
     count = {f"n_{k}": (F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long") for k in pii.BASE}
     texts = {"base_sha256": F.sha2(pii.spans_text("base_spans"), 256), "spans": pii.spans_text(F.concat("base_spans", "more_spans"))}
-    return found.withColumns(count | texts).select("doc_id", *count, *texts)
+    every = {"n_spans": (F.size("base_spans") + F.size("more_spans")).cast("long")}
+    return found.withColumns(count | texts | every).select("doc_id", *count, *texts, *every)
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str, tokenizers: str | None = None) -> DataFrame:
