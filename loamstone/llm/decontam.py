@@ -7,9 +7,11 @@ knows the length of the longest match that ends there. A match of `window`
 words, or a whole shorter item, marks its words as hit.
 
 The automaton is built on the driver from the benchmark alone, in blocks of at
-most `block_words` words, so what is broadcast at once has a fixed bound. More
-words than that make more blocks, each a pass of its own over the texts'
-matches; no block is dropped.
+most `block_words` words (and one item). A benchmark of one block takes one pass over
+the texts. A larger one takes a pass for each block, one after the other: the hits so
+far lie beside the rows in the shared folder, and a block is built when its pass begins
+and given up when it ends, so driver and workers hold one block whatever the
+benchmark's size; no block is dropped.
 
 Defined results: a null or wordless text has no words, no hits and is clean. An
 item without words never occurs. Repeated items both count. Items with a null id hit
@@ -22,15 +24,16 @@ through untouched.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamstone.llm.common import ALNUM, lowered, row_words, slices, span_hashes, text_buffer, tidy, word_spans
+from loamstone.llm.common import ALNUM, discard, fresh, lowered, row_words, slices, span_hashes, stored, text_buffer, tidy, word_spans
 
 WINDOW = 13
 #: A document is contaminated from one word in so many.
@@ -184,79 +187,121 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def build_index(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, id_col: str = "item_id", text_col: str = "text") -> list[Index]:
-    """Blocks of the normalised test items. The benchmark is read row by row, block by block."""
-    blocks: list[Index] = []
+def _item_blocks(benchmark: DataFrame, block_words: int, id_col: str, text_col: str) -> Iterator[list[tuple[str | None, np.ndarray]]]:
+    """Normalised test items, about block_words words at a time; one block at least. Rows come to the driver as they are asked for."""
     held: list[tuple[str | None, np.ndarray]] = []
-    size = 0
+    size, some = 0, False
     rows = benchmark.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
     for r in rows.toLocalIterator():
         words, _ = row_words(pa.array([r.t]), ALNUM)
+        if held and size + len(words) > block_words:
+            yield held
+            held, size, some = [], 0, True
         held.append((r.k, words))
         size += len(words)
-        if size >= block_words:
-            blocks.append(Index(held, window))
-            held, size = [], 0
-    if held or not blocks:
-        blocks.append(Index(held, window))
-    return blocks
+    if held or not some:
+        yield held
+
+
+def build_index(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
+    """Indexes of the blocks of the normalised test items, one by one."""
+    for items in _item_blocks(benchmark, block_words, id_col, text_col):
+        yield Index(items, window)
 
 
 FIELDS = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("items", T.ArrayType(T.StringType())), ("contaminated", T.BooleanType())]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, coverage: int = COVERAGE, block_words: int = BLOCK_WORDS, action: str = "mark", text_col: str = "text") -> DataFrame:
+_HITS = T.StructType([T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
+_ARROW_HITS = pa.struct([("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, coverage: int = COVERAGE, block_words: int = BLOCK_WORDS, action: str = "mark", text_col: str = "text", drop_from: float = 1.0) -> DataFrame:
     """Judge every whole text against every test item.
 
     action "mark" adds n_words, n_hit, items and contaminated (columns of these
     names are replaced); "drop" returns the clean rows with their own columns;
-    "excise" returns all rows, the hit spans of contaminated rows cut out of the text.
+    "excise" cuts the hit spans out of the texts of contaminated rows and leaves out
+    rows of which at least the share drop_from of the words is hit.
     """
     spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(b) for b in build_index(benchmark, window, block_words)]
     added = [n for n, _ in FIELDS]
     base = docs.drop(*added) if action == "mark" else docs
-    schema = T.StructType([*base.schema.fields, *(T.StructField(n, k) for n, k in FIELDS)]) if action == "mark" else base.schema
-
     kept = base.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, text_col):
-                data, offsets = text_buffer(batch.column(text_col))
-                low = lowered(data)
-                starts, ends, rows = word_spans(low, offsets, ALNUM)
-                words = span_hashes(low, starts, ends)
-                n = np.diff(rows)
-                hit, items = np.zeros(len(n), np.int64), [[] for _ in n]
-                spans: dict[int, list[tuple[int, int]]] = {}
-                found: dict[int, set[str | None]] = {}
-                for block in blocks:
-                    for r, some, hits in block.value.matches(words, rows):
-                        spans.setdefault(r, []).extend(some)
-                        found.setdefault(r, set()).update(hits)
-                for r in spans:
-                    spans[r] = _merged(spans[r])
-                    hit[r] = sum(e - s for s, e in spans[r])
-                    items[r] = sorted(found[r], key=lambda k: (k is None, k or ""))
-                bad = (hit > 0) & (coverage * hit >= n)
-                if action == "mark":
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(n, pa.int64()), pa.array(hit), pa.array(items, pa.list_(pa.string())), pa.array(bad)], names=[*kept, *added])
-                elif action == "drop":
-                    yield batch.filter(pa.array(~bad))
-                else:
-                    texts = batch.column(text_col).to_pylist()
-                    for r in np.flatnonzero(bad).tolist():
-                        raw, at = data[offsets[r] : offsets[r + 1]].tobytes(), offsets[r]
-                        keep, left = [], 0
-                        for s, e in spans[r]:
-                            keep.append(raw[left : starts[s] - at])
-                            left = ends[e - 1] - at
-                        texts[r] = b"".join([*keep, raw[left:]]).decode()
-                    k = batch.schema.get_field_index(text_col)
-                    yield batch.set_column(k, batch.schema.field(k), pa.array(texts, batch.schema.field(k).type))
-
-    return base.mapInArrow(tidy(run), schema)
+    carried = fresh("__hits", base)
+    plain = T.StructType(base.schema.fields)
+
+    def scan(batch: pa.RecordBatch, block: Index) -> tuple:
+        """Words of a batch, and the hit ranges and items of its rows, those carried along included."""
+        data, offsets = text_buffer(batch.column(text_col))
+        low = lowered(data)
+        starts, ends, rows = word_spans(low, offsets, ALNUM)
+        spans: dict[int, list[tuple[int, int]]] = {}
+        found: dict[int, set[str | None]] = {}
+        if carried in batch.schema.names:
+            for r, x in enumerate(batch.column(carried).to_pylist()):
+                if x["spans"]:
+                    b = int(rows[r])
+                    spans[r] = [(b + s, b + e) for s, e in zip(x["spans"][::2], x["spans"][1::2], strict=True)]
+                    found[r] = set(x["items"])
+        for r, some, hits in block.matches(span_hashes(low, starts, ends), rows):
+            spans.setdefault(r, []).extend(some)
+            found.setdefault(r, set()).update(hits)
+        return data, offsets, starts, ends, rows, {r: _merged(x) for r, x in spans.items()}, found
+
+    def carry(block: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in slices(whole, text_col):
+                    *_, rows, spans, found = scan(batch, block.value)
+                    hits = [{"spans": [x - int(rows[r]) for span in spans.get(r, ()) for x in span], "items": list(found.get(r, ()))} for r in range(batch.num_rows)]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(hits, _ARROW_HITS)], names=[*kept, carried])
+
+        return run
+
+    def judge(block: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in slices(whole, text_col):
+                    data, offsets, starts, ends, rows, spans, found = scan(batch, block.value)
+                    n = np.diff(rows)
+                    hit, items = np.zeros(len(n), np.int64), [[] for _ in n]
+                    for r in spans:
+                        hit[r] = sum(e - s for s, e in spans[r])
+                        items[r] = sorted(found[r], key=lambda k: (k is None, k or ""))
+                    bad = (hit > 0) & (coverage * hit >= n)
+                    own = batch.select(kept)
+                    if action == "mark":
+                        yield pa.RecordBatch.from_arrays([*own.columns, pa.array(n, pa.int64()), pa.array(hit), pa.array(items, pa.list_(pa.string())), pa.array(bad)], names=[*kept, *added])
+                    elif action == "drop":
+                        yield own.filter(pa.array(~bad))
+                    else:
+                        texts = own.column(text_col).to_pylist()
+                        for r in np.flatnonzero(bad).tolist():
+                            raw, at = data[offsets[r] : offsets[r + 1]].tobytes(), offsets[r]
+                            keep, left = [], 0
+                            for s, e in spans[r]:
+                                keep.append(raw[left : starts[s] - at])
+                                left = ends[e - 1] - at
+                            texts[r] = b"".join([*keep, raw[left:]]).decode()
+                        k = own.schema.get_field_index(text_col)
+                        cut = own.set_column(k, own.schema.field(k), pa.array(texts, own.schema.field(k).type))
+                        yield cut.filter(pa.array(~bad | (hit < drop_from * n)))
+
+        return run
+
+    blocks = _item_blocks(benchmark, block_words, "item_id", "text")
+    items, held = next(blocks), base
+    while True:
+        index, items = spark.sparkContext.broadcast(Index(items, window)), next(blocks, None)
+        if items is None:
+            break
+        before, held = held, stored(held.mapInArrow(tidy(carry(index)), T.StructType([*plain.fields, T.StructField(carried, _HITS)])), "decontam-hits")
+        index.destroy()
+        if before is not base:
+            discard(before)
+    schema = T.StructType([*plain.fields, *(T.StructField(n, k) for n, k in FIELDS)]) if action == "mark" else plain
+    return held.mapInArrow(tidy(judge(index)), schema)
 
 
 def digest(items: DataFrame) -> DataFrame:
