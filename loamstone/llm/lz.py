@@ -1,16 +1,16 @@
 """Document fingerprints from Lempel-Ziv phrases.
 
-A text is parsed as LZ78 does, over words: each phrase is the longest one already
-in the text's dictionary plus the next word, and enters the dictionary. (Words of
-over 64 bytes count as runs of 16-byte pieces, so texts without spaces parse as
-well.) Texts that compress alike share phrases, so the likeness of two texts is
+A text is parsed as LZ78 does, over symbols: each phrase is the longest one already
+in the text's dictionary plus the next symbol, and enters the dictionary. Symbols are
+words, cut into pieces of at most 16 bytes, so texts without spaces parse as well. Texts that compress alike share phrases, so the likeness of two texts is
 the Jaccard likeness of their phrase sets, estimated from minimum-hash signatures
 of 128 values of 16 bits, printed as hexadecimal text.
 
 Defined results: null and wordless texts have no phrases and the fingerprint "";
 two such are alike (1), one such and another text are not (0). Equal texts have
-equal fingerprints. Order is by descending id, null ids last, then by text; rows
-that repeat an id follow one another in that order.
+equal fingerprints. Order is by descending id, null ids last; rows that share an id, or
+have none, follow one another by a hash of their text, then by text. An id that holds a
+large part of the rows, null too, is dealt out by that hash.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from loamstone.llm.common import NONSPACE, slices, span_hashes, text_buffer, word_spans
 
 VALUES = 128
-LONG, PIECE = 64, 16
+PIECE = 16
 _MASK = (1 << 64) - 1
 _MULT = 0xD6E8FEB86659FD93
 _rng = np.random.Generator(np.random.PCG64(78))
@@ -48,20 +48,20 @@ def phrases(words: list[int]) -> set[int]:
     return known
 
 
-def _cut_long(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    size = ends - starts
-    n = np.where(size > LONG, -(-size // PIECE), 1)
+def _pieces(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of at most PIECE bytes from those of words."""
+    n = -(-(ends - starts) // PIECE)
     if (n == 1).all():
         return starts, ends
     nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     begin = np.repeat(starts, n) + PIECE * nth
-    return begin, np.where(np.repeat(n, n) > 1, np.minimum(begin + PIECE, np.repeat(ends, n)), np.repeat(ends, n))
+    return begin, np.minimum(begin + PIECE, np.repeat(ends, n))
 
 
 def signatures(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """uint16 (rows, VALUES) and which rows have phrases."""
     data, offsets = text_buffer(column)
-    starts, ends = _cut_long(*word_spans(data, offsets, NONSPACE)[:2])
+    starts, ends = _pieces(*word_spans(data, offsets, NONSPACE)[:2])
     rows = np.searchsorted(starts, offsets)
     words = span_hashes(data, starts, ends).tolist()
     sets = [phrases(words[s:e]) for s, e in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)]
@@ -83,6 +83,7 @@ def _print(sig: np.ndarray, full: bool) -> str:
 
 
 def likeness(a: np.ndarray, b: np.ndarray, fa: np.ndarray, fb: np.ndarray) -> np.ndarray:
+    """Share of equal signature values; fa and fb: whether the sides have phrases."""
     return np.where(fa & fb, (a == b).mean(axis=1), (fa == fb).astype(float))
 
 
@@ -101,26 +102,37 @@ def fingerprints(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
 
 
 def _neighbours(docs: DataFrame, per_partition: int) -> DataFrame:
-    """(r, ghost, doc_id, text): rows dealt into ranges r of descending ids; each range ends with a ghost, the next range's first row.
+    """(r, ghost, doc_id, h, text): rows dealt into ranges r of descending ids; each range ends with a ghost, the next range's first row.
 
-    Range bounds come from quantiles of the ids and heads from a maximum by
-    range; both are as many as there are ranges, whatever the input's size.
+    Range bounds come from quantiles of the ids. An id with the rows of several ranges
+    gets ranges of its own, by h, a hash of the text. Heads are a minimum by range.
+    Bounds, such ids and heads are as many as there are ranges, whatever the input's size.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = parts * per_partition
-    cuts = sorted(set(docs.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.25 / n))) or [0.0]
+    docs = docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    cuts = set(docs.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.25 / n))
+    # Only what spans two bounds can hold the rows of several ranges; as must most rows, if there are no bounds.
+    hot = docs.where(F.col("doc_id").isNull() | F.col("doc_id").isin([int(c) for c in cuts])).groupBy("doc_id").agg(F.count("*").alias("m")).collect()
+    size = max(docs.count() // n, 1)
+    many = {r.doc_id: min(-(-r.m // size), n) for r in hot if r.m >= 2 * size and (r.doc_id is None or abs(r.doc_id) < 1 << 52)}
+    cuts = sorted(cuts | {float(i + k) for i in many if i is not None for k in (0, 1)}) or [0.0]
     bucket = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="at", outputCol="bucket", handleInvalid="keep")
-    last = len(cuts) + 1
-    dealt = bucket.transform(docs.withColumn("at", F.col("doc_id").cast("double"))).withColumn("r", F.when(F.col("at").isNull(), last).otherwise(len(cuts) - F.col("bucket")).cast("int")).select("r", "doc_id", "text")
-    heads = sorted((x.r, x.head) for x in dealt.groupBy("r").agg(F.max("doc_id").alias("head")).collect())
+    place = F.when(F.col("at").isNull(), len(cuts) + 1).otherwise(len(cuts) - F.col("bucket")).cast("long")
+    within = F.lit(0)
+    for i, k in many.items():
+        within = F.when(F.col("doc_id").eqNullSafe(F.lit(i).cast("long")), F.least(F.floor((F.col("h").cast("double") * 2.0**-64 + 0.5) * k), F.lit(k - 1))).otherwise(within)
+    dealt = bucket.transform(docs.withColumn("at", F.col("doc_id").cast("double"))).withColumn("r", place * n + within).select("r", "doc_id", "h", "text")
+    first = F.struct((-F.col("doc_id")).alias("a"), F.col("h"))
+    heads = sorted((x.r, x.head.a, x.head.h) for x in dealt.groupBy("r").agg(F.min(first).alias("head")).collect())
     if not heads:
-        return dealt.select("r", F.lit(0).alias("ghost"), "doc_id", "text")
-    before = [(heads[k - 1][0], r, head) for k, (r, head) in enumerate(heads)]
-    firsts = F.broadcast(spark.createDataFrame(before, "to int, r int, head long"))
-    ghosts = dealt.join(firsts, "r").where("doc_id <=> head").groupBy("to").agg(F.min(F.struct(F.col("text").isNotNull().alias("some"), "text")).alias("first"))
-    rows = dealt.select("r", F.lit(0).alias("ghost"), "doc_id", "text").union(ghosts.select(F.col("to").alias("r"), F.lit(1).alias("ghost"), F.lit(None).cast("long").alias("doc_id"), "first.text"))
-    return rows.repartition(parts, "r").sortWithinPartitions("r", "ghost", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
+        return dealt.select("r", F.lit(0).alias("ghost"), "doc_id", "h", "text")
+    before = [(heads[k - 1][0], r, None if a is None else -a, h) for k, (r, a, h) in enumerate(heads)]
+    firsts = F.broadcast(spark.createDataFrame(before, "to long, r long, head long, first_h long"))
+    ghosts = dealt.join(firsts, "r").where("doc_id <=> head and h = first_h").groupBy("to").agg(F.min(F.struct(F.col("text").isNotNull().alias("some"), "text")).alias("first"))
+    rows = dealt.select("r", F.lit(0).alias("ghost"), "doc_id", "h", "text").union(ghosts.select(F.col("to").alias("r"), F.lit(1).alias("ghost"), F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("h"), "first.text"))
+    return rows.repartition(parts, "r").sortWithinPartitions("r", "ghost", F.col("doc_id").desc_nulls_last(), "h", F.col("text").asc_nulls_first())
 
 
 def edit_likeness(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ranges_per_partition: int = 4) -> DataFrame:
