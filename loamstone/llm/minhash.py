@@ -8,22 +8,28 @@ anticorrelated their mean has a lower variance than that of 128 minima. Runs of
 values a band and 32 bands, a pair at J = 0.75 shares none with probability
 5e-6, one at 0.85 with 1e-10. That is for large sets: minimum and maximum are drawn
 without replacement, so of u shingles in all with c shared both agree with
-c (c - 1) / (u (u - 1)), and very short texts are missed more often: 1e-4 at c = 3 of
-u = 4 (texts of 7 and 8 words), 2e-5 at 6 of 8, 1e-5 at 12 of 16.
+c (c - 1) / (u (u - 1)), and short texts are missed more often: 1.2e-5 at c = 9 of
+u = 12. Below that nothing is missed: two sets of 11 shingles in all, or fewer, that
+reach 0.75 differ in two at most, so sets of up to 11 shingles have as further keys
+digests of themselves without any one or two of their shingles, one of which both share.
 
 Steps:
  1. One Arrow pass makes each text's shingle set, the set's digest and signature.
  2. Documents with equal sets form a class; its smallest id stands for it.
- 3. Every band bucket offers a link from each member to its smallest id. Offers
+ 3. Every bucket of a key offers a link from each member to its smallest id. Offers
     whose signatures come near the threshold are confirmed on the full 64-bit
-    shingle sets, and the links contracted into components.
- 4. Buckets that still span several components are looked at again. Signatures
-    are compared in numpy, block of members against block, and components with
+    shingle sets, and the links contracted into components. A member that is offered to
+    many is sent once a block of them, not once each.
+ 4. Buckets that still span several components are looked at again. Of each, the
+    largest component is set apart: its members meet those of the others but not one
+    another. Signatures are compared in numpy, block against block, and components with
     near members are gathered into clusters; a task returns a spanning forest of
     them, never its pairs.
- 5. Clusters are dealt out with their shingle sets, again block against block, and
-    every pair of different components that comes near the threshold is confirmed
-    on the full sets. A task returns a spanning forest of the links.
+ 5. Clusters are dealt out with their shingle sets in the same way, and every pair of
+    different components that comes near the threshold is confirmed on the full sets.
+    A task returns a spanning forest of the links.
+"Near" is an agreement of 0.45 in the signatures at least; a pair at 0.75 falls below
+that with a probability of 5e-14 (computed).
 Pairs inside one component need no check, so steps 4 and 5 lose no link that any
 band shows. All that leaves a task is in proportion to its members.
 
@@ -37,20 +43,23 @@ of the smallest id is kept, so literal repeats of a row leave one.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamstone.llm.common import NONSPACE, ngram_hashes, row_words, slices, stored, tidy
+from loamstone.llm.common import NONSPACE, discard, fresh, mix, ngram_hashes, row_words, slices, stored, tidy
 from loamstone.llm.components import components
 
 SHINGLE, PERMUTATIONS, ROWS = 5, 64, 4
 THRESHOLD = 75  # in hundredths
-BLOCK = 1024
-#: Ids broadcast at most: 2 million, about 32 MB.
+#: Members of a side of a block, and partners that one sending of a set is for.
+BLOCK, PARTNERS = 256, 1024
+#: Sets of so many shingles at most have exact keys.
+SMALL = 11
+#: Rows broadcast at most: 2 million of one or four numbers, 32 to 80 MB.
 BROADCAST_IDS = 2_000_000
 _rng = np.random.Generator(np.random.PCG64(977))
 _A = _rng.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -85,18 +94,38 @@ def signatures(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def small_keys(grams: np.ndarray) -> np.ndarray:
+    """Digests of a set of up to SMALL shingles without none, one or two of them, as far as two sets at 0.75 can differ."""
+    n = len(grams)
+    if not 3 <= n <= SMALL:
+        return np.zeros(0, np.int64)
+    each = mix(grams)
+    total = each.sum(dtype=np.uint64)
+    keys = [np.array([mix(np.array([total + np.uint64(n)]))[0]]), mix(total - each + np.uint64(n - 1))]
+    if n >= 8:
+        i, j = np.triu_indices(n, 1)
+        keys.append(mix(total - each[i] - each[j] + np.uint64(n - 2)))
+    return np.unique(np.concatenate(keys)).view(np.int64)
+
+
 def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, class, signature) of every row; class is a digest of the set."""
+    """(doc_id, n_shingles, class, signature, small) of every row; class is a digest of the set, small its exact keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text_col):
                 sets, offsets = shingle_sets(batch, text_col)
                 sig = signatures(sets, offsets)
-                cls = [hashlib.blake2b(sets[s:e].tobytes(), digest_size=16).digest() for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(id_col).cast(pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array(cls, pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())], names=["doc_id", "n_shingles", "class", "signature"])
+                own = [sets[s:e] for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                cls = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in own]
+                yield pa.RecordBatch.from_arrays([batch.column(id_col).cast(pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array(cls, pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([small_keys(x) for x in own], pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "class", "signature", "small"])
+
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), "doc_id long, n_shingles long, class binary, signature binary, small array<long>")
+
 
-    return docs.select(id_col, text_col).mapInArrow(tidy(run), "doc_id long, n_shingles long, class binary, signature binary")
+def _few(df: DataFrame) -> DataFrame:
+    """df, broadcast if a count shows that it has BROADCAST_IDS rows at most."""
+    return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
 
 
 def _only(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
@@ -105,8 +134,7 @@ def _only(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     Up to BROADCAST_IDS ids (16 bytes each) are broadcast, so texts stay where they
     are; more are joined by a shuffle.
     """
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, id_col, "left_semi")
+    return docs.join(_few(ids), id_col, "left_semi")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -125,23 +153,38 @@ def _words(column: pa.Array, kind: type) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), kind) for x in column]
 
 
-def _judge(pairs: DataFrame, columns: list[str], keep) -> DataFrame:
-    """The pairs (a, b) whose two binary columns `keep` accepts."""
+def _judge(pairs: DataFrame, values: DataFrame, keep: Callable[[pa.Buffer, pa.Buffer], bool]) -> DataFrame:
+    """The pairs (a, b) whose values `keep` accepts. values: (id, v), v binary.
+
+    b's values come to the pairs; a's value is sent once for each PARTNERS of its
+    pairs, and sorted before them.
+    """
+    many = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    hot = _few(many.where(F.col("n") > PARTNERS).select("a", F.ceil(F.col("n") / PARTNERS).cast("int").alias("blocks")))
+    blocks = F.coalesce("blocks", F.lit(1))
+    right = pairs.join(values.select(F.col("id").alias("b"), "v"), "b").join(hot, "a", "left").select("a", F.pmod(F.xxhash64("b"), blocks).cast("int").alias("block"), "b", "v")
+    firsts = many.select("a").join(values.select(F.col("id").alias("a"), "v"), "a").join(hot, "a", "left")
+    left = firsts.select("a", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(None).cast("long").alias("b"), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, value = None, None
         for batch in batches:
-            good = np.fromiter((keep(x.as_buffer(), y.as_buffer()) for x, y in zip(*(batch.column(c) for c in columns), strict=True)), bool, batch.num_rows)
+            a, block, b = (batch.column(c).to_pylist() for c in ("a", "block", "b"))
+            good = np.zeros(batch.num_rows, bool)
+            for k, (x, y, z) in enumerate(zip(a, block, b, strict=True)):
+                if z is None:
+                    now, value = (x, y), batch.column("v")[k].as_py()
+                elif now == (x, y):
+                    good[k] = keep(value, batch.column("v")[k].as_buffer())
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    return pairs.select("a", "b", *columns).mapInArrow(tidy(run), "a long, b long")
+    dealt = left.union(right).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+    return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
 def _floor(threshold: int) -> int:
-    """Agreeing signature values under which a pair is not looked at.
-
-    The estimate's standard error at 0.75 is below 0.04; this is over four of them.
-    """
-    return int(max(0.0, threshold / 100 - 0.17) * 2 * PERMUTATIONS)
+    """Agreeing signature values under which a pair is not looked at: 0.3 below the threshold, 7.8 standard errors at 0.75."""
+    return int(max(0.0, threshold / 100 - 0.3) * 2 * PERMUTATIONS)
 
 
 def _confirm(pairs: DataFrame, signed: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: int) -> DataFrame:
@@ -156,12 +199,11 @@ def _confirm(pairs: DataFrame, signed: DataFrame, docs: DataFrame, id_col: str,
         common = len(np.intersect1d(p, q, assume_unique=True))
         return 100 * common >= threshold * (len(p) + len(q) - common)
 
-    def both(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
-        return left.join(right.select(F.col("id").alias("a"), F.col(column).alias("x")), "a").join(right.select(F.col("id").alias("b"), F.col(column).alias("y")), "b")
-
-    some = stored(_judge(both(pairs, signed, "signature"), ["x", "y"], near), "minhash-near")
+    some = stored(_judge(pairs, signed.withColumnRenamed("signature", "v"), near), "minhash-near")
     sets = _sets(docs, some.select(F.col("a").alias("id")).union(some.select(F.col("b").alias("id"))), id_col, text_col)
-    return _judge(both(some, sets, "grams"), ["x", "y"], alike)
+    links = stored(_judge(some, sets.withColumnRenamed("grams", "v"), alike), "minhash-links")
+    discard(some)
+    return links
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -211,12 +253,28 @@ class _Forest:
         return k
 
 
-def _blocks(members: DataFrame, key: str, block: int) -> DataFrame:
-    """members (key, id, ...) dealt to every pair of blocks (p, q) of their group, sorted by it."""
-    sizes = members.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
-    cut = members.join(sizes, key).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    sides = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = sides.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).drop("other", "blocks", "n")
+def _mixed(members: DataFrame, key: str) -> DataFrame:
+    """(key, main, main_n, rest_n): groups with several components; main is the largest of them."""
+    each = members.groupBy(key, "component").agg(F.count("*").alias("n"))
+    every = each.groupBy(key).agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    return every.select(key, F.col("top.component").alias("main"), F.col("top.n").alias("main_n"), (F.col("n") - F.col("top.n")).alias("rest_n"))
+
+
+def _blocks(members: DataFrame, mixed: DataFrame, key: str, block: int) -> DataFrame:
+    """Members (key, id, component, ...) of mixed groups dealt to pairs of blocks (p, q), sorted by them.
+
+    Blocks from 0 hold members of all components but the main one, later ones those of
+    the main one. Every block meets all of the first kind, so the main component's
+    members never meet one another: N of them and a few others cost N rows and a few for
+    each block, not the square.
+    """
+    cut = members.join(_few(mixed), key)
+    rest, main = (F.ceil(F.col(c) / block).cast("int") for c in ("rest_n", "main_n"))
+    inside = F.col("component") == F.col("main")
+    own = F.when(inside, rest + F.pmod(F.xxhash64("id"), main)).otherwise(F.pmod(F.xxhash64("id"), rest)).cast("int")
+    met = F.explode(F.sequence(F.lit(0), F.when(inside, rest - 1).otherwise(rest + main - 1)))
+    sides = cut.withColumn("own", own).withColumn("other", met)
+    dealt = sides.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).drop("other", "main", "main_n", "rest_n")
     return dealt.repartition(key, "p", "q").sortWithinPartitions(key, "p", "q")
 
 
@@ -238,7 +296,7 @@ def _near(t: pa.Table, floor: int) -> Iterator[tuple[int, np.ndarray, _Forest]]:
                 roots = forest.roots()
 
 
-def _clusters(members: DataFrame, threshold: int, block: int) -> DataFrame:
+def _clusters(members: DataFrame, mixed: DataFrame, threshold: int, block: int) -> DataFrame:
     """Edges (a, b) between components of one bucket that have near members; a spanning forest a task. members: (key, id, component, signature)."""
     floor = _floor(threshold)
 
@@ -254,11 +312,11 @@ def _clusters(members: DataFrame, threshold: int, block: int) -> DataFrame:
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    dealt = _blocks(members, "key", block).select("key", "p", "q", "own", "id", "component", "signature")
+    dealt = _blocks(members, mixed, "key", block).select("key", "p", "q", "own", "id", "component", "signature")
     return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
-def _links(members: DataFrame, threshold: int, block: int) -> DataFrame:
+def _links(members: DataFrame, mixed: DataFrame, threshold: int, block: int) -> DataFrame:
     """Links (a, b) between different components of a cluster; a spanning forest a task. members: (cluster, id, component, signature, grams)."""
     floor = _floor(threshold)
 
@@ -282,7 +340,7 @@ def _links(members: DataFrame, threshold: int, block: int) -> DataFrame:
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    dealt = _blocks(members, "cluster", block).select("cluster", "p", "q", "own", "id", "component", "signature", "grams")
+    dealt = _blocks(members, mixed, "cluster", block).select("cluster", "p", "q", "own", "id", "component", "signature", "grams")
     return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
@@ -291,19 +349,20 @@ def _repeats(docs: DataFrame, id_col: str) -> bool:
     return not ids.groupBy("i").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
 
-def _numbered(docs: DataFrame, id_col: str) -> DataFrame:
-    """docs with a number of each row that has an id, written so that numbers stay."""
-    return stored(docs.withColumn("__row", F.when(F.col(id_col).isNotNull(), F.monotonically_increasing_id())), "minhash-rows")
+def _numbered(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """docs with a number of each row that has an id, written so that numbers stay, and that column's name."""
+    row = fresh("__row", docs)
+    return stored(docs.withColumn(row, F.when(F.col(id_col).isNotNull(), F.monotonically_increasing_id())), "minhash-rows"), row
 
 
-def _by_row(numbered: DataFrame, id_col: str, **options) -> DataFrame:
-    """near_duplicates of rows that repeat ids, with __row: of each component the first row of the smallest id is kept."""
-    judged = _judged(numbered, id_col="__row", **options).withColumnRenamed("doc_id", "__row")
-    ids = numbered.where("__row is not null").select("__row", F.col(id_col).cast("long").alias("doc_id"))
-    some = judged.where("__row is not null").select("__row", "n_shingles", F.col("component_id").alias("part")).join(ids, "__row")
-    first = some.groupBy("part").agg(F.min(F.struct("doc_id", "__row")).alias("first"))
-    named = some.join(first, "part").select("__row", "doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), (F.col("first.__row") == F.col("__row")).alias("kept"))
-    none = judged.where("__row is null").select("__row", F.lit(None).cast("long").alias("doc_id"), "n_shingles", "component_id", "kept")
+def _by_row(numbered: DataFrame, row: str, id_col: str, **options) -> DataFrame:
+    """near_duplicates of rows that repeat ids, with their numbers as `row`: of each component the first row of the smallest id is kept."""
+    judged = _judged(numbered, id_col=row, **options).withColumnRenamed("doc_id", "row")
+    ids = numbered.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id")).where("row is not null")
+    some = judged.where("row is not null").select("row", "n_shingles", F.col("component_id").alias("part")).join(ids, "row")
+    first = some.groupBy("part").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    named = some.join(first, "part").select("row", "doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), (F.col("first.row") == F.col("row")).alias("kept"))
+    none = judged.where("row is null").select("row", F.lit(None).cast("long").alias("doc_id"), "n_shingles", "component_id", "kept")
     return named.unionByName(none)
 
 
@@ -311,7 +370,7 @@ def near_duplicates(docs: DataFrame, *, threshold: int = THRESHOLD, id_col: str
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     options = {"threshold": threshold, "text_col": text_col, "rows": rows, "block": block}
     if _repeats(docs, id_col):
-        return _by_row(_numbered(docs.select(id_col, text_col), id_col), id_col, **options).drop("__row")
+        return _by_row(*_numbered(docs.select(id_col, text_col), id_col), id_col, **options).drop("row")
     return _judged(docs, id_col=id_col, **options)
 
 
@@ -321,41 +380,49 @@ def _judged(docs: DataFrame, *, threshold: int, id_col: str, text_col: str, rows
     bands = 2 * PERMUTATIONS // rows
     seen = stored(profiles(docs, id_col, text_col), "minhash-profiles")
     some = seen.where("doc_id is not null and n_shingles > 0")
-    classes = some.groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature"))
-    classes = stored(classes, "minhash-classes")
-    key = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * width + 1, F.lit(width)))))
-    spread = classes.select(F.col("rep").alias("id"), key.alias("key"))
+    classes = some.groupBy("class").agg(F.min("doc_id").alias("rep"), F.min(F.struct("signature", "small")).alias("v"))
+    classes = stored(classes.select("class", "rep", "v.signature", "v.small"), "minhash-classes")
+    banded = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * width + 1, F.lit(width))))
+    spread = classes.select(F.col("rep").alias("id"), F.explode(F.concat(banded, "small")).alias("key"))
     buckets = spread.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
     members = stored(spread.join(buckets, "key"), "minhash-buckets")
-    stars = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    stars = stored(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "minhash-stars")
     signed = classes.select(F.col("rep").alias("id"), "signature")
-    links = stored(_confirm(stored(stars, "minhash-stars"), signed, docs, id_col, text_col, threshold), "minhash-links")
+    links = _confirm(stars, signed, docs, id_col, text_col, threshold)
+    discard(stars)
     found = components(links, "a", "b", "minhash-components")
 
-    here = members.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = here.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    edges = stored(_clusters(here.join(mixed, "key").join(signed, "id"), threshold, block), "minhash-near-components")
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    here = placed(members.select("key", "id"))
+    mixed = stored(_mixed(here, "key"), "minhash-mixed")
+    some = here.join(_few(mixed.select("key")), "key", "left_semi").join(signed, "id")
+    edges = stored(_clusters(some, mixed, threshold, block), "minhash-near-components")
+    discard(members)
     clusters = components(edges, "a", "b", "minhash-clusters").select(F.col("node").alias("component"), F.col("component").alias("cluster"))
-    parts = signed.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")).join(clusters, "component")
-    parts = stored(parts, "minhash-parts")
-    more = stored(_links(parts.join(_sets(docs, parts.select("id"), id_col, text_col), "id"), threshold, block), "minhash-more")
+    parts = stored(placed(signed).join(clusters, "component"), "minhash-parts")
+    mixed = stored(_mixed(parts, "cluster"), "minhash-mixed")
+    more = stored(_links(parts.join(_sets(docs, parts.select("id"), id_col, text_col), "id"), mixed, threshold, block), "minhash-more")
+    discard(parts)
     if not more.isEmpty():
         found = components(links.union(more), "a", "b", "minhash-components")
 
     named = classes.select("class", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component_id"))
-    out = seen.select("doc_id", "n_shingles", F.when(F.expr("doc_id is not null and n_shingles > 0"), F.col("class")).alias("class")).join(named, "class", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    full = F.expr("doc_id is not null and n_shingles > 0")
+    linked = seen.where(full).select("doc_id", "n_shingles", "class").join(named, "class").select("doc_id", "n_shingles", "component_id")
+    alone = seen.where(~full).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", threshold: int = THRESHOLD, text_col: str = "text", rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """docs with one row of each group of near copies, that of the smallest id; rows in no group stay."""
     options = {"threshold": threshold, "text_col": text_col, "rows": rows, "block": block}
     if _repeats(docs, id_col):
-        held, key = _numbered(docs, id_col), "__row"
-        judged = _by_row(held, id_col, **options)
+        held, key = _numbered(docs, id_col)
+        judged = _by_row(held, key, id_col, **options).withColumnRenamed("row", key)
     else:
         held, key = docs, id_col
         judged = _judged(docs, id_col=id_col, **options).withColumnRenamed("doc_id", id_col)
     gone = stored(judged.where("not kept").select(key), "minhash-gone")
-    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return held.join(F.broadcast(gone) if few else gone, key, "left_anti").select(*docs.columns)
+    return held.join(_few(gone), key, "left_anti").select(*docs.columns)
