@@ -7,9 +7,10 @@ toxic and twice as many clean texts, by hash of the id):
 
  1. Cues. For every word and every word beginning of 4, 5 and 6 bytes, Spark counts
     the sample's toxic and clean texts that hold it (one text of each group of
-    near copies). Those far more frequent in toxic texts become cues, and a
-    token of a toxic text that bears a cue is labelled toxic.
- 2. The field. Windows around cues, and windows without any, train emission weights
+    near copies). Those far more frequent in toxic texts become cues, in rounds that
+    leave out what earlier cues explain; a token of a toxic text that bears a cue is
+    labelled toxic. Cues are as many as the sample shows, which bounds them.
+ 2. The field. Windows around cues, and all windows without any, train emission weights
     of the cues and the tag transitions by gradient ascent on the exact
     likelihood, with forward-backward expectations.
  3. Calibration. Document features from the marginals (their maximum, and the
@@ -41,9 +42,11 @@ from pyspark.sql import types as T
 from loamstone.llm.common import ALNUM, lowered, mix, ngram_hashes, slices, span_hashes, text_buffer, word_spans
 from loamstone.llm.samples import fold, labelled
 
-BOUND, MAX_CUES = 2_500, 20_000
+BOUND = 2_500
 PREFIXES = (4, 5, 6)
 WINDOW = 8
+#: Toxic texts with so many cues teach no further ones.
+EXPLAINED = 3
 #: A cue is in at least this share of toxic texts among those that hold it, and so many nats from chance.
 MIN_SHARE, MIN_EVIDENCE = 0.6, 10.0
 
@@ -147,6 +150,45 @@ def _cue_counts(sample: DataFrame) -> DataFrame:
     return sample.mapInArrow(run, "h long, n long, t long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
 
 
+def _cues(sample: DataFrame) -> np.ndarray:
+    """Sorted cues of a sample (doc_id, label, text), in rounds.
+
+    Each round takes the features far more frequent in toxic texts than chance allows,
+    by Chernoff's bound: their number times the divergence of their toxic share from the
+    sample's. Toxic texts that hold EXPLAINED cues are then left out of the next round,
+    in which the share of toxic texts is lower and rarer cues, as those of a language
+    with few toxic texts, stand out. Rounds end when one finds nothing new.
+    """
+    cues = np.zeros(0, np.uint64)
+    while True:
+        known = Field(cues=cues, weights=np.zeros(len(cues)))
+        known.prepare()
+        some = _without(sample, known, EXPLAINED) if len(cues) else sample
+        totals = some.agg(F.count("*").alias("n"), F.sum((F.col("label") > 0).cast("long")).alias("t")).first()
+        if not totals.t or totals.t == totals.n:
+            return cues
+        rate = totals.t / totals.n
+        share = F.least(F.col("t") / F.col("n"), F.lit(1 - 1e-12))
+        evidence = F.col("n") * (share * F.log(share / rate) + (1 - share) * F.log((1 - share) / (1 - rate)))
+        found = _cue_counts(some).where((F.col("t") > 0) & (share >= MIN_SHARE) & (share > rate) & (evidence >= MIN_EVIDENCE)).select("h").toArrow()
+        more = np.union1d(cues, found.column("h").to_numpy().view(np.uint64))
+        if len(more) == len(cues):
+            return cues
+        cues = more
+
+
+def _without(sample: DataFrame, known: "Field", n: int) -> DataFrame:
+    """The sample less its toxic texts that hold n of the known cues."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                held = np.array([len(set().union(*cues)) for _, _, _, _, cues, _, _ in _places(batch, known)], int)
+                yield batch.filter(pa.array((batch.column("label").to_numpy() <= 0) | (held < n)))
+
+    return sample.mapInArrow(run, sample.schema)
+
+
 def _near_key(sample: DataFrame) -> DataFrame:
     """The sample's texts with the least hash of their word triples, which near copies mostly share."""
 
@@ -186,12 +228,13 @@ def _places(batch: pa.RecordBatch, model: Field) -> Iterator[tuple[int, int, lis
         yield r, int(rows[r + 1] - rows[r]), own, [float(model.weights[places[i]].sum()) for i in own], [places[i] for i in own], starts[rows[r] : rows[r + 1]] - offsets[r], ends[rows[r] : rows[r + 1]] - offsets[r]
 
 
-def _fit_chain(windows: list[tuple[dict[int, list[int]], bool]], n_cues: int, *, steps: int = 150, rate: float = 0.2, l2: float = 0.2) -> tuple[np.ndarray, float, tuple[float, float, float]]:
-    """Emission weights, bias and transitions that maximise the windows' likelihood. A window: cues by place, and whether its text is toxic."""
+def _fit_chain(windows: list[tuple[dict[int, list[int]], bool, int]], n_cues: int, *, steps: int = 150, rate: float = 0.2, l2: float = 0.2) -> tuple[np.ndarray, float, tuple[float, float, float]]:
+    """Emission weights, bias and transitions that maximise the windows' likelihood. A window: cues by place, whether its text is toxic, and how many such windows there are."""
     size = 2 * WINDOW + 1
     row, col, cue = [], [], []
     tags = np.zeros((len(windows), size))
-    for k, (places, toxic) in enumerate(windows):
+    many = np.array([n for _, _, n in windows], float)
+    for k, (places, toxic, _) in enumerate(windows):
         for i, some in places.items():
             tags[k, i] = toxic
             for c in some:
@@ -203,10 +246,10 @@ def _fit_chain(windows: list[tuple[dict[int, list[int]], bool]], n_cues: int, *,
     theta[n_cues] = -4.0
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
     gold = np.zeros_like(theta)
-    np.add.at(gold, cue, tags[row, col])
-    gold[n_cues] = tags.sum()
+    np.add.at(gold, cue, tags[row, col] * many[row])
+    gold[n_cues] = many @ tags.sum(axis=1)
     before = np.concatenate([np.zeros((len(tags), 1)), tags[:, :-1]], axis=1)
-    gold[n_cues + 1 :] = ((1 - before) * tags).sum(), (before * (1 - tags)).sum(), (before * tags).sum()
+    gold[n_cues + 1 :] = [many @ x.sum(axis=1) for x in ((1 - before) * tags, before * (1 - tags), before * tags)]
     for step in range(1, steps + 1):
         w, bias, (ct, tc, tt) = theta[:n_cues], theta[n_cues], np.exp(np.clip(theta[n_cues + 1 :], -20, 20))
         emit = np.full(tags.shape, bias)
@@ -229,13 +272,13 @@ def _fit_chain(windows: list[tuple[dict[int, list[int]], bool]], n_cues: int, *,
             pc, pt = (fc[i - 1], ft[i - 1]) if i else (np.ones(len(tags)), np.zeros(len(tags)))
             x = np.stack([pc * bc, pc * ct * e[:, i] * bt, pt * tc * bc, pt * tt * e[:, i] * bt])
             x /= x.sum(axis=0)
-            want[n_cues + 1 :] += x[1].sum(), x[2].sum(), x[3].sum()
+            want[n_cues + 1 :] += x[1:] @ many
             bc, bt = bc + ct * e[:, i] * bt, tc * bc + tt * e[:, i] * bt
             s = bc + bt
             bc, bt = bc / s, bt / s
-        np.add.at(want, cue, marg[row, col])
-        want[n_cues] = marg.sum()
-        grad = (gold - want - l2 * theta * (np.arange(len(theta)) != n_cues)) / max(len(tags), 1)
+        np.add.at(want, cue, marg[row, col] * many[row])
+        want[n_cues] = many @ marg.sum(axis=1)
+        grad = (gold - want - l2 * theta * (np.arange(len(theta)) != n_cues)) / max(many.sum(), 1)
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
         theta = theta + rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
     return theta[:n_cues], float(theta[n_cues]), tuple(np.clip(theta[n_cues + 1 :], -20, 20).tolist())
@@ -269,16 +312,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", bound: in
     sample = _near_key(labelled(docs, labels, label, bound=bound, n=n, out=out, id_col=id_col, text_col=text_col, clean_bound=2 * bound))
     first = sample.groupBy("near").agg(F.min(F.struct("doc_id", "label", "text")).alias("r")).select("r.*").persist()
     try:
-        totals = first.agg(F.count("*").alias("n"), F.sum((F.col("label") > 0).cast("long")).alias("t")).first()
-        if not totals.n:  # none of the labelled texts is here
-            return model
-        rate = (totals.t or 0) / totals.n
-        # Chernoff's bound on the chance of as many toxic texts: n times the divergence of their share from the sample's.
-        share = F.least(F.col("t") / F.col("n"), F.lit(1 - 1e-12))
-        rate = max(rate, 0.5 / totals.n)
-        evidence = F.col("n") * (share * F.log(share / rate) + (1 - share) * F.log((1 - share) / max(1 - rate, 1e-9)))
-        cues = _cue_counts(first).where((share >= MIN_SHARE) & (share > rate) & (evidence >= MIN_EVIDENCE)).orderBy(F.desc("t"), "h").limit(MAX_CUES).toArrow()
-        model.cues = np.sort(cues.column("h").to_numpy().view(np.uint64))
+        model.cues = _cues(first)
         model.weights = np.zeros(len(model.cues))
         model.prepare()
 
@@ -291,17 +325,20 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", bound: in
         texts = first.mapInArrow(gather, "doc_id long, label int, n int, at array<int>, cues array<array<int>>").toArrow().sort_by("doc_id").to_pylist()
     finally:
         first.unpersist()
-    windows: list[tuple[dict[int, list[int]], bool]] = []
+    windows: list[tuple[dict[int, list[int]], bool, int]] = []
+    clean = 0
     for d in texts:
         place, free = dict(zip(d["at"], d["cues"], strict=True)), d["n"]
         i = 0
         while i < len(d["at"]):
             mid = d["at"][i]
-            windows.append(({p - mid + WINDOW: c for p, c in place.items() if abs(p - mid) <= WINDOW}, d["label"] > 0))
+            windows.append(({p - mid + WINDOW: c for p, c in place.items() if abs(p - mid) <= WINDOW}, d["label"] > 0, 1))
             while i < len(d["at"]) and d["at"][i] <= mid + WINDOW:
                 i += 1
             free -= 2 * WINDOW + 1
-        windows += [({}, False)] * min(3, max(free, 0) // (2 * WINDOW + 1))
+        clean += max(free, 0) // (2 * WINDOW + 1)
+    # Windows without cues are all alike.
+    windows += [({}, False, clean)] if clean else []
     model.weights, model.bias, model.trans = _fit_chain(windows, len(model.cues))
     model.prepare()
     x, y = [], []
