@@ -11,14 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamstone.llm import decontam, minhash, pii, quality, spm
-from loamstone.llm.common import stored
-from loamstone.llm.queries import TOKENIZERS
+from loamstone.llm.common import fresh, stored
+from loamstone.llm.queries import tokenizers_dir
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents (score under 0.5) go."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model, names=("__score", "__predicted")).where("__predicted = 1").select(*docs.columns)
+    names = fresh("__score", docs), fresh("__predicted", docs)
+    return quality.score(docs, model, names=names).where(F.col(names[1]) == 1).select(*docs.columns)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,18 +32,19 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go; clean ones stay whole."""
-    return decontam.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), action="drop")
+    """The hit spans of contaminated documents go; documents half or more of which is hit go whole; clean ones stay as they are."""
+    cut = decontam.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), action="excise", drop_from=0.5)
+    return _counted(cut).select(*docs.columns)
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind in brackets; n_chars follows."""
-    return pii.redact(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)
+    return _counted(pii.redact(docs)).select(*docs.columns)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their piece ids, and whether the ids decode to the text."""
-    return spm.encode(docs, f"{TOKENIZERS}/piece_bpe_32k.model", check=True)
+    return spm.encode(docs, f"{tokenizers_dir(spark)}/piece_bpe_32k.model", check=True)
 
 
 STAGES = [
