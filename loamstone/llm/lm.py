@@ -84,25 +84,51 @@ def _write(path: str, arrays: list[np.ndarray]) -> None:
     store.move(part, at)
 
 
+#: Bytes of shards that a worker keeps in memory where the shared folder isn't mounted.
+HELD_BYTES = 256 << 20
+_held: dict[str, np.ndarray] = {}
+
+
 @functools.lru_cache(4096)
+def _mapped(at: str) -> np.ndarray:
+    return np.memmap(at, np.uint8, "r").view(np.ndarray) if os.path.exists(at) and os.path.getsize(at) else np.zeros(0, np.uint8)
+
+
 def _map(path: str) -> np.ndarray:
-    """The bytes of a shard, mapped; a missing shard is empty."""
+    """The bytes of a shard: mapped, or read, the last HELD_BYTES of them kept. A missing shard is empty."""
     if at := _local(path):
-        return np.memmap(at, np.uint8, "r") if os.path.exists(at) and os.path.getsize(at) else np.zeros(0, np.uint8)
+        return _mapped(at)
+    if path in _held:
+        _held[path] = _held.pop(path)
+        return _held[path]
     from pyarrow import fs
 
     store, at = fs.FileSystem.from_uri(path)
     if store.get_file_info(at).type == fs.FileType.NotFound:
         return np.zeros(0, np.uint8)
     with store.open_input_file(at) as f:
-        return np.frombuffer(f.read(), np.uint8)
+        _held[path] = np.frombuffer(f.read(), np.uint8)
+    while len(_held) > 1 and sum(map(len, _held.values())) > HELD_BYTES:
+        del _held[next(iter(_held))]
+    return _held[path]
 
 
+@functools.lru_cache(16)
 def _cuts(shards: int) -> np.ndarray:
     """First key of every shard but the first: equal ranges of the 64-bit hashes."""
     return np.array([-(-(s << 64) // shards) for s in range(1, shards)], np.uint64)
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique with the inverse, by hashing: for values that mostly repeat."""
+    coded = pa.array(x).dictionary_encode()
+    values = coded.dictionary.to_numpy()
+    order = np.argsort(values)
+    rank = np.empty(len(values), np.int32)
+    rank[order] = np.arange(len(values), dtype=np.int32)
+    return values[order], rank[coded.indices.to_numpy()]
+
+
 def _packed(counts: np.ndarray) -> list[np.ndarray]:
     """Counts as bytes; then the places and values of those of 255 and more."""
     large = np.flatnonzero(counts >= 255)
@@ -160,9 +186,9 @@ class Table:
         """Places of sorted keys; -1: absent."""
         place = np.full(len(keys), -1, np.int64)
         shards = len(self.base) - 1
-        cut = [0, *np.searchsorted(keys, _cuts(shards)).tolist(), len(keys)]
-        for s in range(shards):
-            a, b, held = cut[s], cut[s + 1], self.keys(s) if cut[s] < cut[s + 1] else ()
+        cut = np.concatenate([[0], np.searchsorted(keys, _cuts(shards)), [len(keys)]])
+        for s in np.flatnonzero(np.diff(cut)).tolist():
+            a, b, held = int(cut[s]), int(cut[s + 1]), self.keys(s)
             if len(held):
                 at = np.minimum(np.searchsorted(held, keys[a:b]), len(held) - 1)
                 hit = held[at] == keys[a:b]
@@ -241,7 +267,7 @@ def _dealt(chunks: DataFrame, parts: int) -> DataFrame:
 
 def _ids(table: Table, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Number and training count of each word."""
-    distinct, back = np.unique(words, return_inverse=True)
+    distinct, back = _distinct(words)
     place = table.find(distinct)
     hit = place >= 0
     count = np.zeros(len(distinct), np.int64)
@@ -275,6 +301,14 @@ def _longer(place: np.ndarray, at: np.ndarray) -> np.ndarray:
     return context
 
 
+def _later(x: np.ndarray, at: np.ndarray, first: float) -> np.ndarray:
+    """x one place on, with `first` where a text begins."""
+    out = np.empty_like(x)
+    out[1:] = x[:-1]
+    out[at[:-1]] = first
+    return out
+
+
 def _shortened(tables: list[Table], n: int, places: np.ndarray, bits: int) -> np.ndarray:
     """Number of each n-gram without its first word, among those of n - 1 words."""
     distinct, back = np.unique(places, return_inverse=True)
@@ -326,9 +360,15 @@ class Model:
         few = np.array([self.special.get(i, {}).get(name, 0) for i in numbers[:k].tolist()], np.int64)
         return np.concatenate([few, self.words.column(name, numbers[k:] - FIRST)])
 
+    def _shares(self, n: int, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For contexts of n - 1 words (numbers sorted): the sum of their followers' counts, and the share left to the lower order."""
+        total = self.values(n - 1, "n" if n == self.order else "t", numbers).astype(float)
+        left = sum(self.discounts[n - 1][k] * self.values(n - 1, f"f{k + 1}", numbers) for k in range(3))
+        return total, np.divide(left, total, out=np.ones(len(numbers)), where=total > 0)
+
     def log10(self, context: np.ndarray, token: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log10 p(token | up to order - 1 words before it); context: the word before; at: offsets of the texts."""
-        w, back = np.unique(token, return_inverse=True)
+        w, back = _distinct(token)
         a = self.values(1, "a", w)
         n1, n2, _, _, more, kinds = self.seen[0]
         uniform = 1 / (self.vocabulary + 1)
@@ -338,18 +378,30 @@ class Model:
         else:
             p = np.full(len(w), uniform)
         p = p[back]
+        # The context of a token is what ended at the token before it, so its figures are those of there, one place on.
+        begin = [float(x[0]) for x in self._shares(2, np.array([BOS]))]
+        told = [x[back] for x in self._shares(2, w)]
         for n in range(2, self.order + 1):
-            d, top = self.discounts[n - 1], n == self.order
-            v, back = np.unique(context, return_inverse=True)
-            total = self.values(n - 1, "n" if top else "t", v).astype(float)
-            left = sum(d[k] * self.values(n - 1, f"f{k + 1}", v) for k in range(3))
-            left = np.divide(left, total, out=np.ones(len(v)), where=total > 0)
-            place = _lookup(self.tables[n - 1], context, token, self.bits)
-            g, which = np.unique(place, return_inverse=True)
-            c = self.values(n, "n" if top else "a", g).astype(float)
-            c = np.maximum(c - np.select([c == 1, c == 2, c > 2], d, 0.0), 0)[which]
-            p = np.divide(c, total[back], out=np.zeros(len(c)), where=total[back] > 0) + left[back] * p
-            context = _longer(place, at)
+            total, left = (_later(x, at, first) for x, first in zip(told, begin, strict=True))
+            some = context >= 0
+            keys, which = np.unique(_pack(context[some], token[some], self.bits), return_inverse=True)
+            found = self.tables[n - 1].find(keys)
+            hit = found >= 0
+            c = np.zeros(len(keys))
+            c[hit] = self.values(n, "n" if n == self.order else "a", found[hit])
+            share = np.zeros(len(token))
+            share[some] = np.maximum(c - np.select([c == 1, c == 2, c > 2], self.discounts[n - 1], 0.0), 0)[which]
+            p = np.divide(share, total, out=np.zeros(len(p)), where=total > 0) + left * p
+            if n < self.order:
+                told, begin = [], [0.0, 1.0]
+                for x, none in zip(self._shares(n + 1, found[hit]), begin, strict=True):
+                    each, full = np.full(len(keys), none), np.full(len(token), none)
+                    each[hit] = x
+                    full[some] = each[which]
+                    told.append(full)
+                place = np.full(len(token), -1, np.int64)
+                place[some] = found[which]
+                context = _longer(place, at)
         return np.log10(p)
 
 

@@ -82,8 +82,15 @@ def test_pipeline_stages_against_queries(spark):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     kept = {r.doc_id for r in corpus_pipeline.minhash_near_dedup(spark, docs, d).collect()}
     assert kept == {r.doc_id for r in llm.op9_minhash_near_dedup(spark, d).where("kept").collect()}
-    clean = {r.doc_id for r in corpus_pipeline.benchmark_decontamination(spark, docs, d).collect()}
-    assert clean == {r.doc_id for r in llm.op6_benchmark_decontamination(spark, d).where("not contaminated").collect()}
+    left = {r.doc_id: r.text for r in corpus_pipeline.benchmark_decontamination(spark, docs, d).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in llm.op6_benchmark_decontamination(spark, d).collect():
+        if not r.contaminated:
+            assert left[r.doc_id] == texts[r.doc_id]
+        elif 2 * r.n_hit >= r.n_words:
+            assert r.doc_id not in left
+        else:
+            assert left[r.doc_id] != texts[r.doc_id]
     out = corpus_pipeline.run(spark, d)
     assert set(docs.columns) < set(out.columns) and out.where("not round_trip").count() == 0
     assert out.where("n_chars <> length(text)").count() == 0 and 0 < out.count() < docs.count()
