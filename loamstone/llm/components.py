@@ -13,8 +13,9 @@ def components(edges: DataFrame, a: str, b: str, name: str = "components", most:
 
     Alternates large-star and small-star contraction (Kiveris et al. 2014):
     every node links its neighbours to their minimum until only stars are left.
-    Each half is a partial aggregate and a join, so a node with a great many
-    neighbours is pre-aggregated and its join side can be split. Every round is
+    Each half is a partial aggregate and a join. Minima are dealt anew between the two,
+    so that both sides of the join are plain shuffles and Spark can split the side of a
+    node with a great many neighbours. Every round is
     written to the shared folder, the one before deleted. Rounds grow with the logarithm of the longest
     path; `most` only guards against a defect and raises.
     """
@@ -24,15 +25,16 @@ def components(edges: DataFrame, a: str, b: str, name: str = "components", most:
     def signature(df: DataFrame):
         return tuple(df.agg(F.count("*"), F.sum("u"), F.sum("v"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     was = signature(held)
     for _ in range(most):
         if not was[0]:
             break
         both = held.union(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).repartition(parts)
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.where("u <> v")
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
+        low = down.groupBy("u").agg(F.min("v").alias("m")).repartition(parts)
         small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         before, held = held, stored(small, name)
         discard(before)
