@@ -56,7 +56,7 @@ from loamstone.llm.components import components
 SHINGLE, PERMUTATIONS, ROWS = 5, 64, 4
 THRESHOLD = 75  # in hundredths
 #: Members of a side of a block, and partners that one sending of a set is for.
-BLOCK, PARTNERS = 256, 1024
+BLOCK, PARTNERS = 256, 256
 #: Sets of so many shingles at most have exact keys.
 SMALL = 11
 #: Rows broadcast at most: 2 million of one or four numbers, 32 to 80 MB.
@@ -156,15 +156,15 @@ def _words(column: pa.Array, kind: type) -> list[np.ndarray]:
 def _judge(pairs: DataFrame, values: DataFrame, keep: Callable[[pa.Buffer, pa.Buffer], bool]) -> DataFrame:
     """The pairs (a, b) whose values `keep` accepts. values: (id, v), v binary.
 
-    b's values come to the pairs; a's value is sent once for each PARTNERS of its
-    pairs, and sorted before them.
+    a's value is asked for once for each PARTNERS of its pairs, b's once a pair; all
+    come in one join, and a's is sorted before those of its partners.
     """
     many = pairs.groupBy("a").agg(F.count("*").alias("n"))
     hot = _few(many.where(F.col("n") > PARTNERS).select("a", F.ceil(F.col("n") / PARTNERS).cast("int").alias("blocks")))
     blocks = F.coalesce("blocks", F.lit(1))
-    right = pairs.join(values.select(F.col("id").alias("b"), "v"), "b").join(hot, "a", "left").select("a", F.pmod(F.xxhash64("b"), blocks).cast("int").alias("block"), "b", "v")
-    firsts = many.select("a").join(values.select(F.col("id").alias("a"), "v"), "a").join(hot, "a", "left")
-    left = firsts.select("a", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(None).cast("long").alias("b"), "v")
+    right = pairs.join(hot, "a", "left").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), blocks).cast("int").alias("block"), "b")
+    left = many.join(hot, "a", "left").select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(None).cast("long").alias("b"))
+    asked = left.union(right).join(values.select("id", "v"), "id").select("a", "block", "b", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, value = None, None
@@ -178,7 +178,7 @@ def _judge(pairs: DataFrame, values: DataFrame, keep: Callable[[pa.Buffer, pa.Bu
                     good[k] = keep(value, batch.column("v")[k].as_buffer())
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    dealt = left.union(right).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+    dealt = asked.repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
     return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
