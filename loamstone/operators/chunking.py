@@ -9,13 +9,13 @@ from pyspark.sql.functions import udtf
 from loamstone.functions.text import tokenize
 
 
-def chunk_chars(docs: DataFrame, size: int = 500, overlap: int = 100) -> DataFrame:
-    """Windows of `size` characters, each beginning size - overlap after the last; a text has one at least."""
+def chunk_chars(docs: DataFrame, size: int = 500, overlap: int = 100, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Windows of `size` characters, each beginning size - overlap after the last; a text has one at least. keep: further columns."""
     step = size - overlap
     n = F.greatest(F.lit(1), F.ceil((F.length("text") - overlap) / step)).cast("int")
-    cut = docs.where(F.length("text") > 0).select("doc_id", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
+    cut = docs.where(F.length("text") > 0).select("doc_id", *keep, "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
     start = F.col("chunk_no") * step
-    return cut.select("doc_id", "chunk_no", start.alias("start"), F.least(start + size, F.length("text")).alias("end"), F.expr(f"substring(text, chunk_no * {step} + 1, {size})").alias("chunk_text"))
+    return cut.select("doc_id", *keep, "chunk_no", start.alias("start"), F.least(start + size, F.length("text")).alias("end"), F.expr(f"substring(text, chunk_no * {step} + 1, {size})").alias("chunk_text"))
 
 
 def chunk_tokens(docs: DataFrame, size: int = 128, stride: int = 96) -> DataFrame:

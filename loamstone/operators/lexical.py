@@ -1,19 +1,31 @@
 """Inverted index and keyword ranking.
 
-Ranked hits are (query_id, doc_id, score, rank). Only postings of the queries'
-own terms are counted, so the index side is filtered before its first shuffle;
-term frequencies are summed before they are dealt by term and document.
+Ranked hits are (query_id, doc_id, score, rank). Queries are a stated set. If it has
+TERMS words at most, by a count, they go to where the documents are: one pass over the
+texts counts the queries' own words in each document's own row and keeps these counts;
+document frequencies and lengths are sums over them; then every task scores its
+documents and keeps the k best of each query. What is shuffled is queries x tasks x k.
+Larger sets are joined to the postings by shuffles.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamstone.functions.text import tokenize
-from loamstone.sources.tables import broadcast_if_small
+from loamstone.operators.vectors import Best
+from loamstone.sources.tables import broadcast_if_small, scratch, small_enough
 
 SCORE_DIGITS = 6
+#: Words of a query set that are broadcast (half a million: some 10 MB), and scores worked out at once.
+TERMS, SCORE_CELLS = 500_000, 4_000_000
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -43,35 +55,134 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
 
 
-def _matched(docs: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Query terms, and postings of these terms alone."""
-    terms = query_terms(queries)
+def _matched(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """Postings of the queries' own terms, filtered before the first shuffle."""
     wanted = broadcast_if_small(terms.select("term").distinct())
     words = docs.select("doc_id", F.explode(tokenize("text")).alias("term")).join(wanted, "term", "left_semi")
-    return terms, words.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    return words.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+
+
+def _summed(weights: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    """Weights (term, doc_id, w) joined to the queries that hold the term; a frequent term's side is one Spark can split."""
+    hits = weights.join(broadcast_if_small(terms), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), SCORE_DIGITS).alias("score"))
+    return ranked(hits, k)
+
+
+@dataclass
+class _Queries:
+    """The distinct words of a query set, and for each word (from ptr[t] to ptr[t + 1]) the numbers of the queries that hold it."""
+
+    ids: np.ndarray
+    words: list[str]
+    ptr: np.ndarray
+    of: np.ndarray
+
+
+def _query_index(terms: DataFrame) -> _Queries:
+    got = terms.toArrow()
+    ids, q = np.unique(got.column("query_id").to_numpy(), return_inverse=True)
+    coded = got.column("term").combine_chunks().dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    t = coded.indices.to_numpy()
+    order = np.argsort(t, kind="stable")
+    return _Queries(ids, coded.dictionary.to_pylist(), np.searchsorted(t[order], np.arange(len(coded.dictionary) + 1)), q[order].astype(np.int64))
+
+
+def _own_counts(docs: DataFrame, words: list[str]) -> DataFrame:
+    """doc_id, len, t, tf: every document with a word at least, its length, and numbers and counts of the given words in it."""
+    held = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = pa.array(held.value, pa.string())
+        for batch in batches:
+            lists, n = batch.column("w"), max(len(wanted), 1)
+            size = np.diff(lists.offsets.to_numpy())
+            at = pc.fill_null(pc.index_in(lists.flatten(), value_set=wanted), -1).to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(batch.num_rows), size)
+            key, tf = np.unique(row[at >= 0] * n + at[at >= 0], return_counts=True)
+            cut = pa.array(np.searchsorted(key, np.arange(batch.num_rows + 1) * n).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size.astype(np.int64)), pa.ListArray.from_arrays(cut, pa.array((key % n).astype(np.int32))), pa.ListArray.from_arrays(cut, pa.array(tf.astype(np.int32)))], names=["doc_id", "len", "t", "tf"])
+
+    split = docs.select("doc_id", tokenize("text").alias("w")).where("size(w) > 0")
+    return split.mapInArrow(run, "doc_id long, len long, t array<int>, tf array<int>")
+
+
+def _scored(counts: DataFrame, queries: _Queries, k: int, weigh: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """query_id, vec_id (the document), sim (the score): the k best of each task. weigh: words' numbers, counts and documents' lengths -> weights."""
+    held = counts.sparkSession.sparkContext.broadcast(queries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = held.value
+        n = len(q.ids)
+        if not n:
+            return
+        keep, step, rows = Best(n, k), max(SCORE_CELLS // n, 1), np.arange(n)
+        for whole in batches:
+            for s in range(0, whole.num_rows, step):
+                batch = whole.slice(s, step)
+                t, tf = (batch.column(c).flatten().to_numpy() for c in ("t", "tf"))
+                row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column("t").offsets.to_numpy()))
+                w = weigh(t, tf, batch.column("len").to_numpy()[row])
+                many = q.ptr[t + 1] - q.ptr[t]
+                at = np.repeat(q.ptr[t] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                cell = np.repeat(row, many) + q.of[at] * batch.num_rows
+                size = n * batch.num_rows
+                score = np.round(np.bincount(cell, np.repeat(w, many), size), SCORE_DIGITS)
+                score[np.bincount(cell, minlength=size) == 0] = -np.inf
+                keep.add(rows, score.reshape(n, -1), batch.column("doc_id").to_numpy())
+        yield keep.batch(q.ids)
+
+    return counts.mapInArrow(run, "query_id long, vec_id long, sim double")
+
+
+def _topk(docs: DataFrame, queries: DataFrame, k: int, weight: Callable, shuffled: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """weight(df, n, avg_len) -> weigh of `_scored`; shuffled: the plan for larger query sets."""
+    terms = query_terms(queries)
+    if not small_enough(terms, TERMS):
+        return shuffled(terms)
+    own, spark = _query_index(terms), docs.sparkSession
+    path = scratch(spark, "counts")
+    _own_counts(docs, own.words).write.parquet(path)
+    counts = spark.read.schema("doc_id long, len long, t array<int>, tf array<int>").parquet(path)
+    n, total = counts.agg(F.count("*"), F.sum("len")).first()
+    df = np.zeros(len(own.words))
+    for r in counts.select(F.explode("t").alias("t")).groupBy("t").agg(F.count("*").alias("df")).collect():
+        df[r.t] = r.df
+    hits = _scored(counts, own, k, weight(df, n, (total or 0) / max(n, 1)))
+    return ranked(hits.select("query_id", F.col("vec_id").alias("doc_id"), F.col("sim").alias("score")), k)
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Okapi BM25 (Robertson & Zaragoza 2009); idf = ln(1 + (n - df + 0.5) / (df + 0.5))."""
-    terms, post = _matched(docs, queries)
-    size = lengths(docs)
-    stats = size.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    df = doc_freq(post)
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = post.join(df, "term").join(size, "doc_id").join(F.broadcast(stats)).select("term", "doc_id", weight.alias("w"))
-    hits = scored.join(broadcast_if_small(terms), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), SCORE_DIGITS).alias("score"))
-    return ranked(hits, k)
+
+    def weight(df: np.ndarray, n: int, avg_len: float):
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        return lambda t, tf, size: idf[t] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / avg_len))
+
+    def shuffled(terms: DataFrame) -> DataFrame:
+        post, size = _matched(docs, terms), lengths(docs)
+        stats = size.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        w = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+        return _summed(post.join(doc_freq(post), "term").join(size, "doc_id").join(F.broadcast(stats)).select("term", "doc_id", w.alias("w")), terms, k)
+
+    return _topk(docs, queries, k, weight, shuffled)
 
 
 def tfidf_topk(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Sum of (1 + ln tf) * ln(n / df)."""
-    terms, post = _matched(docs, queries)
-    n = lengths(docs).agg(F.count("*").alias("n"))
-    weight = (1 + F.log("tf")) * F.log(F.col("n") / F.col("df"))
-    scored = post.join(doc_freq(post), "term").join(F.broadcast(n)).select("term", "doc_id", weight.alias("w"))
-    hits = scored.join(broadcast_if_small(terms), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), SCORE_DIGITS).alias("score"))
-    return ranked(hits, k)
+
+    def weight(df: np.ndarray, n: int, avg_len: float):
+        idf = np.log(n / np.maximum(df, 1))
+        return lambda t, tf, size: (1 + np.log(tf)) * idf[t]
+
+    def shuffled(terms: DataFrame) -> DataFrame:
+        post = _matched(docs, terms)
+        n = lengths(docs).agg(F.count("*").alias("n"))
+        w = (1 + F.log("tf")) * F.log(F.col("n") / F.col("df"))
+        return _summed(post.join(doc_freq(post), "term").join(F.broadcast(n)).select("term", "doc_id", w.alias("w")), terms, k)
+
+    return _topk(docs, queries, k, weight, shuffled)
 
 
 def boolean_match(docs: DataFrame, all_of: list[str], none_of: list[str] = ()) -> DataFrame:

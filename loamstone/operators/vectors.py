@@ -1,14 +1,17 @@
-"""Vector search. Queries are a stated set of bounded size; vectors are all rows.
+"""Vector search. Queries are a stated set; vectors are all rows.
 
-Exact search sends the queries to where the vectors are (broadcast, after a check
-of their size; larger sets go in blocks) and works on Arrow batches in numpy. Each
-task keeps only the k best of each query, so what is shuffled is
-queries x tasks x k, whatever the number of vectors.
+A set of up to QUERY_BLOCK queries, by a count, is broadcast to where the vectors are.
+A larger one is cut into blocks, as are the vectors, and every block of one meets every
+block of the other in a task of its own, by one shuffle. Similarities are worked out in
+numpy, and a task keeps no more than the k best of each query, so what goes on to the
+last ranking is queries x tasks x k, whatever the number of vectors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +19,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamstone.functions.vectors import cosine
-from loamstone.sources.tables import broadcast_if_small
+from loamstone.sources.tables import broadcast_if_small, small_enough
 
-QUERY_BLOCK = 4096
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 65_536
 DIGITS = 6
 
 
@@ -38,51 +41,136 @@ def query_set(vectors: DataFrame, every: int = 20) -> DataFrame:
     return vectors.where(F.col("vec_id") % every == 0)
 
 
-def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and unit vectors of the queries, QUERY_BLOCK at a time."""
-    ids, rows = [], []
-    for r in queries.select("vec_id", "embedding").toLocalIterator():
-        ids.append(r.vec_id)
-        rows.append(r.embedding)
-        if len(ids) == QUERY_BLOCK:
-            yield np.array(ids), _unit(np.array(rows, float))
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids), _unit(np.array(rows, float))
+class Best:
+    """The k best (query, other, similarity) of each query so far; ties go to the smaller id."""
 
+    def __init__(self, n: int, k: int) -> None:
+        self.n, self.k = n, k
+        self.q, self.other, self.sim = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
 
-def _hits(vectors: DataFrame, queries: DataFrame, keep) -> DataFrame:
-    """(query_id, vec_id, sim) of what `keep` picks from each batch's similarities."""
-    spark, found = vectors.sparkSession, None
-    for ids, unit in _blocks(queries):
-        held = spark.sparkContext.broadcast((ids, unit))
+    def add(self, rows: np.ndarray, sim: np.ndarray, other: np.ndarray) -> None:
+        """sim: similarities of the queries `rows` (numbers) to the ids `other`; -inf: none."""
+        if not sim.size:
+            return
+        if sim.shape[1] > self.k:
+            least = np.partition(sim, -self.k, axis=1)[:, -self.k]
+            i, j = np.nonzero((sim >= least[:, None]) & np.isfinite(sim))
+        else:
+            i, j = np.nonzero(np.isfinite(sim))
+        self.q, self.other, self.sim = (np.concatenate(x) for x in ((self.q, rows[i]), (self.other, other[j]), (self.sim, sim[i, j])))
+        if len(self.q) > max(4 * self.n * self.k, 100_000):
+            self.cut()
+
+    def cut(self) -> None:
+        order = np.lexsort((self.other, -self.sim, self.q))
+        q = self.q[order]
+        first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, int)
+        kept = order[np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)])) < self.k]
+        self.q, self.other, self.sim = self.q[kept], self.other[kept], self.sim[kept]
+
+    def batch(self, ids: np.ndarray) -> pa.RecordBatch:
+        self.cut()
+        return _hit_rows(ids[self.q], self.other, self.sim)
+
+
+class _Above:
+    """All that are at least so near; given out as they come."""
+
+    def __init__(self, least: float) -> None:
+        self.least = least
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, rows: np.ndarray, sim: np.ndarray, other: np.ndarray) -> None:
+        i, j = np.nonzero(sim >= self.least)
+        self.parts.append((rows[i], other[j], sim[i, j]))
+
+    def batch(self, ids: np.ndarray) -> pa.RecordBatch:
+        q, other, sim = (np.concatenate(x) for x in zip(*self.parts, strict=True)) if self.parts else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        self.parts = []
+        return _hit_rows(ids[q], other, sim)
+
+
+_HIT = "query_id long, vec_id long, sim double"
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            q, m = held.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                other = batch.column("vec_id").to_numpy()
-                sim = np.round(m @ _unit(_matrix(batch.column("embedding"))).T, DIGITS)
-                sim[q[:, None] == other[None, :]] = -np.inf
-                i, j = keep(sim, other)
-                fine = np.isfinite(sim[i, j])
-                i, j = i[fine], j[fine]
-                yield pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(other[j]), pa.array(sim[i, j])], names=["query_id", "vec_id", "sim"])
 
-        part = vectors.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, sim double")
-        found = part if found is None else found.union(part)
-    return found if found is not None else spark.createDataFrame([], "query_id long, vec_id long, sim double")
+def _hit_rows(q: np.ndarray, other: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(q.astype(np.int64)), pa.array(other.astype(np.int64)), pa.array(sim.astype(float))], names=["query_id", "vec_id", "sim"])
 
 
-def knn_cosine(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, vec_id, sim, rank: the k nearest others; ties go to the smaller id."""
+def _compared(ids: np.ndarray, unit: np.ndarray, batch: pa.RecordBatch, skip_self: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Similarities of the queries to a batch's vectors, and their ids."""
+    other = batch.column("vec_id").to_numpy()
+    sim = np.round(unit @ _unit(_matrix(batch.column("embedding"))).T, DIGITS)
+    if skip_self:
+        sim[ids[:, None] == other[None, :]] = -np.inf
+    return sim, other
 
-    def best(sim: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((np.broadcast_to(other, sim.shape), -sim), axis=1)[:, :k]
-        return np.repeat(np.arange(len(sim)), order.shape[1]), order.ravel()
 
-    return top(_hits(vectors, queries, best), k)
+def _gathered(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of a query set of a checked size."""
+    got = queries.select("vec_id", "embedding").toArrow().combine_chunks().sort_by("vec_id")
+    return got.column("vec_id").to_numpy(), _unit(_matrix(got.column("embedding").combine_chunks()))
+
+
+def _hits(vectors: DataFrame, queries: DataFrame, keeper: Callable[[int], Best | _Above], skip_self: bool = True, query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
+    """(query_id, vec_id, sim) of what keepers hold back."""
+    n = queries.count()
+    if n > query_block:
+        return _block_hits(vectors, queries, n, keeper, skip_self, query_block, vector_block)
+    held = vectors.sparkSession.sparkContext.broadcast(_gathered(queries))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, unit = held.value
+        keep, rows = keeper(len(ids)), np.arange(len(ids))
+        for batch in batches:
+            if batch.num_rows and len(ids):
+                keep.add(rows, *_compared(ids, unit, batch, skip_self))
+                if isinstance(keep, _Above):
+                    yield keep.batch(ids)
+        if isinstance(keep, Best):
+            yield keep.batch(ids)
+
+    return vectors.select("vec_id", "embedding").mapInArrow(run, _HIT)
+
+
+def _block_hits(vectors: DataFrame, queries: DataFrame, n: int, keeper: Callable[[int], Best | _Above], skip_self: bool, query_block: int, vector_block: int) -> DataFrame:
+    """Block of queries against block of vectors: a row of one side goes to as many tasks as the other has blocks."""
+    nq, nv = -(-n // query_block), max(-(-vectors.count() // vector_block), 1)
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    own = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
+    left = queries.select("vec_id", "embedding", F.lit(0).alias("side"), own(nq).alias("p")).withColumn("q", every(nv))
+    right = vectors.select("vec_id", "embedding", F.lit(1).alias("side"), own(nv).alias("q")).withColumn("p", every(nq))
+    dealt = left.unionByName(right).repartition("p", "q").sortWithinPartitions("p", "q", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, part, ids, unit, keep = None, [], np.zeros(0, np.int64), np.zeros((0, 0)), None
+        for whole in batches:
+            p, q, side = (whole.column(c).to_numpy() for c in ("p", "q", "side"))
+            cut = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (q[1:] != q[:-1]) | (side[1:] != side[:-1])]) if whole.num_rows else np.zeros(0, int)
+            for s, e in zip(cut.tolist(), np.r_[cut[1:], whole.num_rows].tolist(), strict=True):
+                batch = whole.slice(s, e - s)
+                if (p[s], q[s]) != now:
+                    if keep:
+                        yield keep.batch(ids)
+                    now, part, keep = (p[s], q[s]), [], None
+                if side[s] == 0:
+                    part.append(batch)
+                    continue
+                if part:
+                    table = pa.Table.from_batches(part).combine_chunks()
+                    ids, unit = table.column("vec_id").to_numpy(), _unit(_matrix(table.column("embedding").combine_chunks()))
+                    keep, part = keeper(len(ids)), []
+                if keep:
+                    keep.add(np.arange(len(ids)), *_compared(ids, unit, batch, skip_self))
+        if keep:
+            yield keep.batch(ids)
+
+    return dealt.mapInArrow(run, _HIT)
+
+
+def knn_cosine(vectors: DataFrame, queries: DataFrame, k: int = 10, *, skip_self: bool = True, query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
+    """query_id, vec_id, sim, rank: the k nearest (others, if ids are of one table); ties go to the smaller id."""
+    return top(_hits(vectors, queries, lambda n: Best(n, k), skip_self, query_block, vector_block), k)
 
 
 def top(hits: DataFrame, k: int) -> DataFrame:
@@ -92,7 +180,7 @@ def top(hits: DataFrame, k: int) -> DataFrame:
 
 def knn_threshold(vectors: DataFrame, queries: DataFrame, least: float) -> DataFrame:
     """query_id, vec_id, sim: all others at least so near."""
-    return _hits(vectors, queries, lambda sim, other: np.nonzero(sim >= least))
+    return _hits(vectors, queries, lambda n: _Above(least))
 
 
 def knn_sql(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -107,76 +195,145 @@ def centroids(vectors: DataFrame) -> DataFrame:
     return vectors.select("label", F.posexplode("embedding").alias("dim", "x")).groupBy("label", "dim").agg(F.round(F.avg(F.col("x").cast("double")), 9).alias("value"))
 
 
+def _sample(vectors: DataFrame, n: int, most: int) -> np.ndarray:
+    """Unit vectors of the `most` rows of the smallest hashes, of n; a cut-off by the count comes before the ranking."""
+    h = F.xxhash64("vec_id")
+    share = min(1.0, (most + 6 * math.sqrt(most) + 20) / max(n, 1))
+    some = vectors.where(h.cast("double") <= (share - 0.5) * 2.0**64).orderBy(h, "vec_id").limit(most)
+    return _unit(_matrix(some.select("embedding").toArrow().column("embedding").combine_chunks()))
+
+
+def _neighbours(x: np.ndarray, queries: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and similarities of the k nearest others of a sample's first vectors."""
+    q = x[: min(queries, len(x))]
+    sim = q @ x.T
+    sim[np.arange(len(q)), np.arange(len(q))] = -np.inf
+    near = np.argsort(-sim, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+    return near, np.take_along_axis(sim, near, axis=1)
+
+
 class IvfIndex:
     """Inverted file: coarse centres fitted on a bounded sample, every row filed under its nearest.
 
-    Rows are dealt by list and a hash of the id, so a long list is many partitions.
-    A query probes the lists of its nprobe nearest centres; nprobe is set when the
-    index is made, so that the sample's own exact neighbours are found at the
-    `target` rate.
+    There are about as many lists as the square root of the rows (4,096 at most), so a
+    list grows with the root too. A query probes the lists of its nprobe nearest centres;
+    nprobe is set when the index is made, so that the sample's own exact neighbours are
+    found at the `target` rate. Up to QUERY_BLOCK queries go to where the vectors are and
+    only lists they probe are compared; more are joined to the lists by a shuffle, whose
+    long lists Spark can split.
     """
 
-    def __init__(self, vectors: DataFrame, lists: int = 32, sample: int = 50_000, rounds: int = 15, target: float = 0.95, seed: int = 11) -> None:
-        self.spark = vectors.sparkSession
-        chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()
-        x = _unit(_matrix(chosen.column("embedding").combine_chunks()))
+    def __init__(self, vectors: DataFrame, lists: int | None = None, sample: int = 50_000, rounds: int = 15, target: float = 0.95, seed: int = 11) -> None:
+        self.spark, self.vectors = vectors.sparkSession, vectors
+        n = vectors.count()
+        lists = lists or min(max(round(math.sqrt(n)), 16), 4096)
+        x = _sample(vectors, n, sample)
         rng = np.random.Generator(np.random.PCG64(seed))
         c = x[rng.choice(len(x), min(lists, len(x)), replace=False)] if len(x) else np.zeros((1, 1))
         for _ in range(rounds):
-            near = (x @ c.T).argmax(axis=1)
+            near = (x @ c.T).argmax(axis=1) if len(x) else np.zeros(0, int)
             for k in range(len(c)):
                 if (near == k).any():
                     c[k] = x[near == k].mean(axis=0)
             c = _unit(c)
         self.centres = c
         self.nprobe = self._probes(x, target)
-        self.filed = self._file(vectors, 1).withColumnRenamed("list", "lists").withColumn("list", F.element_at("lists", 1)).drop("lists")
 
     def _probes(self, x: np.ndarray, target: float, queries: int = 500, k: int = 10) -> int:
         """Lists to probe: the rank, among a query's lists, under which the target share of its neighbours lies."""
         if len(x) < 2:
             return 1
-        q = x[: min(queries, len(x))]
-        near = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, 1 : k + 1]
-        place = np.argsort(np.argsort(-(q @ self.centres.T), axis=1, kind="stable"), axis=1)
+        near, _ = _neighbours(x, queries, k)
+        place = np.argsort(np.argsort(-(x[: len(near)] @ self.centres.T), axis=1, kind="stable"), axis=1)
         home = (x @ self.centres.T).argmax(axis=1)
         return int(np.quantile(np.take_along_axis(place, home[near], axis=1), target, method="higher")) + 1
 
-    def _file(self, vectors: DataFrame, n: int) -> DataFrame:
+    def filed(self, vectors: DataFrame, n: int = 1) -> DataFrame:
+        """vec_id, embedding, lists: the n nearest lists of each vector."""
         c = self.centres
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
                     near = np.argsort(-(_unit(_matrix(batch.column("embedding"))) @ c.T), axis=1, kind="stable")[:, :n].astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(list(near), pa.list_(pa.int32()))], names=["vec_id", "embedding", "list"])
+                    yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(list(near), pa.list_(pa.int32()))], names=["vec_id", "embedding", "lists"])
 
-        return vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id long, embedding array<float>, list array<int>")
+        return vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id long, embedding array<float>, lists array<int>")
 
     def search(self, queries: DataFrame, k: int = 10, nprobe: int | None = None) -> DataFrame:
-        nprobe = nprobe or self.nprobe
-        q = self._file(queries, nprobe).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.explode("list").alias("list"))
-        both = self.filed.join(broadcast_if_small(q, QUERY_BLOCK * nprobe), "list").where("vec_id <> query_id")
-        return top(both.select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), DIGITS).alias("sim")), k)
+        nprobe, c = nprobe or self.nprobe, self.centres
+        if not small_enough(queries, QUERY_BLOCK):
+            q = self.filed(queries, nprobe).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.explode("lists").alias("list"))
+            both = self.filed(self.vectors).select("vec_id", "embedding", F.element_at("lists", 1).alias("list")).join(q, "list").where("vec_id <> query_id")
+            return top(both.select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), DIGITS).alias("sim")), k)
+        held = self.spark.sparkContext.broadcast(_gathered(queries))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, unit = held.value
+            if not len(ids):
+                return
+            keep = Best(len(ids), k)
+            probed = np.argsort(-(unit @ c.T), axis=1, kind="stable")[:, :nprobe]
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, other = _unit(_matrix(batch.column("embedding"))), batch.column("vec_id").to_numpy()
+                home = (x @ c.T).argmax(axis=1)
+                for own in np.unique(home).tolist():
+                    rows, here = np.flatnonzero((probed == own).any(axis=1)), np.flatnonzero(home == own)
+                    if len(rows):
+                        sim = np.round(unit[rows] @ x[here].T, DIGITS)
+                        sim[ids[rows][:, None] == other[here][None, :]] = -np.inf
+                        keep.add(rows, sim, other[here])
+            yield keep.batch(ids)
+
+        return top(self.vectors.select("vec_id", "embedding").mapInArrow(run, _HIT), k)
 
 
-def ann_lsh(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 64, bits: int = 6, seed: int = 5) -> DataFrame:
-    """Random-hyperplane hashing: candidates share a signature in one table; candidates are then ranked exactly."""
-    rng = np.random.Generator(np.random.PCG64(seed))
-    dim = len(vectors.select("embedding").first()[0])
-    planes = rng.standard_normal((dim, tables * bits))
+def lsh_shape(n: int, sims: np.ndarray, target: float, most: int = 512) -> tuple[int, int]:
+    """Bits and tables of least cost (keys and candidates a query) that find neighbours of such similarities at the target rate.
+
+    Two vectors at an angle a agree in a random hyperplane's bit with 1 - a / pi.
+    """
+    agree = 1 - np.arccos(np.clip(sims, -1, 1)).ravel() / np.pi
+    best = None
+    for bits in range(4, 25):
+        hit = agree**bits
+        found = lambda t: (1 - (1 - hit) ** t).mean()  # noqa: E731, B023
+        if found(most) < target and best:
+            break
+        tables = next((t for t in range(1, most + 1) if found(t) >= target), most)
+        cost = tables * (1 + n * 2.0**-bits)
+        if best is None or cost < best[0]:
+            best = cost, bits, tables
+    return best[1], best[2]
+
+
+def ann_lsh(vectors: DataFrame, queries: DataFrame, k: int = 10, target: float = 0.95, sample: int = 5_000, seed: int = 5) -> DataFrame:
+    """Random-hyperplane hashing: candidates share a signature in one table; candidates are then ranked exactly.
+
+    Bits and tables come from the number of rows and the similarities of a bounded
+    sample's neighbours. Those of a sample are farther than the table's own, so recall
+    is rather above the target.
+    """
+    n = vectors.count()
+    x = _sample(vectors, n, sample)
+    if len(x) < 2:
+        return vectors.sparkSession.createDataFrame([], _HIT + ", rank int")
+    bits, tables = lsh_shape(n, _neighbours(x, 500, k)[1], target)
+    planes = np.random.Generator(np.random.PCG64(seed)).standard_normal((x.shape[1], tables * bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 side = (_matrix(batch.column("embedding")) @ planes > 0).reshape(batch.num_rows, tables, bits)
                 key = side @ (1 << np.arange(bits)) + (np.arange(tables) << bits)
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(list(key), pa.list_(pa.int64()))], names=["vec_id", "embedding", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(list(key), pa.list_(pa.int64()))], names=["vec_id", "keys"])
 
-    hashed = lambda df: df.select("vec_id", "embedding").mapInArrow(run, "vec_id long, embedding array<float>, keys array<long>")
+    hashed = lambda df: df.select("vec_id", "embedding").mapInArrow(run, "vec_id long, keys array<long>")
     q = hashed(queries).select(F.col("vec_id").alias("query_id"), F.explode("keys").alias("key"))
     pairs = hashed(vectors).select("vec_id", F.explode("keys").alias("key")).join(broadcast_if_small(q), "key").where("vec_id <> query_id").select("query_id", "vec_id").distinct()
-    both = pairs.join(vectors.select("vec_id", "embedding"), "vec_id").join(broadcast_if_small(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))), "query_id")
+    both = pairs.join(vectors.select("vec_id", "embedding"), "vec_id").join(broadcast_if_small(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 100_000), "query_id")
     return top(both.select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), DIGITS).alias("sim")), k)
 
 
@@ -186,6 +343,26 @@ def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     return hit.groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
 
 
+def embed_words(texts: DataFrame, id_col: str = "doc_id", dim: int = 256) -> DataFrame:
+    """vec_id, embedding: how many words of a text fall to each dimension by the first two digits of their MD5.
+
+    A stand-in that any engine can reproduce, where no model is at hand; texts without words are left out.
+    """
+    from loamstone.functions.text import tokenize
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = batch.column("w").flatten().dictionary_encode()
+            to = np.array([int(hashlib.md5(w.encode()).hexdigest()[:2], 16) % dim for w in coded.dictionary.to_pylist()], int)
+            size = np.diff(batch.column("w").offsets.to_numpy())
+            row = np.repeat(np.arange(batch.num_rows), size)
+            counts = np.bincount(row * dim + (to[coded.indices.to_numpy()] if len(to) else row), minlength=batch.num_rows * dim)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(list(counts.reshape(batch.num_rows, dim).astype(np.float32)), pa.list_(pa.float32()))], names=["vec_id", "embedding"])
+
+    words = texts.select(F.col(id_col).cast("long").alias("vec_id"), tokenize("text").alias("w")).where("size(w) > 0")
+    return words.mapInArrow(run, "vec_id long, embedding array<float>")
+
+
 def embed_text(docs: DataFrame, dim: int = 256) -> DataFrame:
     """doc_id, embedding: unit TF-IDF vectors of hashed words, where no model is at hand."""
     from pyspark.ml.feature import IDF, HashingTF, Normalizer

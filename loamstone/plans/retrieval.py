@@ -12,8 +12,7 @@ from loamstone.operators import chunking, lexical, ranking
 def ingest_pages(pages: DataFrame, size: int = 500, overlap: int = 100) -> DataFrame:
     """Chunks of the pages' visible text, with the canonical url. Narrow: nothing is shuffled."""
     clean = pages.select(F.col("page_id").alias("doc_id"), url_canonical("url").alias("url"), normalize_ws(html_to_text("html")).alias("text"))
-    chunks = chunking.chunk_chars(clean, size, overlap)
-    return chunks
+    return chunking.chunk_chars(clean, size, overlap, keep=("url",))
 
 
 def retrieve(docs: DataFrame, questions: DataFrame, k: int = 5, budget: int = 4000) -> DataFrame:

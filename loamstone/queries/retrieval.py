@@ -116,7 +116,12 @@ def chunk_tokens(spark, d):
     return chunking.chunk_tokens(load(spark, d, "documents"))
 
 
-@query("chunk_sentences")
+@query("chunk_sentences", r"""
+WITH RECURSIVE s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])[ \n]+', '\1' || chr(1), 'g'), chr(1)), lambda x: length(x) > 0) AS p FROM documents),
+r AS (SELECT doc_id, 1 AS i, 0 AS chunk_no, p[1] AS open FROM s WHERE len(p) > 0
+  UNION ALL SELECT r.doc_id, i + 1, CASE WHEN length(open) + 1 + length(p[i + 1]) > 400 THEN chunk_no + 1 ELSE chunk_no END, CASE WHEN length(open) + 1 + length(p[i + 1]) > 400 THEN p[i + 1] ELSE open || ' ' || p[i + 1] END
+  FROM r JOIN s ON s.doc_id = r.doc_id WHERE i < len(p))
+SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, arg_max(open, i) AS chunk_text FROM r GROUP BY doc_id, chunk_no""")
 def chunk_sentences(spark, d):
     return chunking.chunk_sentences(load(spark, d, "documents"))
 
@@ -298,18 +303,25 @@ def embed_model(spark, d):
     return vectors.embed_model(load(spark, d, "documents"), _make_predict)
 
 
-# Fusion, context, evaluation.
-_TFIDF_HITS = f"t0 AS (SELECT query_id, p.doc_id, round(sum((1 + ln(tf)) * ln(n / df)), 6) AS score FROM q JOIN p ON q.term = p.term JOIN df ON df.term = p.term, s GROUP BY query_id, p.doc_id)"
+# Fusion, context, evaluation. Words of documents and queries fall to 256 dimensions by the first two digits of their MD5.
+_DIGIT = "strpos('0123456789abcdef', md5(term)[{}]) - 1"
+_DIM = f"({_DIGIT.format(1)}) * 16 + {_DIGIT.format(2)}"
+_EMBEDDED = f"""qp AS (SELECT id, term, count(*) AS tf FROM (SELECT item_id AS id, unnest({_TOK}) AS term FROM benchmark) GROUP BY ALL),
+xd AS (SELECT doc_id AS id, {_DIM} AS dim, CAST(sum(tf) AS DOUBLE) AS x FROM p GROUP BY ALL), xq AS (SELECT id, {_DIM} AS dim, CAST(sum(tf) AS DOUBLE) AS x FROM qp GROUP BY ALL),
+nd AS (SELECT id, sqrt(sum(x * x)) AS n FROM xd GROUP BY id), nq AS (SELECT id, sqrt(sum(x * x)) AS n FROM xq GROUP BY id),
+t0 AS (SELECT xq.id AS query_id, xd.id AS doc_id, round(sum(xq.x * xd.x) / any_value(nq.n) / any_value(nd.n), 6) AS score FROM xq JOIN xd ON xq.dim = xd.dim JOIN nq ON nq.id = xq.id JOIN nd ON nd.id = xd.id GROUP BY ALL)"""
 
 
 def _two(k: int) -> str:
     r = "SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {}"
-    return f"WITH {_BM25}, {_TFIDF_HITS}, a AS (SELECT * FROM ({r.format('hits')}) WHERE rank <= {k}), b AS (SELECT * FROM ({r.format('t0')}) WHERE rank <= {k})"
+    return f"WITH {_BM25}, {_EMBEDDED}, a AS (SELECT * FROM ({r.format('hits')}) WHERE rank <= {k}), b AS (SELECT * FROM ({r.format('t0')}) WHERE rank <= {k})"
 
 
 def _rankings(spark, d, k):
+    """A keyword ranking, and one by cosine of embeddings."""
     docs, bench = load(spark, d, "documents"), load(spark, d, "benchmark")
-    return lexical.bm25_topk(docs, bench, k), lexical.tfidf_topk(docs, bench, k)
+    near = vectors.knn_cosine(vectors.embed_words(docs), vectors.embed_words(bench, "item_id"), k, skip_self=False)
+    return lexical.bm25_topk(docs, bench, k), near.select("query_id", F.col("vec_id").alias("doc_id"), F.col("sim").alias("score"), "rank")
 
 
 _FUSED = "f AS (SELECT query_id, doc_id, round(sum(s), 9) AS score FROM u GROUP BY ALL) SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 10"
@@ -411,6 +423,12 @@ def faithfulness_overlap(spark, d):
     return ranking.faithfulness(pairs)
 
 
-@query("ingest_pages")
+_CANONICAL = SQL["url_canonical"].replace("WITH a AS", "a AS").replace("\nSELECT page_id, lower", ",\nu AS (SELECT page_id, lower") + ")"
+
+
+@query("ingest_pages", rf"""WITH {_CANONICAL.strip()},
+t AS (SELECT page_id, trim(regexp_replace(lower(trim(regexp_replace({_unescaped(_HTML)}, {_SPACE}))), {_SPACE})) AS text FROM pages)
+SELECT doc_id, url, CAST(i AS INTEGER) AS chunk_no, CAST(i * 400 AS INTEGER) AS start, CAST(least(i * 400 + 500, length(text)) AS INTEGER) AS "end", substring(text, i * 400 + 1, 500) AS chunk_text
+FROM (SELECT t.page_id AS doc_id, u.url, text, unnest(range(greatest(1, CAST(ceil((length(text) - 100) / 400.0) AS BIGINT)))) AS i FROM t JOIN u ON u.page_id = t.page_id WHERE length(text) > 0)""")
 def ingest_pages(spark, d):
     return plans.ingest_pages(load(spark, d, "pages"))

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,3 +148,39 @@ def udtf(spark, d):
     spark.udtf.register("letters", Letters)
     load(spark, d, "nation").createOrReplaceTempView("__udtf_nation")
     return spark.sql("SELECT n_nationkey, l.i, l.c FROM __udtf_nation, LATERAL letters(n_name) l")
+
+
+@query("udf_arrow", "SELECT p_partkey, round(p_retailprice * p_size, 4) AS v FROM part")
+def udf_arrow(spark, d):
+    """Arrow arrays in and out, no pandas between."""
+
+    @F.arrow_udf("double")
+    def times(price: pa.Array, size: pa.Array) -> pa.Array:
+        return pc.multiply(price, pc.cast(size, pa.float64()))
+
+    return load(spark, d, "part").select("p_partkey", F.round(times("p_retailprice", "p_size"), 4).alias("v"))
+
+
+@query("udf_group_arrow", "SELECT event_type, count(*) AS n, round(max(value) - min(value), 6) AS spread FROM events GROUP BY event_type")
+def udf_group_arrow(spark, d):
+    def run(table: pa.Table) -> pa.Table:
+        low, high = pc.min_max(table.column("value")).as_py().values()
+        return pa.table({"event_type": [table.column("event_type")[0].as_py()], "n": pa.array([table.num_rows], pa.int64()), "spread": [round(high - low, 6)]})
+
+    return load(spark, d, "events").select("event_type", "value").groupBy("event_type").applyInArrow(run, "event_type string, n long, spread double")
+
+
+@query("udtf_arrow", "SELECT s_suppkey, unnest([s_suppkey * 2, s_suppkey * 3]) AS v FROM supplier")
+def udtf_arrow(spark, d):
+    """A table function that takes a table as Arrow batches."""
+
+    @F.arrow_udtf(returnType="s_suppkey bigint, v bigint")
+    class Multiples:
+        def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
+            key = rows.column("s_suppkey")
+            for k in (2, 3):
+                yield pa.table({"s_suppkey": key, "v": pc.multiply(key, k)})
+
+    spark.udtf.register("multiples", Multiples)
+    load(spark, d, "supplier").select("s_suppkey").createOrReplaceTempView("__udtf_supplier")
+    return spark.sql("SELECT * FROM multiples(TABLE(SELECT * FROM __udtf_supplier))")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstone.sources.tables import SCHEMAS, broadcast_if_small, load, scratch
+from loamstone.sources.tables import SCHEMAS, load, scratch
 from loamstone.streaming import events as E
 from loamstone.streaming import index
 
@@ -76,7 +77,7 @@ def st_sliding(spark, d):
     return _ntz(E.run_once(E.sliding(_stream(spark, d)), scratch(spark, "st")))
 
 
-@query("st_session")
+@query("st_session", f"SELECT user_id, start, n FROM ({_SESSIONS.replace('count(*) AS n', 'count(*) AS n, max(ts) AS last')}) WHERE last + INTERVAL 30 MINUTE <= {_CLOSED}")
 def st_session(spark, d):
     return _ntz(E.run_once(E.sessions(_stream(spark, d)), scratch(spark, "st")))
 
@@ -108,26 +109,35 @@ def st_state(spark, d):
     return out.groupBy("user_id").agg(F.max_by("n", "n").alias("n"), F.round(F.max_by("total", "n"), 6).alias("total"))
 
 
-@query("st_late")
-def st_late(spark, d):
-    """Events split by whether they lag their type's latest by more than ten minutes: the routing a watermark would drop."""
-    e = load(spark, d, "events")
-    high = e.groupBy("event_type").agg(F.max(F.col("ts").cast("timestamp")).alias("high"))
-    timely, late = E.split_late(e.join(broadcast_if_small(high, 10_000), "event_type"), "high")
-    return timely.groupBy("event_type").agg(F.count("*").alias("n")).withColumn("route", F.lit("in time")).unionByName(late.groupBy("event_type").agg(F.count("*").alias("n")).withColumn("route", F.lit("late")))
+_MIDDLE = "(SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events)"
 
 
-SQL["st_late"] = "SELECT event_type, count(*) AS n, CASE WHEN ts < high - INTERVAL 10 MINUTE THEN 'late' ELSE 'in time' END AS route FROM events JOIN (SELECT event_type, max(ts) AS high FROM events GROUP BY event_type) USING (event_type) GROUP BY ALL"
+@query("st_late", f"SELECT event_type, count(*) AS n, CASE WHEN ts < {_MIDDLE} THEN 'late' ELSE 'in time' END AS route FROM events GROUP BY ALL")
+def st_late(spark, d):
+    """The newer half of events as a stream, then the older half with the newest minutes: what is late by then is routed, not lost."""
+    e = load(spark, d, "events")
+    low, high = e.agg(F.min("ts"), F.max("ts")).first()
+    middle, newest = low + (high - low) / 2, high - timedelta(minutes=5)
+    path = scratch(spark, "late")
+    ts = F.col("ts")
+    for part in (e.where((ts >= middle) & (ts < newest)), e.where((ts < middle) | (ts >= newest))):
+        part.coalesce(1).write.mode("append").parquet(path)
+    timely, late = E.route_late(E.stream_files(spark, path, SCHEMAS["events"]), scratch(spark, "routes"))
+    counts = lambda df, route: df.groupBy("event_type").agg(F.count("*").alias("n")).withColumn("route", F.lit(route))
+    return counts(timely, "in time").unionByName(counts(late, "late"))
 
 
 @query("st_index", """
 SELECT doc_id, CAST(i AS INTEGER) AS chunk_no, md5(substring(text, i * 400 + 1, 500)) AS chunk
-FROM (SELECT doc_id, text, unnest(range(greatest(1, CAST(ceil((length(text) - 100) / 400.0) AS BIGINT)))) AS i FROM documents WHERE length(text) > 0)""")
+FROM (SELECT doc_id, text, unnest(range(greatest(1, CAST(ceil((length(text) - 100) / 400.0) AS BIGINT)))) AS i
+      FROM (SELECT doc_id, CASE lang WHEN 'fr' THEN 'v2 ' || text WHEN 'de' THEN '' ELSE text END AS text FROM documents WHERE lang <> 'es') WHERE length(text) > 0)""")
 def st_index(spark, d):
-    """documents as a stream of files into a chunk index, then its current chunks."""
-    path = scratch(spark, "docs")
-    load(spark, d, "documents").repartition(4, "doc_id").write.parquet(path)
+    """documents as a stream of files into a chunk index; then French ones revised, German ones emptied, Spanish ones deleted; its current chunks."""
+    path, docs = scratch(spark, "docs"), load(spark, d, "documents").select("doc_id", "lang", "text", F.lit(1).alias("v"), F.lit(False).alias("gone"))
+    docs.repartition(2, "doc_id").write.parquet(path)
+    changed = docs.where("lang <> 'en'").withColumns({"v": F.lit(3), "gone": F.col("lang") == "es", "text": F.expr("case lang when 'fr' then 'v2 ' || text when 'de' then '' else text end")})
+    stale = docs.where("lang <> 'en'").withColumns({"v": F.lit(2), "text": F.concat(F.lit("stale and longer "), "text")})
+    changed.union(stale).coalesce(1).write.mode("append").parquet(path)
     out = scratch(spark, "index")
-    index.stream_index(E.stream_files(spark, path, SCHEMAS["documents"], 2), out)
-    chunks = spark.read.parquet(f"{out}/chunks")
-    return index.current(chunks).select("doc_id", "chunk_no", F.md5("chunk_text").alias("chunk"))
+    index.stream_index(E.stream_files(spark, path, "doc_id bigint, lang string, text string, v int, gone boolean"), out, order=F.col("v"), deleted=F.col("gone"))
+    return index.current(spark, out).select("doc_id", "chunk_no", F.md5("chunk_text").alias("chunk"))

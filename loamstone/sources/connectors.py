@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from loamstone.sources.tables import broadcast_if_small
+
 
 class _Range(InputPartition):
     def __init__(self, start: int, end: int) -> None:
@@ -46,9 +48,12 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(QuestionSource)
 
 
-def write_partitioned(df: DataFrame, path: str, *by: str) -> None:
-    """One folder a key; rows of a key are first brought together so that tasks don't write a file into every folder."""
-    df.repartition(*by, F.pmod(F.hash(*df.columns[:1]), F.lit(8))).write.mode("overwrite").partitionBy(*by).parquet(path)
+def write_partitioned(df: DataFrame, path: str, *by: str, rows_a_file: int = 1_000_000) -> None:
+    """One folder a key. Rows of a key are brought together in as many tasks as its count asks for, so that small keys make one file and large ones don't end in one task."""
+    key = F.struct(*by).alias("__key")
+    sizes = broadcast_if_small(df.groupBy(key).agg(F.ceil(F.count("*") / rows_a_file).alias("__n")), 100_000)
+    dealt = df.withColumn("__key", key).join(sizes, "__key").repartition("__key", F.pmod(F.xxhash64(*df.columns), F.col("__n")))
+    dealt.select(*df.columns).write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
 def latest(df: DataFrame, key: str, *order: str) -> DataFrame:

@@ -114,10 +114,28 @@ def running_totals(events: DataFrame) -> DataFrame:
     return event_time(events).groupBy("user_id").transformWithStateInPandas(RunningTotal(), "user_id long, n long, total double", "Update", "None")
 
 
-def split_late(events: DataFrame, high: str, delay: str = DELAY) -> tuple[DataFrame, DataFrame]:
-    """Rows in time and rows later than the delay behind `high`, a column with the highest time seen before."""
-    late = F.col("ts").cast("timestamp") < F.col(high) - F.expr(f"interval {delay}")
-    return events.where(~late), events.where(late)
+def route_late(events: DataFrame, path: str, delay: str = DELAY) -> tuple[DataFrame, DataFrame]:
+    """Drain a stream into rows in time and rows later than the delay behind the highest time of earlier micro-batches.
+
+    What a watermark would drop is kept and routed. Each micro-batch writes folders of
+    its own under its number, its highest time too, so one that runs again after a
+    failure replaces itself and sees the same earlier batches.
+    """
+    spark = events.sparkSession
+    late_by = F.expr(f"interval {delay}")
+
+    def put(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        own = batch.agg(F.max(F.col("ts").cast("timestamp")).alias("high"))
+        own.write.mode("overwrite").parquet(f"{path}/high/batch={n}")
+        high = spark.read.schema("high timestamp, batch long").parquet(f"{path}/high").where(F.col("batch") < n).agg(F.max("high")).first()[0]
+        late = F.lit(False) if high is None else F.col("ts").cast("timestamp") < F.lit(high) - late_by
+        batch.where(~late).write.mode("overwrite").parquet(f"{path}/timely/batch={n}")
+        batch.where(late).write.mode("overwrite").parquet(f"{path}/late/batch={n}")
+
+    events.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    schema = events.schema
+    return tuple(spark.read.schema(schema).parquet(f"{path}/{route}/batch=*") for route in ("timely", "late"))
 
 
 def run_once(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
