@@ -31,7 +31,7 @@ pyarrow's file systems, into memory.
 Defined results: null and empty texts are one end token. Without training texts
 every token is unknown: the score spreads uniformly over one kind. Ids repeat
 harmlessly; a null id counts as an empty text in the choice of training rows. Counts
-are exact up to 2**53, beyond what one byte holds in 64 bits beside the bytes.
+are whole numbers of 64 bits.
 """
 
 from __future__ import annotations
@@ -216,8 +216,13 @@ class Table:
 
 
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, inv = np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]), return_inverse=True)
-    return k, np.bincount(inv, np.concatenate([np.zeros(0), *counts]), len(k)).astype(np.int64)
+    """Distinct keys in order, and the sums of their counts, in whole numbers."""
+    k = np.concatenate([np.zeros(0, np.uint64), *keys])
+    order = np.argsort(k)
+    k = k[order]
+    first, _ = _runs(k)
+    c = np.concatenate([np.zeros(0, np.int64), *counts])[order]
+    return k[first], np.add.reduceat(c, first) if len(first) else c
 
 
 def _groups_of_slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -500,8 +505,8 @@ def train(docs: DataFrame, *, text_col: str = "text", order: int = 2) -> Model:
                 short = token if n == 2 else _lookup(below, _shortened(tables, n - 1, context, bits), token, bits)
                 told = [np.unique(x, return_counts=True) for x in (short, context[c == 1], context[c == 2], context[c > 2])]
                 if n < order:
-                    i, back = np.unique(context, return_inverse=True)
-                    told.append((i, np.bincount(back, c, len(i)).astype(np.int64)))
+                    i, total = _merged([context.astype(np.uint64)], [c])
+                    told.append((i.astype(np.int64), total))
                 i, column, value = (np.concatenate(x) for x in zip(*((i, np.full(len(i), k), v) for k, (i, v) in enumerate(told)), strict=True))
                 at = np.searchsorted(below.base + first, i, side="right") - 1
                 # Places within the shard and columns, in one uint64.
