@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamstone.llm import decontam, minhash, pii, quality, spm
-from loamstone.llm.common import fresh, stored
+from loamstone.llm.common import discard, fresh, stored
 from loamstone.llm.queries import tokenizers_dir
 
 
@@ -62,7 +62,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs, "pipeline")
+            if k:
+                discard(before)
     return docs
