@@ -115,7 +115,7 @@ def _gathered(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def _hits(vectors: DataFrame, queries: DataFrame, keeper: Callable[[int], Best | _Above], skip_self: bool = True, query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
     """(query_id, vec_id, sim) of what keepers hold back."""
     n = queries.count()
-    if n > query_block:
+    if n > query_block or not small_enough(queries.select("vec_id", "embedding"), query_block):
         return _block_hits(vectors, queries, n, keeper, skip_self, query_block, vector_block)
     held = vectors.sparkSession.sparkContext.broadcast(_gathered(queries))
 

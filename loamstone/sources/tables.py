@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SCHEMAS = {
     "region": "r_regionkey int, r_name string",
@@ -70,11 +71,29 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def small_enough(df: DataFrame, most_rows: int = 1_000_000) -> bool:
-    """Whether df has at most so many rows; reads no more than it must to tell."""
-    return df.limit(most_rows + 1).count() <= most_rows
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: texts and binaries by their length, arrays by their elements, other nested values by their JSON."""
+    parts = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            parts.append(F.coalesce(F.octet_length(c), F.lit(0)) + 16)
+        elif isinstance(f.dataType, T.ArrayType) and not isinstance(f.dataType.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)):
+            parts.append(F.greatest(F.size(c), F.lit(0)) * 8 + 16)
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            parts.append(F.coalesce(F.octet_length(F.to_json(c)), F.lit(0)) + 16)
+        else:
+            parts.append(F.lit(8))
+    return sum(parts, F.lit(16)).cast("long")
+
+
+def small_enough(df: DataFrame, most_rows: int = 1_000_000, most_bytes: int = 64 << 20) -> bool:
+    """Whether df has at most so many rows and bytes; reads no more rows than it must to tell."""
+    some = df.limit(most_rows + 1)
+    n, size = some.agg(F.count("*"), F.coalesce(F.sum(row_bytes(some)), F.lit(0))).first()
+    return n <= most_rows and size <= most_bytes
 
 
-def broadcast_if_small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
-    """Hint a broadcast only for a side of a checked size; a larger one is left to a shuffle."""
-    return F.broadcast(df) if small_enough(df, most_rows) else df
+def broadcast_if_small(df: DataFrame, most_rows: int = 1_000_000, most_bytes: int = 64 << 20) -> DataFrame:
+    """Hint a broadcast only for a side of checked rows and bytes; a larger one is left to a shuffle."""
+    return F.broadcast(df) if small_enough(df, most_rows, most_bytes) else df

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loamstone.operators import lexical, vectors
 from loamstone.sources import connectors
-from loamstone.sources.tables import load
+from loamstone.sources.tables import load, small_enough
 from loamstone.streaming import events as E
 from loamstone.streaming import index
 
@@ -103,3 +103,9 @@ def test_late_rows_are_routed_batch_by_batch(spark, tmp_path):
     timely, late = E.route_late(E.stream_files(spark, path, schema), f"file://{tmp_path}/out")
     assert sorted(r.event_id for r in late.collect()) == [5, 7]
     assert sorted(r.event_id for r in timely.collect()) == [1, 2, 3, 4, 6, 8]
+
+
+def test_broadcasts_are_checked_by_rows_and_bytes(spark):
+    wide = spark.range(100).select("id", F.lit("x" * 1000).alias("s"), F.array(F.lit(1.0), F.lit(2.0)).alias("a"), F.struct(F.lit("y" * 50).alias("t")).alias("z"))
+    assert small_enough(wide, 100, 200_000) and not small_enough(wide, 99) and not small_enough(wide, 100, 100_000)
+    assert small_enough(wide.limit(0), 0, 0)
