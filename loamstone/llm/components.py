@@ -23,18 +23,17 @@ def components(edges: DataFrame, a: str, b: str, name: str = "components", most:
     held = stored(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
 
     def signature(df: DataFrame):
-        return tuple(df.agg(F.count("*"), F.sum("u"), F.sum("v"), F.bit_xor(F.xxhash64("u", "v"))).first())
+        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first())
 
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     was = signature(held)
     for _ in range(most):
         if not was[0]:
             break
         both = held.union(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).repartition(parts)
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).hint("rebalance")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.where("u <> v")
-        low = down.groupBy("u").agg(F.min("v").alias("m")).repartition(parts)
+        low = down.groupBy("u").agg(F.min("v").alias("m")).hint("rebalance")
         small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         before, held = held, stored(small, name)
         discard(before)
