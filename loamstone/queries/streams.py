@@ -26,11 +26,18 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-def _stream(spark: SparkSession, d: str) -> DataFrame:
-    """events as a stream, in files of rising time."""
+def _stream(spark: SparkSession, d: str, files: int = 4) -> DataFrame:
+    """events as a stream, in files of rising time, one a micro-batch."""
     path = scratch(spark, "events")
-    load(spark, d, "events").repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(path)
-    return E.stream_files(spark, path, SCHEMAS["events"], 4)
+    load(spark, d, "events").repartitionByRange(files, "ts").sortWithinPartitions("ts").write.parquet(path)
+    # Files arrive in order of their modification times; tasks end in any order.
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted((s.getPath().getName(), s) for s in fs.listStatus(at) if s.getPath().getName().startswith("part-"))
+    first = min((s.getModificationTime() for _, s in found), default=0)
+    for k, (_, s) in enumerate(found):
+        fs.setTimes(s.getPath(), first + 1000 * k, -1)
+    return E.stream_files(spark, path, SCHEMAS["events"], 1)
 
 
 def _ntz(df: DataFrame) -> DataFrame:
