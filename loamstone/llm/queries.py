@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstone.llm import decontam, langid, lm, lz, minhash, pii, quality, spm, token_counts, toxicity
+from loamstone.llm import collocations, decontam, langid, lm, lz, minhash, pii, quality, spm, token_counts, toxicity, url_rules, whitening
 from loamstone.llm.common import shared_dir, stored
 from loamstone.llm.samples import fold
 
@@ -96,8 +96,21 @@ def toxicity_text(spans: str):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.long_form(*whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_rules.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), url_rules.contract_rules(spark))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_sentencepiece, op3_token_counts, op4_document_fingerprints, op5_lm_scoring, op6_benchmark_decontamination, op7_quality_classifier, op8_language_id, op9_minhash_near_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_pii, op2_sentencepiece, op3_token_counts, op4_document_fingerprints, op5_lm_scoring, op6_benchmark_decontamination, op7_quality_classifier, op8_language_id, op9_minhash_near_dedup, op10_toxicity, op11_embedding_whitening, op12_url_filters, op13_phrase_collocations)}
 
 
 _LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -134,5 +147,30 @@ FROM dw JOIN m ON m.a = dw.doc_id LEFT JOIN n ON n.doc_id = dw.doc_id
 """
 
 
+_OP12 = """
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substring(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u),
+r(rh, rp, rv) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+m AS (SELECT page_id, host, path, (SELECT max(struct_pack(n := length(rh || rp), rule := rh || rp, verdict := rv)) FROM r WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)) AS best FROM h)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM m
+"""
+
+_OP13 = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWERED}, '[.,;:!?
+-]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p),
+g AS (SELECT lang, w[i:i + k - 1] AS g, k FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 4) t(k))),
+f AS (SELECT lang, g, k, CAST(count(*) AS HUGEINT) AS a FROM g GROUP BY ALL), n AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE a >= 10),
+s AS (SELECT c.lang, c.g, c.k, c.a, j, x.a AS l, y.a AS r, 1000000 * c.a * c.a // (x.a * y.a) AS score
+      FROM (SELECT *, unnest(range(1, k)) AS j FROM c WHERE k > 1) AS c JOIN c x ON x.lang = c.lang AND x.g = c.g[1:j] JOIN c y ON y.lang = c.lang AND y.g = c.g[j + 1:c.k]),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, j) AS t FROM s) WHERE t = 1),
+d AS (SELECT lang, unnest([g[1:2], g[2:3]]) AS g, a FROM c WHERE k = 3), dm AS (SELECT lang, g, max(a) AS longer FROM d GROUP BY ALL),
+o AS (SELECT b.lang, array_to_string(b.g, ' ') AS phrase, b.a, l, r, score FROM b LEFT JOIN dm ON dm.lang = b.lang AND dm.g = b.g WHERE longer IS NULL OR 100 * longer < 50 * b.a)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o) JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_benchmark_decontamination": _OP6, "op9_minhash_near_dedup": _OP9}
+    return {"op6_benchmark_decontamination": _OP6, "op9_minhash_near_dedup": _OP9, "op12_url_filters": _OP12, "op13_phrase_collocations": _OP13}
