@@ -24,7 +24,7 @@ from loamstone.operators.vectors import Best
 from loamstone.sources.tables import broadcast_if_small, scratch, small_enough
 
 SCORE_DIGITS = 6
-#: Words of a query set that are broadcast (half a million: some 10 MB), and scores worked out at once.
+#: Words of a query set that are broadcast (half a million: some 10 MB), and hits scored at once.
 TERMS, SCORE_CELLS = 500_000, 4_000_000
 
 
@@ -45,8 +45,8 @@ def lengths(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    """query_id, term: distinct."""
-    return queries.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(tokenize("text"))).alias("term"))
+    """query_id, term: distinct; queries without an id are left out."""
+    return queries.where("item_id is not null").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(tokenize("text"))).alias("term")).distinct()
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -116,27 +116,32 @@ def _scored(counts: DataFrame, queries: _Queries, k: int, weigh: Callable[[np.nd
         n = len(q.ids)
         if not n:
             return
-        keep, step, rows = Best(n, k), max(SCORE_CELLS // n, 1), np.arange(n)
+        keep = Best(n, k)
         for whole in batches:
-            for s in range(0, whole.num_rows, step):
-                batch = whole.slice(s, step)
-                t, tf = (batch.column(c).flatten().to_numpy() for c in ("t", "tf"))
-                row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column("t").offsets.to_numpy()))
-                w = weigh(t, tf, batch.column("len").to_numpy()[row])
-                many = q.ptr[t + 1] - q.ptr[t]
-                at = np.repeat(q.ptr[t] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-                cell = np.repeat(row, many) + q.of[at] * batch.num_rows
-                size = n * batch.num_rows
-                score = np.round(np.bincount(cell, np.repeat(w, many), size), SCORE_DIGITS)
-                score[np.bincount(cell, minlength=size) == 0] = -np.inf
-                keep.add(rows, score.reshape(n, -1), batch.column("doc_id").to_numpy())
+            t, tf = (whole.column(c).flatten().to_numpy() for c in ("t", "tf"))
+            row = np.repeat(np.arange(whole.num_rows), np.diff(whole.column("t").offsets.to_numpy()))
+            many = q.ptr[t + 1] - q.ptr[t]
+            w, ids = weigh(t, tf, whole.column("len").to_numpy()[row]), whole.column("doc_id").to_numpy()
+            # Documents are taken together until their hits, a query's word in a document each, are SCORE_CELLS.
+            group = np.cumsum(np.bincount(row, many, whole.num_rows)) // SCORE_CELLS
+            cut = np.searchsorted(group[row], np.unique(group))
+            for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(row)], strict=True):
+                m = many[s:e]
+                at = np.repeat(q.ptr[t[s:e]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                cell = np.repeat(row[s:e], m) * n + q.of[at]
+                order = np.argsort(cell, kind="stable")
+                cell = cell[order]
+                first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, int)
+                if len(first):
+                    score = np.round(np.add.reduceat(np.repeat(w[s:e], m)[order], first), SCORE_DIGITS)
+                    keep.add_pairs(cell[first] % n, score, ids[cell[first] // n])
         yield keep.batch(q.ids)
 
     return counts.mapInArrow(run, "query_id long, vec_id long, sim double")
 
 
 def _topk(docs: DataFrame, queries: DataFrame, k: int, weight: Callable, shuffled: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """weight(df, n, avg_len) -> weigh of `_scored`; shuffled: the plan for larger query sets."""
+    """weight(df, n, avg_len) -> weigh of `_scored`; shuffled: the plan for larger query sets. docs have ids."""
     terms = query_terms(queries)
     if not small_enough(terms, TERMS):
         return shuffled(terms)
@@ -153,7 +158,8 @@ def _topk(docs: DataFrame, queries: DataFrame, k: int, weight: Callable, shuffle
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Okapi BM25 (Robertson & Zaragoza 2009); idf = ln(1 + (n - df + 0.5) / (df + 0.5))."""
+    """Okapi BM25 (Robertson & Zaragoza 2009); idf = ln(1 + (n - df + 0.5) / (df + 0.5)). Documents and queries without an id don't count."""
+    docs = docs.where("doc_id is not null")
 
     def weight(df: np.ndarray, n: int, avg_len: float):
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
@@ -170,7 +176,8 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.2,
 
 
 def tfidf_topk(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """Sum of (1 + ln tf) * ln(n / df)."""
+    """Sum of (1 + ln tf) * ln(n / df). Documents and queries without an id don't count."""
+    docs = docs.where("doc_id is not null")
 
     def weight(df: np.ndarray, n: int, avg_len: float):
         idf = np.log(n / np.maximum(df, 1))

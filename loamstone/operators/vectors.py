@@ -61,6 +61,12 @@ class Best:
         if len(self.q) > max(4 * self.n * self.k, 100_000):
             self.cut()
 
+    def add_pairs(self, q: np.ndarray, sim: np.ndarray, other: np.ndarray) -> None:
+        """sim: similarities of queries (numbers) to ids, pair by pair."""
+        self.q, self.other, self.sim = (np.concatenate(x) for x in ((self.q, q), (self.other, other), (self.sim, sim)))
+        if len(self.q) > max(4 * self.n * self.k, 100_000):
+            self.cut()
+
     def cut(self) -> None:
         order = np.lexsort((self.other, -self.sim, self.q))
         q = self.q[order]
