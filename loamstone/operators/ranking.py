@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamstone.sources.tables import fresh
+
 KEYS = ["query_id", "doc_id"]
 DIGITS = 9
 
@@ -64,7 +66,8 @@ def rerank_mmr(hits: DataFrame, k: int = 5, trade: float = 0.7) -> DataFrame:
 def collapse_by_doc(chunk_hits: DataFrame) -> DataFrame:
     """The best chunk of each document and query; ties go to the earlier chunk."""
     w = Window.partitionBy(*KEYS).orderBy(F.desc("score"), "chunk_no")
-    return chunk_hits.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    rn = fresh("__rn", chunk_hits)
+    return chunk_hits.withColumn(rn, F.row_number().over(w)).where(F.col(rn) == 1).drop(rn)
 
 
 def context_pack(ranked: DataFrame, budget: int, size_col: str = "size") -> DataFrame:

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstone.operators import fuzzy
+from loamstone.operators import fuzzy, vectors
 from loamstone.operators.inverted import InvertedIndex
+from loamstone.operators.pq import StoredIvf
 from loamstone.queries.retrieval import _BM25, _POST, _RANKED, _TOK
 from loamstone.sources.tables import load, scratch
 
@@ -76,3 +77,20 @@ SELECT asked, term, CAST(levenshtein(a, b) AS INTEGER) AS distance FROM q JOIN t
 def fuzzy_terms(spark, d):
     """All words of the benchmark texts against all words of the documents, at two edits at most."""
     return fuzzy.near_terms(fuzzy.terms(load(spark, d, "benchmark")), fuzzy.terms(load(spark, d, "documents")), 2)
+
+
+@query("ann_pq")
+def ann_pq(spark, d):
+    """The ten nearest by a stored inverted file with product-quantised residuals; half of the vectors are added later, some twice."""
+    v = load(spark, d, "embeddings")
+    index = StoredIvf.build(v.where("vec_id % 2 = 0"), scratch(spark, "pq"))
+    index.add(v.where("vec_id % 2 = 1 or vec_id % 10 = 0"))
+    return index.search(vectors.query_set(v))
+
+
+@query("ann_pq_recall")
+def ann_pq_recall(spark, d):
+    """Share of the exact neighbours that it finds, query by query."""
+    v = load(spark, d, "embeddings")
+    q = vectors.query_set(v)
+    return vectors.recall(StoredIvf.build(v, scratch(spark, "pq")).search(q), vectors.knn_cosine(v, q))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamstone.sources.tables import SCHEMAS, load, scratch
+from loamstone.sources.upsert import UpsertTable
 from loamstone.streaming import events as E
 from loamstone.streaming import index
 
@@ -116,6 +117,17 @@ def st_state(spark, d):
     return out.groupBy("user_id").agg(F.max_by("n", "n").alias("n"), F.round(F.max_by("total", "n"), 6).alias("total"))
 
 
+@query("sink_upsert_stream", "SELECT user_id, ts, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def sink_upsert_stream(spark, d):
+    """The last event of each user, kept by merging micro-batches by key; then all batches once more, as after a lost checkpoint, which changes nothing."""
+    path, schema = scratch(spark, "upsert"), "user_id bigint, ts timestamp_ntz, event_id bigint, event_type string, value double"
+    table = UpsertTable(spark, path, schema, "user_id", ["ts", "event_id"], buckets=16)
+    stream = _stream(spark, d)
+    for _ in range(2):
+        table.drain(stream, scratch(spark, "st"), "events")
+    return table.read()
+
+
 _MIDDLE = "(SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events)"
 
 

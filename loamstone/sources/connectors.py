@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from loamstone.sources.tables import broadcast_if_small
+from loamstone.sources.tables import broadcast_if_small, fresh
 
 
 class _Range(InputPartition):
@@ -50,19 +50,21 @@ def register(spark: SparkSession) -> None:
 
 def write_partitioned(df: DataFrame, path: str, *by: str, rows_a_file: int = 1_000_000) -> None:
     """One folder a key. Rows of a key are brought together in as many tasks as its count asks for, so that small keys make one file and large ones don't end in one task."""
-    key = F.struct(*by).alias("__key")
-    sizes = broadcast_if_small(df.groupBy(key).agg(F.ceil(F.count("*") / rows_a_file).alias("__n")), 100_000)
-    dealt = df.withColumn("__key", key).join(sizes, "__key").repartition("__key", F.pmod(F.xxhash64(*df.columns), F.col("__n")))
+    k, n = fresh("__key", df), fresh("__n", df)
+    key = F.struct(*by).alias(k)
+    sizes = broadcast_if_small(df.groupBy(key).agg(F.ceil(F.count("*") / rows_a_file).alias(n)), 100_000)
+    dealt = df.withColumn(k, key).join(sizes, k).repartition(k, F.pmod(F.xxhash64(*df.columns), F.col(n)))
     dealt.select(*df.columns).write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
 def latest(df: DataFrame, key: str, *order: str) -> DataFrame:
     """The last version of each key."""
-    w = Window.partitionBy(key).orderBy(*(F.desc(c) for c in order))
-    return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    w, rn = Window.partitionBy(key).orderBy(*(F.desc(c) for c in order)), fresh("__rn", df)
+    return df.withColumn(rn, F.row_number().over(w)).where(F.col(rn) == 1).drop(rn)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
     """old with the rows of new put in by key, where their version is at least as high; ties go to new."""
-    both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
-    return latest(both, key, version, "__new").drop("__new")
+    mark = fresh("__new", old, new)
+    both = old.withColumn(mark, F.lit(0)).unionByName(new.withColumn(mark, F.lit(1)))
+    return latest(both, key, version, mark).drop(mark)

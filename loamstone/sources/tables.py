@@ -71,6 +71,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """name, with underscores before it until none of the frames has such a column."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def row_bytes(df: DataFrame) -> Column:
     """About how many bytes a row takes: texts and binaries by their length, arrays by their elements, other nested values by their JSON."""
     parts = []
