@@ -80,5 +80,5 @@ def test_deviations_beyond_64_bits(spark):
 def test_sums_in_several_aggregations(spark, monkeypatch):
     v = np.random.default_rng(2).standard_normal((50, 6)).astype(np.float32).tolist()
     one = W.fit(frame(spark, v))
-    monkeypatch.setattr(W, "AT_ONCE", 4)
+    monkeypatch.setattr(W, "AT_ONCE", 2)
     assert np.allclose(W.fit(frame(spark, v)).variances, one.variances)
