@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loamstone.llm.common import NONSPACE, fresh, slices, text_buffer, word_spans
+from loamstone.sources.manifest import Store
 
 KEYS = ["source", "lang", "tokenizer"]
 #: The usual word pattern of byte-level vocabularies of 50,000 entries (fixed value).
@@ -127,6 +128,7 @@ class TokenLedger:
         jvm = spark.sparkContext._jvm
         self._at = jvm.org.apache.hadoop.fs.Path
         self._fs = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._store = Store(spark, self.path)
         for folder in ("commits", "generations", "parts"):
             self._fs.mkdirs(self._at(f"{self.path}/{folder}"))
 
@@ -135,36 +137,29 @@ class TokenLedger:
         if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", batch):
             raise ValueError(f"not a batch name: {batch!r}")
         marker = f"{self.path}/commits/{batch}"
-        if self._fs.exists(self._at(marker)):
+        if self._fs.exists(self._at(marker)) or self._folded(batch):
             return False
         attempt = f"{batch}.{uuid.uuid4().hex}"
         sums = signed.groupBy(*KEYS).agg(F.sum(F.coalesce("docs", F.lit(0))).alias("docs"), F.sum(F.coalesce("tokens", F.lit(0))).alias("tokens"))
         sums.where("docs <> 0 or tokens <> 0").write.parquet(f"{self.path}/deltas/{attempt}")
         if self._publish(marker, json.dumps({"batch": batch, "delta": attempt})):
-            return True
+            if not self._folded(batch, but=attempt):
+                return True
+            self._delete(f"commits/{batch}")  # another attempt was committed and folded in meanwhile, and its marker deleted
         self._delete(f"deltas/{attempt}")
         return False
 
-    def _publish(self, name: str, content: str) -> bool:
-        """Create a file whole, or not at all if there is one of that name."""
-        part, to = self._at(f"{self.path}/parts/{uuid.uuid4().hex}"), self._at(name)
-        out = self._fs.create(part, False)
-        out.write(bytearray(content.encode()))
-        out.close()
-        try:
-            if self._at(self.path).toUri().getScheme() in (None, "file"):
-                os.link(part.toUri().getPath(), to.toUri().getPath())
-            else:
-                jvm = self.spark.sparkContext._jvm
-                none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-                jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(part, to, none)
-        except Exception:
-            if not self._fs.exists(to):
-                raise
+    def _folded(self, batch: str, but: str | None = None) -> bool:
+        """Whether the last generation holds the batch, by another attempt than `but`."""
+        _, folder = self._last()
+        if not folder:
             return False
-        finally:
-            self._fs.delete(part, False)
-        return True
+        held = self.spark.read.schema(_FOLDED).parquet(f"{self.path}/{folder}/batches").where(F.col("batch") == batch)
+        return any(r.delta != but for r in held.select("delta").collect())
+
+    def _publish(self, name: str, content: str) -> bool:
+        """Create a file whole, or not at all if there is one of that name; content names the attempt, so its own file is known even if the reply is lost."""
+        return self._store.create(name.removeprefix(f"{self.path}/"), content)
 
     def _delete(self, name: str) -> None:
         self._fs.delete(self._at(f"{self.path}/{name}"), True)
@@ -208,6 +203,7 @@ class TokenLedger:
         if old is not None:
             for r in old.where("fresh").collect():
                 self._delete(f"deltas/{r.delta}")
+                self._delete(f"commits/{r.batch}")
         if n > 1:
             self._delete(self.spark.read.text(f"{self.path}/generations/{n - 1}").first()[0])
         return True
