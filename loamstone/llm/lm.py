@@ -90,27 +90,32 @@ _held: dict[str, np.ndarray] = {}
 
 
 @functools.lru_cache(4096)
-def _mapped(at: str) -> np.ndarray:
-    return np.memmap(at, np.uint8, "r").view(np.ndarray) if os.path.exists(at) and os.path.getsize(at) else np.zeros(0, np.uint8)
+def _mapped(at: str, least: int) -> np.ndarray:
+    return _whole(np.memmap(at, np.uint8, "r").view(np.ndarray), at, least)
 
 
-def _map(path: str) -> np.ndarray:
-    """The bytes of a shard: mapped, or read, the last HELD_BYTES of them kept. A missing shard is empty."""
+def _whole(raw: np.ndarray, path: str, least: int) -> np.ndarray:
+    if len(raw) < least:
+        raise OSError(f"{path} holds {len(raw)} bytes of {least}: the shard is cut short")
+    return raw
+
+
+def _map(path: str, least: int) -> np.ndarray:
+    """The bytes of a shard, `least` or more: mapped, or read, the last HELD_BYTES of them kept. A shard that is missing or shorter raises."""
     if at := _local(path):
-        return _mapped(at)
+        return _mapped(at, least)
     if path in _held:
         _held[path] = _held.pop(path)
-        return _held[path]
+        return _whole(_held[path], path, least)
     from pyarrow import fs
 
     store, at = fs.FileSystem.from_uri(path)
-    if store.get_file_info(at).type == fs.FileType.NotFound:
-        return np.zeros(0, np.uint8)
     with store.open_input_file(at) as f:
-        _held[path] = np.frombuffer(f.read(), np.uint8)
+        raw = _whole(np.frombuffer(f.read(), np.uint8), path, least)
+    _held[path] = raw
     while len(_held) > 1 and sum(map(len, _held.values())) > HELD_BYTES:
         del _held[next(iter(_held))]
-    return _held[path]
+    return raw
 
 
 @functools.lru_cache(16)
@@ -180,7 +185,7 @@ class Table:
 
     def keys(self, shard: int) -> np.ndarray:
         n = int(self.base[shard + 1] - self.base[shard])
-        return _map(f"{self.path}/{shard}")[: 8 * n].view(np.uint64) if n else np.zeros(0, np.uint64)
+        return _map(f"{self.path}/{shard}", 8 * n)[: 8 * n].view(np.uint64) if n else np.zeros(0, np.uint64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Places of sorted keys; -1: absent."""
@@ -205,7 +210,8 @@ class Table:
         """Counts at sorted places; 0 at places below 0."""
         out = np.zeros(len(places), np.int64)
         for s, own, at in self._each(places):
-            out[own] = _unpacked(_map(f"{self.path}/{s}.{name}"), int(self.base[s + 1] - self.base[s]), at)
+            n = int(self.base[s + 1] - self.base[s])
+            out[own] = _unpacked(_map(f"{self.path}/{s}.{name}", n), n, at)
         return out
 
     def keys_at(self, places: np.ndarray) -> np.ndarray:
