@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loamstone.llm.common import fresh, slices, text_buffer
-from loamstone.llm.samples import fold, share_for, under
+from loamstone.llm.samples import first_rows, fold, share_for, under
 
 BITS, ORDERS, WIDTH = 16, (2, 3, 4), 16
 PER_LANG, BOUND = 500, 5_000
@@ -145,14 +145,15 @@ def train(docs: DataFrame, *, n: int = 4, out: int = 2, per_lang: int = PER_LANG
 
     known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).isNotNull().alias("ok")).where("ok and lang is not null and doc_id is not null").where(fold("doc_id", n) != out)
     h = F.xxhash64("doc_id")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("size"))
+    # Ids, not rows, are chosen; the estimate is lowered by more than its error, so that enough of them are under the cut-off.
+    sizes = known.groupBy("lang").agg((F.approx_count_distinct("doc_id", 0.03) * 0.8).alias("size"))
     if sizes.limit(MANY_LANGS + 1).count() <= MANY_LANGS:
         sizes = F.broadcast(sizes)
-    some = known.select("doc_id", "lang").join(sizes, "lang").where(under(h, share_for(per_lang, F.col("size"))))
+    some = known.select("doc_id", "lang").join(sizes, "lang").where(under(h, share_for(per_lang, F.col("size")))).select("doc_id", "lang").distinct()
     ranked = some.select("doc_id", F.row_number().over(Window.partitionBy("lang").orderBy(h, "doc_id")).alias("rn")).where(F.col("rn") <= per_lang)
     chosen = ranked.orderBy("rn", h, "doc_id").limit(bound).select("doc_id").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null").join(F.broadcast(chosen), "doc_id")
-    got = texts.mapInArrow(run, "doc_id long, lang string, ids binary, counts binary").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    got = first_rows(texts, bound).mapInArrow(run, "doc_id long, lang string, ids binary, counts binary").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
     langs = sorted(set(got.column("lang").to_pylist()))
     if not langs:
         return Model()

@@ -35,6 +35,11 @@ def first_by_hash(rows: DataFrame, id_col: str, bound: int) -> DataFrame:
     return rows.where(under(h, share_for(bound, rows.count()))).orderBy(h, F.col(id_col)).limit(bound)
 
 
+def first_rows(rows: DataFrame, bound: int) -> DataFrame:
+    """At most `bound` rows, those of the smallest hashes of id and text: ids that repeat can bring more rows than ids were chosen."""
+    return rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(bound)
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, *, bound: int, n: int, out: int, id_col: str = "doc_id", text_col: str = "text", clean_bound: int | None = None) -> DataFrame:
     """(doc_id, text, label) of at most `bound` labelled rows of the learning folds.
 
@@ -42,11 +47,13 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, *, bound: int, n: i
     order; with clean_bound, `bound` holds for positive labels
     and clean_bound for the others. Repeated labels of an
     id count once, as their largest; null labels and ids don't count. The chosen
-    ids are bounded so and are broadcast, so texts are not shuffled.
+    ids are bounded so and are broadcast, so texts are not shuffled; the rows of ids that
+    repeat are bounded after that.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).cast("int").alias("label")).where(fold(id_col, n) != out)
     if clean_bound is None:
         chosen = first_by_hash(known, id_col, bound)
     else:
         chosen = first_by_hash(known.where("label > 0"), id_col, bound).union(first_by_hash(known.where("label <= 0"), id_col, clean_bound))
-    return docs.select(id_col, text_col).where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), id_col).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), "label")
+    rows = docs.select(id_col, text_col).where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), id_col).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), "label")
+    return first_rows(rows, bound + (clean_bound or 0))
