@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loamstone.operators import intervals, ordered
 from loamstone.sources.tables import broadcast_if_small, load, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,6 +101,26 @@ def join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.join(right, ["user_id", "bin"]).where((F.col("t") >= F.col("at") - width) & (F.col("t") < F.col("at"))).select("purchase_id", "event_id")
 
 
+_SPANS = """
+WITH s AS (SELECT user_id, epoch_us(min(ts)) AS "start", epoch_us(max(ts)) + 1 AS "end" FROM (
+  SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM (
+    SELECT user_id, ts, event_id, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, k),
+p AS (SELECT event_id, user_id, epoch_us(ts) AS "start", epoch_us(ts) + CASE WHEN event_id % 50 = 0 THEN 2592000000000 ELSE 60000000 * (event_id % 300) END AS "end" FROM events WHERE event_type = 'purchase')"""
+
+
+@query("join_overlap", _SPANS + """
+SELECT p.event_id, s."start" AS session_start, s."end" AS session_end FROM p JOIN s ON s.user_id = p.user_id AND p."start" < s."end" AND s."start" < p."end" WHERE p."start" < p."end\"""")
+def join_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that overlap the time after a purchase in which it counts: minutes to hours, for one in fifty thirty days."""
+    e = load(spark, sf_dir, "events")
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    span = F.session_window(F.col("ts").cast("timestamp"), "30 minutes")
+    # A session ends with its last event here, not when its gap has passed.
+    sessions = e.groupBy("user_id", span.alias("w")).agg(F.min(t).alias("start"), (F.max(t) + 1).alias("end")).select("user_id", "start", "end")
+    counts = e.where("event_type = 'purchase'").select("event_id", "user_id", t.alias("start"), (t + F.expr("CASE WHEN event_id % 50 = 0 THEN 2592000000000 ELSE 60000000 * (event_id % 300) END")).alias("end"))
+    return intervals.overlaps(counts, sessions, ["user_id"]).select(F.col("l.event_id").alias("event_id"), F.col("r.start").alias("session_start"), F.col("r.end").alias("session_end"))
+
+
 @query("join_asof", """
 WITH v AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'view'), p AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'purchase')
 SELECT p.event_id AS purchase_id, v.event_id AS view_id FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts""")
@@ -139,12 +160,20 @@ SQL["agg_filtered"] = "SELECT lang, count(*) FILTER (WHERE n_chars > 1000) AS n_
 SELECT event_type, round(median(value), 6) AS med, round(quantile_cont(value, 0.9), 6) AS p90, round(stddev_samp(value), 6) AS sd, round(corr(value, CAST(user_id AS DOUBLE)), 6) AS r,
        max_by(event_id, value * 1000000 + event_id) AS top_event, round(regr_slope(value, CAST(user_id AS DOUBLE)), 9) AS slope FROM events GROUP BY event_type""")
 def agg_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles come from counts between sketched cut-offs; the other figures are sums."""
     e = load(spark, sf_dir, "events")
     u = F.col("user_id").cast("double")
-    return e.groupBy("event_type").agg(F.round(F.median("value"), 6).alias("med"), F.round(F.percentile("value", F.lit(0.9)), 6).alias("p90"), F.round(F.stddev_samp("value"), 6).alias("sd"), F.round(F.corr("value", u), 6).alias("r"), F.max_by("event_id", F.col("value") * 1000000 + F.col("event_id")).alias("top_event"), F.round(F.regr_slope("value", u), 9).alias("slope"))
+    sums = e.groupBy("event_type").agg(F.round(F.stddev_samp("value"), 6).alias("sd"), F.round(F.corr("value", u), 6).alias("r"), F.max_by("event_id", F.col("value") * 1000000 + F.col("event_id")).alias("top_event"), F.round(F.regr_slope("value", u), 9).alias("slope"))
+    exact = ordered.percentiles(e, ["event_type"], "value", [0.5, 0.9]).select(F.col("event_type").alias("t"), F.round("p0", 6).alias("med"), F.round("p1", 6).alias("p90"))
+    return sums.join(exact, F.col("event_type").eqNullSafe(F.col("t")), "left").drop("t")
 
 
-_same("agg_mode", "SELECT o_orderstatus, mode() WITHIN GROUP (ORDER BY o_custkey) AS top_customer, count(*) AS n FROM orders GROUP BY o_orderstatus", "orders")
+@query("agg_mode", "SELECT o_orderstatus, mode() WITHIN GROUP (ORDER BY o_custkey) AS top_customer, count(*) AS n FROM orders GROUP BY o_orderstatus")
+def agg_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = load(spark, sf_dir, "orders")
+    top = ordered.mode(o, ["o_orderstatus"], "o_custkey").select(F.col("o_orderstatus").alias("s"), F.col("mode").alias("top_customer"))
+    n = o.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    return n.join(top, F.col("o_orderstatus").eqNullSafe(F.col("s")), "left").select("o_orderstatus", "top_customer", "n")
 
 
 @query("agg_approx")
@@ -155,12 +184,16 @@ def agg_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Windows.
-_same("win_rank", """
-SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER w AS rk, dense_rank() OVER w AS dr, ntile(4) OVER w AS quarter, round(percent_rank() OVER w, 9) AS pr, round(cume_dist() OVER w, 9) AS cd
-FROM orders WINDOW w AS (PARTITION BY o_orderpriority, o_orderstatus ORDER BY o_totalprice, o_orderkey)""", "orders")
-SQL["win_rank"] = """
+@query("win_rank", """
 SELECT o_orderkey, CAST(row_number() OVER w AS INTEGER) AS rn, CAST(rank() OVER w AS INTEGER) AS rk, CAST(dense_rank() OVER w AS INTEGER) AS dr, CAST(ntile(4) OVER w AS INTEGER) AS quarter, round(percent_rank() OVER w, 9) AS pr, round(cume_dist() OVER w, 9) AS cd
-FROM orders WINDOW w AS (PARTITION BY o_orderpriority, o_orderstatus ORDER BY o_totalprice, o_orderkey)"""
+FROM orders WINDOW w AS (PARTITION BY o_orderpriority, o_orderstatus ORDER BY o_totalprice, o_orderkey)""")
+def win_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks from ranges of rows and what lies before them, so no task has a whole group."""
+    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice")
+    ranked = ordered.ranks(o, ["o_orderpriority", "o_orderstatus"], ["o_totalprice", "o_orderkey"], tiles=4)
+    return ranked.select("o_orderkey", *(F.col(c).cast("int").alias(n) for c, n in (("rn", "rn"), ("rk", "rk"), ("dr", "dr"), ("tile", "quarter"))), F.round("pr", 9).alias("pr"), F.round("cd", 9).alias("cd"))
+
+
 _same("win_analytic", """
 SELECT event_id, lag(value) OVER w AS before, lead(value, 2, -1.0) OVER w AS after, first_value(event_id) OVER w AS first_id, nth_value(event_id, 2) OVER w AS second_id
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""", "events")
