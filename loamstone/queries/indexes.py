@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstone.operators import fuzzy, vectors
+from loamstone.operators import fuzzy, lexical, lsa, ranking, vectors
 from loamstone.operators.inverted import InvertedIndex
 from loamstone.operators.pq import StoredIvf
+from loamstone.operators.sketches import SketchStore
 from loamstone.queries.retrieval import _BM25, _POST, _RANKED, _TOK
 from loamstone.sources.tables import load, scratch
 
@@ -94,3 +95,45 @@ def ann_pq_recall(spark, d):
     v = load(spark, d, "embeddings")
     q = vectors.query_set(v)
     return vectors.recall(StoredIvf.build(v, scratch(spark, "pq")).search(q), vectors.knn_cosine(v, q))
+
+
+@query("embed_lsa")
+def embed_lsa(spark, d):
+    """Texts by latent semantic analysis, trained on all of them."""
+    docs = load(spark, d, "documents")
+    return lsa.fit(docs).embed(docs)
+
+
+@query("hybrid_lsa")
+def hybrid_lsa(spark, d):
+    """Reciprocal rank fusion of a keyword ranking and one by trained embeddings."""
+    docs, bench = load(spark, d, "documents"), load(spark, d, "benchmark")
+    model = lsa.fit(docs)
+    near = vectors.knn_cosine(model.embed(docs), model.embed(bench, "item_id"), 20, skip_self=False)
+    return ranking.hybrid_rrf([lexical.bm25_topk(docs, bench, 20), near.select("query_id", F.col("vec_id").alias("doc_id"), F.col("sim").alias("score"), "rank")])
+
+
+def _sketched(spark, d) -> SketchStore:
+    """events in two batches, the first of them twice."""
+    store = SketchStore(spark, scratch(spark, "sketches"), time_col="ts", group_col="event_type", id_col="user_id", value_col="value")
+    e = load(spark, d, "events")
+    for batch, part in (("even", 0), ("odd", 1), ("even", 0)):
+        store.update(e.where(F.col("event_id") % 2 == part), batch)
+    return store
+
+
+_DAYS = "ts >= DATE '2024-01-03' AND ts < DATE '2024-01-20'"
+
+
+@query("agg_sketches", f"SELECT event_type AS grp, count(*) AS n, count(DISTINCT user_id) AS users FROM events WHERE {_DAYS} GROUP BY event_type")
+def agg_sketches(spark, d):
+    """Events and users of a range of days from stored sketches; theta sketches are exact for so few users."""
+    return _sketched(spark, d).summary("2024-01-03", "2024-01-19").select("grp", "n", F.col("ids_theta").cast("long").alias("users"))
+
+
+@query("agg_sketch_overlap", f"""
+WITH u AS (SELECT DISTINCT event_type, user_id FROM events WHERE {_DAYS})
+SELECT x.event_type AS a, y.event_type AS b, count(DISTINCT CASE WHEN x.user_id = y.user_id THEN x.user_id END) AS ids FROM u x JOIN u y ON x.event_type < y.event_type GROUP BY ALL""")
+def agg_sketch_overlap(spark, d):
+    """Users that two kinds of events have in common, by intersections of stored sketches."""
+    return _sketched(spark, d).common("2024-01-03", "2024-01-19").select("a", "b", F.col("ids").cast("long").alias("ids"))

@@ -244,6 +244,29 @@ def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", k.alias("k"), k.try_cast("bigint").alias("n"))
 
 
+_PROPS = "CASE WHEN event_id % 7 = 3 THEN '{\"k\": ' WHEN event_id % 11 = 5 THEN NULL WHEN event_id % 13 = 1 THEN '{\"k\": \"' || event_id || '\", \"more\": {\"list\": [1, ' || event_id || ', null]}}' ELSE props END"
+
+
+@query("json_variant", f"""
+WITH p AS (SELECT event_id, {_PROPS} AS props FROM events), j AS (SELECT event_id, props IS NOT NULL AND NOT json_valid(props) AS malformed, CASE WHEN json_valid(props) THEN props END AS j FROM p)
+SELECT event_id, malformed, json_extract_string(j, '$.k') AS k, TRY_CAST(json_extract_string(j, '$.k') AS BIGINT) AS n, TRY_CAST(json_extract_string(j, '$.more.list[1]') AS BIGINT) AS second,
+       coalesce(json_type(j, '$.more.list[2]') = 'NULL', false) AS third_is_null FROM j""")
+def json_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of several types and depths from variants; malformed and missing texts give nulls, and malformed ones are told apart."""
+    p = load(spark, sf_dir, "events").selectExpr("event_id", f"{_PROPS} AS props").withColumn("v", F.try_parse_json("props"))
+    get = lambda path, kind: F.try_variant_get("v", path, kind)
+    return p.select("event_id", (F.col("props").isNotNull() & F.col("v").isNull()).alias("malformed"), get("$.k", "string").alias("k"), get("$.k", "bigint").alias("n"), get("$.more.list[1]", "bigint").alias("second"), F.is_variant_null(get("$.more.list[2]", "variant")).alias("third_is_null"))
+
+
+@query("json_schema", f"""
+WITH p AS (SELECT {_PROPS} AS props FROM events), j AS (SELECT props AS j FROM p WHERE json_valid(props))
+SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE json_exists(j, '$.more')) AS BIGINT) AS with_more, 'OBJECT<k: VARIANT, more: OBJECT<list: ARRAY<BIGINT>>>' AS shape FROM j""")
+def json_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The common shape of all variants that parse: a field that is a number here and a text there is a variant."""
+    p = load(spark, sf_dir, "events").selectExpr(f"try_parse_json({_PROPS}) AS v").where("v is not null")
+    return p.agg(F.count(F.lit(1)).alias("n"), F.count(F.try_variant_get("v", "$.more", "variant")).alias("with_more"), F.schema_of_variant_agg("v").alias("shape"))
+
+
 @query("scalar_string", """
 SELECT c_custkey, split_part(c_name, '#', 2) AS num, translate(c_name, 'aeiou', 'AEIOU') AS t, levenshtein(c_mktsegment, 'BUILDING') AS d, regexp_replace(c_name, '[0-9]+', '#') AS r,
        upper(c_mktsegment) AS u, lpad(CAST(c_nationkey AS VARCHAR), 4, '0') AS p, reverse(c_name) AS v, strpos(c_name, '#') AS i FROM customer""")

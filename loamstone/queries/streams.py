@@ -27,6 +27,21 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def _arriving(spark: SparkSession, parts: list[DataFrame], files: int, name: str) -> str:
+    """A folder with `files` files a part at most, whose modification times rise from part to part."""
+    path = scratch(spark, name)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    seen: set[str] = set()
+    for k, part in enumerate(parts):
+        part.repartition(files).write.mode("append").parquet(path)
+        for s in fs.listStatus(at):
+            if s.getPath().getName().startswith("part-") and s.getPath().getName() not in seen:
+                seen.add(s.getPath().getName())
+                fs.setTimes(s.getPath(), 1_000_000_000_000 + 60_000 * k, -1)
+    return path
+
+
 def _stream(spark: SparkSession, d: str, files: int = 4) -> DataFrame:
     """events as a stream, in files of rising time, one a micro-batch."""
     path = scratch(spark, "events")
@@ -90,7 +105,13 @@ def st_session(spark, d):
     return _ntz(E.run_once(E.sessions(_stream(spark, d)), scratch(spark, "st")))
 
 
-@query("st_dedup")
+@query("st_dedup", """
+WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events),
+k(user_id, event_type, rn, event_id, last, kept) AS (
+  SELECT user_id, event_type, rn, event_id, ts, true FROM e WHERE rn = 1
+  UNION ALL SELECT e.user_id, e.event_type, e.rn, e.event_id, CASE WHEN e.ts >= k.last + INTERVAL 10 MINUTE THEN e.ts ELSE k.last END, e.ts >= k.last + INTERVAL 10 MINUTE
+  FROM k JOIN e ON e.user_id = k.user_id AND e.event_type = k.event_type AND e.rn = k.rn + 1)
+SELECT event_id, user_id, event_type FROM k WHERE kept""")
 def st_dedup(spark, d):
     """Events but repeats of their user and type within ten minutes; state lives in RocksDB."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -137,11 +158,9 @@ def st_late(spark, d):
     e = load(spark, d, "events")
     low, high = e.agg(F.min("ts"), F.max("ts")).first()
     middle, newest = low + (high - low) / 2, high - timedelta(minutes=5)
-    path = scratch(spark, "late")
-    ts = F.col("ts")
-    for part in (e.where((ts >= middle) & (ts < newest)), e.where((ts < middle) | (ts >= newest))):
-        part.coalesce(1).write.mode("append").parquet(path)
-    timely, late = E.route_late(E.stream_files(spark, path, SCHEMAS["events"]), scratch(spark, "routes"))
+    ts, files = F.col("ts"), 4
+    path = _arriving(spark, [e.where((ts >= middle) & (ts < newest)), e.where((ts < middle) | (ts >= newest))], files, "late")
+    timely, late = E.route_late(E.stream_files(spark, path, SCHEMAS["events"], files), scratch(spark, "routes"))
     counts = lambda df, route: df.groupBy("event_type").agg(F.count("*").alias("n")).withColumn("route", F.lit(route))
     return counts(timely, "in time").unionByName(counts(late, "late"))
 
@@ -152,11 +171,9 @@ FROM (SELECT doc_id, text, unnest(range(greatest(1, CAST(ceil((length(text) - 10
       FROM (SELECT doc_id, CASE lang WHEN 'fr' THEN 'v2 ' || text WHEN 'de' THEN '' ELSE text END AS text FROM documents WHERE lang <> 'es') WHERE length(text) > 0)""")
 def st_index(spark, d):
     """documents as a stream of files into a chunk index; then French ones revised, German ones emptied, Spanish ones deleted; its current chunks."""
-    path, docs = scratch(spark, "docs"), load(spark, d, "documents").select("doc_id", "lang", "text", F.lit(1).alias("v"), F.lit(False).alias("gone"))
-    docs.repartition(2, "doc_id").write.parquet(path)
+    files, docs = 4, load(spark, d, "documents").select("doc_id", "lang", "text", F.lit(1).alias("v"), F.lit(False).alias("gone"))
     changed = docs.where("lang <> 'en'").withColumns({"v": F.lit(3), "gone": F.col("lang") == "es", "text": F.expr("case lang when 'fr' then 'v2 ' || text when 'de' then '' else text end")})
     stale = docs.where("lang <> 'en'").withColumns({"v": F.lit(2), "text": F.concat(F.lit("stale and longer "), "text")})
-    changed.union(stale).coalesce(1).write.mode("append").parquet(path)
-    out = scratch(spark, "index")
-    index.stream_index(E.stream_files(spark, path, "doc_id bigint, lang string, text string, v int, gone boolean"), out, order=F.col("v"), deleted=F.col("gone"))
+    path, out = _arriving(spark, [docs, changed.union(stale)], files, "docs"), scratch(spark, "index")
+    index.stream_index(E.stream_files(spark, path, "doc_id bigint, lang string, text string, v int, gone boolean", files), out, order=F.col("v"), deleted=F.col("gone"))
     return index.current(spark, out).select("doc_id", "chunk_no", F.md5("chunk_text").alias("chunk"))
