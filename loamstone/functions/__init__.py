@@ -1 +1 @@
-"""Column functions; all stay in the JVM."""
+"""Column functions; all but `text.unescape_all` stay in the JVM."""

@@ -1,7 +1,10 @@
-"""Text expressions that mean the same in Spark and in SQL engines with RE2 patterns."""
+"""Text expressions that mean the same in Spark and in SQL engines with RE2 patterns; `unescape_all` alone runs in Python."""
 
 from __future__ import annotations
 
+import html
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,9 +24,9 @@ def normalize_ws(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[ \t\n\r\f\v]+", " "))
 
 
-def html_to_text(html: Column | str) -> Column:
+def html_to_text(page: Column | str) -> Column:
     """Visible text: script, style, nav and footer, comments and tags out; the five basic entities decoded last."""
-    c = F.col(html) if isinstance(html, str) else html
+    c = F.col(page) if isinstance(page, str) else page
     for tag in ("script", "style", "nav", "footer"):
         c = F.regexp_replace(c, rf"(?is)<{tag}\b.*?</{tag}>", " ")
     c = F.regexp_replace(c, r"(?s)<!--.*?-->", " ")
@@ -38,6 +41,16 @@ def unescape(text: Column) -> Column:
     return text
 
 
+def unescape_all(text: Column | str) -> Column:
+    """Every named and numeric character reference of HTML, decoded once by the standard library, in Arrow batches; texts without an & don't change."""
+
+    @F.arrow_udf("string")
+    def decode(texts: pa.Array) -> pa.Array:
+        return pa.array([t if t is None or "&" not in t else html.unescape(t) for t in texts.to_pylist()], pa.string())
+
+    return decode(F.col(text) if isinstance(text, str) else text)
+
+
 def url_canonical(url: Column | str) -> Column:
     """Lower-case scheme and host; fragment, tracking parameters and a trailing ? out."""
     c = F.col(url) if isinstance(url, str) else url

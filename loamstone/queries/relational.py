@@ -148,7 +148,13 @@ JOIN (VALUES (0.0, 1000.0, 'low'), (900.0, 1400.0, 'middle'), (1300.0, 1.0e9, 'h
 
 # Aggregates.
 _same("agg_group", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(avg(o_totalprice), 4) AS avg_price, min(o_orderdate) AS first_date, max(o_orderdate) AS last_date FROM orders GROUP BY o_orderstatus, o_orderpriority HAVING count(*) > 10", "orders")
-_same("agg_distinct", "SELECT lang, count(DISTINCT source) AS n_sources, count(DISTINCT text) AS n_texts, count(*) AS n FROM documents GROUP BY lang", "documents")
+@query("agg_distinct", "SELECT lang, count(DISTINCT source) AS n_sources, count(DISTINCT text) AS n_texts, count(*) AS n FROM documents GROUP BY lang")
+def agg_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts are told apart by SHA-256, so 32 bytes of each are shuffled."""
+    d = load(spark, sf_dir, "documents").select("lang", "source", F.unhex(F.sha2("text", 256)).alias("h"))
+    return d.groupBy("lang").agg(F.count_distinct("source").alias("n_sources"), F.count_distinct("h").alias("n_texts"), F.count("*").alias("n"))
+
+
 _same("agg_rollup", "SELECT lang, source, count(*) AS n, CAST(grouping(lang) + 2 * grouping(source) AS BIGINT) AS g FROM documents GROUP BY ROLLUP (lang, source)", "documents")
 _same("agg_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)", "lineitem")
 _same("agg_grouping_sets", "SELECT event_type, user_id, count(*) AS n FROM events GROUP BY GROUPING SETS ((event_type), (user_id), ())", "events")
@@ -237,6 +243,17 @@ def unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 _same("sample_hash", "SELECT o_orderkey FROM orders WHERE substring(md5(CAST(o_orderkey AS VARCHAR(20))), 1, 1) < '4'", "orders")
 
 
+@query("sample_quota", """
+SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS rn, count(*) OVER (PARTITION BY source) AS n FROM documents)
+WHERE rn <= ceil(n / 10.0)""")
+def sample_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of each source, exactly (rounded up): the rows of its least hashes, ranked without a task a source."""
+    d = load(spark, sf_dir, "documents").select("doc_id", "source", F.md5(F.col("doc_id").cast("string")).alias("h"))
+    ranked = ordered.ranks(d, ["source"], ["h", "doc_id"])
+    n = d.groupBy(F.col("source").alias("s")).agg(F.ceil(F.count("*") / 10).alias("quota"))
+    return ranked.join(broadcast_if_small(n), F.col("source").eqNullSafe(F.col("s"))).where(F.col("rn") <= F.col("quota")).select("doc_id", "source")
+
+
 @query("json_extract", "SELECT event_id, json_extract_string(props, '$.k') AS k, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS n FROM events")
 def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events")

@@ -62,6 +62,12 @@ def html_unescape(spark, d):
     return load(spark, d, "pages").select("page_id", T.unescape(F.col("html")).alias("html"))
 
 
+@query("html_unescape_all", """SELECT page_id, regexp_replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g') AS html FROM pages""")
+def html_unescape_all(spark, d):
+    """All character references of HTML; those that the pages hold are spelled out in the SQL."""
+    return load(spark, d, "pages").select("page_id", T.unescape_all("html").alias("html"))
+
+
 @query("url_parts", r"SELECT page_id, regexp_extract(url, '^([^:/?#]+)://', 1) AS scheme, regexp_extract(url, '^[^:/?#]+://([^/?#:]*)', 1) AS host, regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS path, nullif(regexp_extract(url, '\?([^#]*)', 1), '') AS query FROM pages")
 def url_parts(spark, d):
     """Parts by pattern rather than parse_url, which raises on malformed addresses."""

@@ -65,18 +65,21 @@ def scan_orc(spark, d):
     return spark.read.schema(SCHEMAS["nation"]).orc(path)
 
 
-@query("scan_binary")
+@query("scan_binary", "SELECT CAST(sum(octet_length(encode(html)) + 1) AS BIGINT) AS bytes, true AS whole FROM pages")
 def scan_binary(spark, d):
-    """Whole files with their sizes: the pages' text, written out and read back."""
+    """Whole files with their sizes: the pages' text, each ended by one byte, written out and read back."""
     path = scratch(spark, "binary")
     load(spark, d, "pages").select("html").write.text(path, lineSep="\x1e")
-    return load_binary(spark, path, "part-*").select(F.length("content").cast("long").alias("bytes"), (F.col("length") == F.length("content")).alias("whole"))
+    files = load_binary(spark, path, "part-*")
+    return files.agg(F.sum(F.octet_length("content")).cast("long").alias("bytes"), F.every(F.col("length") == F.octet_length("content")).alias("whole"))
 
 
-@query("custom_source", "SELECT i AS query_id, 'question ' || i AS text FROM range(1000) t(i)")
+@query("custom_source", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000")
 def custom_source(spark, d):
+    """orders through the plug-in source, a row group a partition."""
     connectors.register(spark)
-    return spark.read.format("questions").options(rows=1000, partitions=8).load()
+    rows = spark.read.format("row_groups").schema("o_orderkey long, o_totalprice double").option("path", f"{d}/orders.parquet").load()
+    return rows.where("o_totalprice > 200000")
 
 
 @query("sink_parquet", "SELECT * FROM documents")
@@ -129,13 +132,25 @@ def udf_group(spark, d):
     return load(spark, d, "events").select("user_id", "value").groupBy("user_id").applyInPandas(run, "user_id long, n long, spread double")
 
 
+#: Rows of a group that one worker gets about.
+PART_ROWS = 50_000
+
+
+def _in_parts(events: DataFrame) -> DataFrame:
+    """events with a part by hash, as many as the rows ask for, so that no worker gets a whole group."""
+    return events.withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(max(-(-events.count() // PART_ROWS), 4))))
+
+
 @query("udaf", "SELECT event_type, round(sqrt(avg(value * value)), 6) AS rms FROM events GROUP BY event_type")
 def udaf(spark, d):
+    """A Python aggregate over parts of each group; sums of its results make the group's."""
+
     @F.pandas_udf("double")
-    def rms(v: pd.Series) -> float:
-        return float((v * v).mean() ** 0.5)
+    def squares(v: pd.Series) -> float:
+        return float((v * v).sum())
 
-    return load(spark, d, "events").groupBy("event_type").agg(F.round(rms("value"), 6).alias("rms"))
+    parts = _in_parts(load(spark, d, "events").where("value is not null")).withColumn("one", F.lit(1.0)).groupBy("event_type", "part").agg(squares("value").alias("s"), squares("one").alias("n"))
+    return parts.groupBy("event_type").agg(F.round(F.sqrt(F.sum("s") / F.sum("n")), 6).alias("rms"))
 
 
 @query("udtf", "SELECT n_nationkey, CAST(i AS INTEGER) AS i, n_name[i:i] AS c FROM (SELECT n_nationkey, n_name, unnest(range(1, length(n_name) + 1)) AS i FROM nation)")
@@ -163,11 +178,14 @@ def udf_arrow(spark, d):
 
 @query("udf_group_arrow", "SELECT event_type, count(*) AS n, round(max(value) - min(value), 6) AS spread FROM events GROUP BY event_type")
 def udf_group_arrow(spark, d):
+    """A Python function over parts of each group; their extremes and counts make the group's."""
+
     def run(table: pa.Table) -> pa.Table:
         low, high = pc.min_max(table.column("value")).as_py().values()
-        return pa.table({"event_type": [table.column("event_type")[0].as_py()], "n": pa.array([table.num_rows], pa.int64()), "spread": [round(high - low, 6)]})
+        return pa.table({"event_type": [table.column("event_type")[0].as_py()], "n": pa.array([table.num_rows], pa.int64()), "low": pa.array([low], pa.float64()), "high": pa.array([high], pa.float64())})
 
-    return load(spark, d, "events").select("event_type", "value").groupBy("event_type").applyInArrow(run, "event_type string, n long, spread double")
+    parts = _in_parts(load(spark, d, "events").select("event_id", "event_type", "value")).groupBy("event_type", "part").applyInArrow(run, "event_type string, n long, low double, high double")
+    return parts.groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.max("high") - F.min("low"), 6).alias("spread"))
 
 
 @query("udtf_arrow", "SELECT s_suppkey, unnest([s_suppkey * 2, s_suppkey * 3]) AS v FROM supplier")

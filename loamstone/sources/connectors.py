@@ -44,8 +44,57 @@ class _QuestionReader(DataSourceReader):
         yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids, pa.int64()), "text": [self.template.format(i) for i in ids]})
 
 
+class _Group(InputPartition):
+    def __init__(self, file: str, group: int) -> None:
+        self.file, self.group = file, group
+
+
+class RowGroupSource(DataSource):
+    """Parquet files read row group by row group, one a partition, and of these only the columns of the given schema: for stores that Spark has no reader for but pyarrow has."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "row_groups"
+
+    def schema(self) -> str:
+        raise ValueError("a schema is needed")
+
+    def reader(self, schema) -> DataSourceReader:
+        return _RowGroupReader(self.options["path"], schema)
+
+
+class _RowGroupReader(DataSourceReader):
+    def __init__(self, path: str, schema) -> None:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        self.path, self.arrow = path, to_arrow_schema(schema)
+
+    def partitions(self) -> list[InputPartition]:
+        from pyarrow import fs
+        from pyarrow import parquet as pq
+
+        store, at = fs.FileSystem.from_uri(self.path)
+        found = [store.get_file_info(at)] if store.get_file_info(at).is_file else store.get_file_info(fs.FileSelector(at))
+        files = sorted(f.path for f in found if f.is_file and not f.base_name.startswith(("_", ".")))
+        out: list[InputPartition] = []
+        for f in files:
+            with store.open_input_file(f) as raw:
+                out += [_Group(f, g) for g in range(pq.read_metadata(raw).num_row_groups)]
+        return out
+
+    def read(self, partition: _Group) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyarrow import parquet as pq
+
+        store, _ = fs.FileSystem.from_uri(self.path)
+        with store.open_input_file(partition.file) as raw:
+            for batch in pq.ParquetFile(raw).iter_batches(row_groups=[partition.group], columns=self.arrow.names):
+                yield from pa.Table.from_batches([batch]).select(self.arrow.names).cast(self.arrow).to_batches()
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(QuestionSource)
+    spark.dataSource.register(RowGroupSource)
 
 
 def write_partitioned(df: DataFrame, path: str, *by: str, rows_a_file: int = 1_000_000) -> None:

@@ -113,3 +113,22 @@ def test_broadcast_only_behind_a_size_check(spark):
     df = spark.range(100)
     broadcast = lambda most: "broadcast" in spark.range(10**6).join(broadcast_if_small(df, most), "id")._jdf.queryExecution().logical().toString().lower()
     assert broadcast(100) and not broadcast(99)
+
+
+def test_all_character_references(spark):
+    import html
+
+    from loamstone.functions.text import unescape_all
+
+    texts = ["&eacute;&#233;&#xE9; &amp;amp; &notit; &nbsp;x &lt;b&gt; &unknown; & &#0; &#x110000; &copy2024 &", "plain", "", None]
+    got = [r.t for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").orderBy("k").select(unescape_all("text").alias("t")).collect()]
+    assert got == [None if t is None else html.unescape(t) for t in texts]
+
+
+def test_row_group_source(spark, tmp_path):
+    from loamstone.sources import connectors
+
+    connectors.register(spark)
+    spark.range(1000).selectExpr("id", "id * 2 AS v", "cast(id as string) AS s").repartition(3).write.option("parquet.block.size", 1024).parquet(f"file://{tmp_path}/t")
+    df = spark.read.format("row_groups").schema("v long, id long").option("path", f"file://{tmp_path}/t").load()
+    assert sorted(map(tuple, df.collect())) == [(2 * k, k) for k in range(1000)] and df.rdd.getNumPartitions() >= 3
