@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -311,7 +312,9 @@ def lsh_shape(n: int, sims: np.ndarray, target: float, most: int = 512) -> tuple
         tables = next((t for t in range(1, most + 1) if found(t) >= target), most)
         cost = tables * (1 + n * 2.0**-bits)
         if best is None or cost < best[0]:
-            best = cost, bits, tables
+            best = cost, bits, tables, found(tables)
+    if best[3] < target:
+        warnings.warn(f"{most} tables find {best[3]:.3f} of such neighbours, not {target}", stacklevel=2)
     return best[1], best[2]
 
 

@@ -68,7 +68,22 @@ def scratch(spark: SparkSession, name: str) -> str:
             spark.sparkContext.setCheckpointDir(root)
         else:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+#: Folders named by `scratch` in this process.
+_made: list[str] = []
+
+
+def release(spark: SparkSession, keep: tuple[str, ...] = ()) -> int:
+    """Delete what queries have left in folders of `scratch`, but for those that `keep` names; call it once their results are written. Returns how many."""
+    gone = [p for p in _made if p not in keep]
+    for p in gone:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _made.remove(p)
+    return len(gone)
 
 
 def fresh(name: str, *frames: DataFrame) -> str:

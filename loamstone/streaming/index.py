@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loamstone.operators.chunking import chunk_chars
 from loamstone.sources.connectors import latest
+from loamstone.sources.manifest import Store
 
 
 def stream_index(docs: DataFrame, path: str, size: int = 500, overlap: int = 100, *, order: Column | None = None, deleted: Column | None = None) -> None:
@@ -38,3 +39,15 @@ def current(spark, path: str) -> DataFrame:
     versions = spark.read.schema("doc_id bigint, version bigint, deleted boolean").parquet(f"{path}/versions/batch=*")
     last = versions.groupBy("doc_id").agg(F.max("version").alias("version"))
     return spark.read.schema(CHUNKS).parquet(f"{path}/chunks/batch=*").join(last, ["doc_id", "version"], "left_semi")
+
+
+def vacuum(spark, path: str) -> int:
+    """Delete the folders of micro-batches that hold no document's last version; call it while nobody reads the index. Returns how many went."""
+    store = Store(spark, path)
+    versions = spark.read.schema("doc_id bigint, version bigint, deleted boolean").parquet(f"{path}/versions/batch=*")
+    held = {r.version for r in versions.groupBy("doc_id").agg(F.max("version").alias("version")).select("version").distinct().collect()}
+    old = [n for n in store.names("versions") if n.startswith("batch=") and int(n.removeprefix("batch=")) not in held]
+    for n in old:
+        store.delete(f"chunks/{n}")
+        store.delete(f"versions/{n}")
+    return len(old)

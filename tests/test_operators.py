@@ -132,3 +132,18 @@ def test_row_group_source(spark, tmp_path):
     spark.range(1000).selectExpr("id", "id * 2 AS v", "cast(id as string) AS s").repartition(3).write.option("parquet.block.size", 1024).parquet(f"file://{tmp_path}/t")
     df = spark.read.format("row_groups").schema("v long, id long").option("path", f"file://{tmp_path}/t").load()
     assert sorted(map(tuple, df.collect())) == [(2 * k, k) for k in range(1000)] and df.rdd.getNumPartitions() >= 3
+
+
+def test_scratch_folders_are_released(spark):
+    from loamstone.sources import tables
+
+    one, two = tables.scratch(spark, "a"), tables.scratch(spark, "b")
+    for p in (one, two):
+        spark.range(3).write.parquet(p)
+    assert tables.release(spark, keep=(two,)) >= 1 and spark.read.parquet(two).count() == 3
+    try:
+        spark.read.parquet(one)
+        raise AssertionError("still there")
+    except Exception as e:
+        assert "PATH_NOT_FOUND" in str(e)
+    assert tables.release(spark) == 1

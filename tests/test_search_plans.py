@@ -72,6 +72,11 @@ def test_shape_of_hashing_follows_the_rows():
         assert 1 - (1 - (1 - np.arccos(0.8) / np.pi) ** bits) ** tables >= 0.95
 
 
+def test_hashing_says_when_it_misses_its_target():
+    with pytest.warns(UserWarning, match="not 0.99"):
+        vectors.lsh_shape(1000, np.full((5, 5), -0.9), 0.99)
+
+
 def test_writers_of_a_key_follow_its_rows(spark, tmp_path):
     df = spark.range(3000).select("id", F.when(F.col("id") < 2900, "hot").when(F.col("id") < 2990, None).otherwise("rare").alias("k"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are put together again
@@ -93,6 +98,9 @@ def test_index_after_updates(spark, tmp_path):
         spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(path)
         index.stream_index(E.stream_files(spark, path, schema), out, order=F.col("v"), deleted=F.col("gone"))
         assert {r.doc_id: r.chunk_text for r in index.current(spark, out).collect()} == held
+    spark.createDataFrame([(k, "all new", 9, False) for k in range(1, 6)], schema).coalesce(1).write.mode("append").parquet(path)
+    index.stream_index(E.stream_files(spark, path, schema), out, order=F.col("v"), deleted=F.col("gone"))
+    assert index.vacuum(spark, out) == 3 and {r.chunk_text for r in index.current(spark, out).collect()} == {"all new"} and index.vacuum(spark, out) == 0
 
 
 def test_late_rows_are_routed_batch_by_batch(spark, tmp_path):
