@@ -3,14 +3,17 @@
 Layout below one folder:
 
     model                                   centres, codebooks and what search needs to know, one row
-    segments/<name>/list=<l>                vec_id, code, embedding: the vectors nearest to centre l
+    segments/<name>/shelf=<s>               vec_id, code, embedding, list: the vectors of some lists, sorted by list
     gone/<name>                             segment, vec_id: vectors deleted or replaced later
 
+A list is the vectors nearest to one centre. Lists share a folder, a shelf, until some SHELF_ROWS rows fill it, so that large
+tables have a folder a list and small ones few files; within a file row groups of other lists are skipped.
+
 Centres and codebooks are fitted on a bounded sample (`sample` rows of the smallest hashes), every row is filed.
 What a vector has beyond its centre is cut into `parts` pieces of equal length (a last one may be
 shorter), and each piece becomes the number of the nearest of 256 codewords: a byte.
 
-Search opens the folders of the lists that some query probes. There, similarity is read off tables, one
+Search opens the shelves of the lists that some query probes. There, similarity is read off tables, one
 value a piece: the query's own product with each codeword, and with the centre. The `keep` best of each
 query so judged are compared exactly, by their own vectors, and ranked. `nprobe` and `keep` are
 set when the index is made, so that each would find the root of `target` of the sample's own exact
@@ -42,8 +45,8 @@ from loamstone.sources.connectors import write_partitioned
 from loamstone.sources.manifest import Manifest
 from loamstone.sources.tables import broadcast_if_small, small_enough
 
-WORDS = 256
-_ROW = "vec_id long, code binary, embedding array<float>, list int"
+WORDS, SHELF_ROWS = 256, 100_000
+_ROW = "vec_id long, code binary, embedding array<float>, list int, shelf int"
 
 
 @dataclass
@@ -54,6 +57,7 @@ class Codes:
     books: list[np.ndarray]
     nprobe: int
     keep_share: float
+    shelves: int = 1
 
     @property
     def cuts(self) -> np.ndarray:
@@ -100,7 +104,7 @@ def fit(vectors: DataFrame, *, parts: int = 16, lists: int | None = None, sample
     rest = x - coarse.centres[(x @ coarse.centres.T).argmax(axis=1)]
     edges = np.linspace(0, x.shape[1], min(parts, x.shape[1]) + 1).round().astype(int)
     some = rest[:fit_books]
-    codes = Codes(coarse.centres, [_codebook(some[:, s:e], rng) for s, e in zip(edges[:-1], edges[1:], strict=True)], coarse.nprobe, 1.0)
+    codes = Codes(coarse.centres, [_codebook(some[:, s:e], rng) for s, e in zip(edges[:-1], edges[1:], strict=True)], coarse.nprobe, 1.0, int(min(len(coarse.centres), max(n // SHELF_ROWS, 1))))
     near, _ = _neighbours(x, 500, k)
     if near.size:
         home, code = codes.encode(x)
@@ -143,7 +147,9 @@ class StoredIvf:
     def _read(self, held: dict, lists: list[int] | None = None) -> DataFrame:
         """segment and rows of the vectors that are left; of some lists only, whose folders alone are opened."""
         parts = [self.spark.read.schema(_ROW).parquet(f"{self.path}/segments/{s}").withColumn("segment", F.lit(s)) for s in held["segments"]]
-        parts = [p.where(F.col("list").isin(lists)) for p in parts] if lists is not None else parts
+        if lists is not None:
+            shelves = sorted({x % self.codes.shelves for x in lists})
+            parts = [p.where(F.col("shelf").isin(shelves) & F.col("list").isin(lists)) for p in parts]
         every = reduce(DataFrame.unionByName, parts)
         if held["gone"]:
             gone = self.spark.read.schema("segment string, vec_id long").parquet(*(f"{self.path}/gone/{g}" for g in held["gone"]))
@@ -173,9 +179,9 @@ class StoredIvf:
             for batch in batches:
                 if batch.num_rows:
                     home, code = codes.encode(_unit(_matrix(batch.column("embedding"))))
-                    yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([c.tobytes() for c in code], pa.binary()), batch.column("embedding"), pa.array(home.astype(np.int32))], names=["vec_id", "code", "embedding", "list"])
+                    yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([c.tobytes() for c in code], pa.binary()), batch.column("embedding"), pa.array(home.astype(np.int32)), pa.array((home % codes.shelves).astype(np.int32))], names=["vec_id", "code", "embedding", "list", "shelf"])
 
-        write_partitioned(new.mapInArrow(run, _ROW), f"{self.path}/segments/{name}", "list", rows_a_file=rows_a_file)
+        write_partitioned(new.mapInArrow(run, _ROW), f"{self.path}/segments/{name}", "shelf", rows_a_file=rows_a_file, sort=("list", "vec_id"))
         n = new.count()
         while True:
             version, held = self._state()

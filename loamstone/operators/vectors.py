@@ -48,19 +48,18 @@ class Best:
     def __init__(self, n: int, k: int) -> None:
         self.n, self.k = n, k
         self.q, self.other, self.sim = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        #: What a new pair of each query must reach: its k-th best so far.
+        self.least = np.full(n, -np.inf)
 
     def add(self, rows: np.ndarray, sim: np.ndarray, other: np.ndarray) -> None:
         """sim: similarities of the queries `rows` (numbers) to the ids `other`; -inf: none."""
         if not sim.size:
             return
+        least = self.least[rows]
         if sim.shape[1] > self.k:
-            least = np.partition(sim, -self.k, axis=1)[:, -self.k]
-            i, j = np.nonzero((sim >= least[:, None]) & np.isfinite(sim))
-        else:
-            i, j = np.nonzero(np.isfinite(sim))
-        self.q, self.other, self.sim = (np.concatenate(x) for x in ((self.q, rows[i]), (self.other, other[j]), (self.sim, sim[i, j])))
-        if len(self.q) > max(4 * self.n * self.k, 100_000):
-            self.cut()
+            least = np.maximum(least, np.partition(sim, -self.k, axis=1)[:, -self.k])
+        i, j = np.nonzero((sim >= least[:, None]) & np.isfinite(sim))
+        self.add_pairs(rows[i], sim[i, j], other[j])
 
     def add_pairs(self, q: np.ndarray, sim: np.ndarray, other: np.ndarray) -> None:
         """sim: similarities of queries (numbers) to ids, pair by pair."""
@@ -72,7 +71,10 @@ class Best:
         order = np.lexsort((self.other, -self.sim, self.q))
         q = self.q[order]
         first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, int)
-        kept = order[np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)])) < self.k]
+        place = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
+        last = order[place == self.k - 1]
+        self.least[self.q[last]] = self.sim[last]
+        kept = order[place < self.k]
         self.q, self.other, self.sim = self.q[kept], self.other[kept], self.sim[kept]
 
     def batch(self, ids: np.ndarray) -> pa.RecordBatch:

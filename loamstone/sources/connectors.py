@@ -97,13 +97,15 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(RowGroupSource)
 
 
-def write_partitioned(df: DataFrame, path: str, *by: str, rows_a_file: int = 1_000_000) -> None:
-    """One folder a key. Rows of a key are brought together in as many tasks as its count asks for, so that small keys make one file and large ones don't end in one task."""
+def write_partitioned(df: DataFrame, path: str, *by: str, rows_a_file: int = 1_000_000, sort: tuple[str, ...] = ()) -> None:
+    """One folder a key, files sorted by some columns if asked. Rows of a key are brought together in as many tasks as its count asks for, so that small keys make one file and large ones don't end in one task."""
     k, n = fresh("__key", df), fresh("__n", df)
     key = F.struct(*by).alias(k)
     sizes = broadcast_if_small(df.groupBy(key).agg(F.ceil(F.count("*") / rows_a_file).alias(n)), 100_000)
     dealt = df.withColumn(k, key).join(sizes, k).repartition(k, F.pmod(F.xxhash64(*df.columns), F.col(n)))
-    dealt.select(*df.columns).write.mode("overwrite").partitionBy(*by).parquet(path)
+    rows = dealt.select(*df.columns)
+    rows = rows.sortWithinPartitions(*by, *sort) if sort else rows
+    rows.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
 def latest(df: DataFrame, key: str, *order: str) -> DataFrame:

@@ -20,17 +20,19 @@ def recall(found, exact):
     return vectors.recall(found, exact).agg(F.avg("recall")).first()[0]
 
 
-def test_recall_and_what_is_read(spark, tmp_path):
+def test_recall_and_what_is_read(spark, tmp_path, monkeypatch):
     v = load(spark, data_dir("0.1"), "embeddings")
     q = vectors.query_set(v)
+    monkeypatch.setattr(pq, "SHELF_ROWS", 100)
     index = pq.StoredIvf.build(v, f"file://{tmp_path}/i")
+    assert index.codes.shelves == 20
     found, exact = index.search(q), vectors.knn_cosine(v, q)
     assert recall(found, exact) >= 0.9
     sims = {(r.query_id, r.vec_id): r.sim for r in exact.collect()}
     assert all(sims.get((r.query_id, r.vec_id), r.sim) == r.sim for r in found.collect())
     lists = [3, 5]
     read = index._read(index._state()[1], lists).select("vec_id", "code")
-    assert {re.search(r"list=(\d+)", r.f).group(1) for r in read.select(F.input_file_name().alias("f")).distinct().collect()} <= {"3", "5"}
+    assert {re.search(r"shelf=(\d+)", r.f).group(1) for r in read.select(F.input_file_name().alias("f")).distinct().collect()} <= {"3", "5"}
     plan = read._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "embedding" not in plan.split("ReadSchema")[1].split("\n")[0]
     again = pq.StoredIvf(spark, f"file://{tmp_path}/i")
