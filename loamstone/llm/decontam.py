@@ -24,6 +24,8 @@ through untouched.
 from __future__ import annotations
 
 import hashlib
+from array import array
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,46 +44,72 @@ BLOCK_WORDS = 500_000
 
 
 class Automaton:
-    """Generalised suffix automaton; states carry the items of their longest windows."""
+    """Generalised suffix automaton; states know the items of their longest windows.
+
+    It is built in dicts, on the driver, and then kept in flat arrays, which is what workers
+    get: transitions sorted by state and word, and lists of items by state. A block of
+    500,000 words takes some 50 MB so, of which a worker holds one copy.
+    """
 
     def __init__(self, items: list[tuple[str | None, list[int]]], window: int) -> None:
         self.window = window
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
+        self.link, self.length = array("i", [-1]), array("i", [0])
         for _, words in items:
             last = 0
             for w in words:
                 last = self._extend(last, w)
         #: For each state: the state of the window that ends a match there (-1: none).
         order = sorted(range(len(self.link)), key=self.length.__getitem__)
-        self.full = [-1] * len(order)
+        self.full = array("i", [-1]) * len(order)
         for s in order[1:]:
             up = self.link[s]
             self.full[s] = self.full[up] if self.length[up] >= window else (s if self.length[s] >= window else -1)
-        #: Short items: state -> [(words, items)]; each state also points to the nearest such state above it.
-        self.owners: dict[int, set[str | None]] = {}
-        self.short: dict[int, list[tuple[int, set[str | None]]]] = {}
+        #: Numbers of items by name, those of each window's state, and of short items (state, words); each state also points to the nearest short item's state above it.
+        self.names = list(dict.fromkeys(name for name, _ in items))
+        number = {name: k for k, name in enumerate(self.names)}
+        owners: set[tuple[int, int]] = set()
+        short: set[tuple[int, int, int]] = set()
         for name, words in items:
             if 0 < len(words) < window:
                 s = 0
                 for w in words:
                     s = self.next[s][w]
-                held = self.short.setdefault(s, [])
-                for n, names in held:
-                    if n == len(words):
-                        names.add(name)
-                        break
-                else:
-                    held.append((len(words), {name}))
+                short.add((s, len(words), number[name]))
                 continue
             s = n = 0
             for w in words:
-                s, n = self.step(s, n, w)
+                s, n = self._step(s, n, w)
                 if n >= window:
-                    self.owners.setdefault(self.full[s], set()).add(name)
-        self.above = [-1] * len(order)
+                    owners.add((self.full[s], number[name]))
+        rows = sorted(owners)
+        self.owner_from, self.owner = self._by_state([s for s, _ in rows]), array("i", [k for _, k in rows])
+        rows = sorted(short)
+        self.short_from, self.short_words, self.short = self._by_state([s for s, _, _ in rows]), array("i", [n for _, n, _ in rows]), array("i", [k for _, _, k in rows])
+        self.above = array("i", [-1]) * len(order)
         for s in order[1:]:
-            self.above[s] = self.link[s] if self.link[s] in self.short else self.above[self.link[s]]
+            up = self.link[s]
+            self.above[s] = up if self.short_from[up] < self.short_from[up + 1] else self.above[up]
+        self._flatten()
+
+    def _by_state(self, states: list[int]) -> array:
+        """Where each state's rows begin, of rows sorted by state."""
+        return array("i", np.searchsorted(np.array(states, np.int64), np.arange(len(self.link) + 1)).astype(np.int32).tobytes())
+
+    def _flatten(self) -> None:
+        """Transitions as arrays; those of the first state by word, as it has one for every word."""
+        self.root = array("i", [-1]) * (max(self.next[0], default=-1) + 1)
+        for w, to in self.next[0].items():
+            self.root[w] = to
+        self.edge_from, self.edge, self.edge_to = array("i", [0, 0]), array("i"), array("i")
+        for s in range(1, len(self.next)):
+            held = self.next[s]
+            for w in sorted(held) if len(held) > 1 else held:
+                self.edge.append(w)
+                self.edge_to.append(held[w])
+            self.edge_from.append(len(self.edge))
+            self.next[s] = None
+        del self.next
 
     def _extend(self, last: int, w: int) -> int:
         nxt, link, length = self.next, self.link, self.length
@@ -112,7 +140,8 @@ class Automaton:
             p = self.link[p]
         return twin
 
-    def step(self, state: int, length: int, w: int) -> tuple[int, int]:
+    def _step(self, state: int, length: int, w: int) -> tuple[int, int]:
+        """While it is built."""
         while state and w not in self.next[state]:
             state = self.link[state]
             length = self.length[state]
@@ -122,30 +151,39 @@ class Automaton:
     def scan(self, words: list[int]) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Hit word ranges (start, end), in order of end, and the items that occur."""
         spans: list[tuple[int, int]] = []
-        found: set[str | None] = set()
-        nxt, link, size, full, short, above = self.next, self.link, self.length, self.full, self.short, self.above
+        found: set[int] = set()
+        root, edge_from, edge, edge_to = self.root, self.edge_from, self.edge, self.edge_to
+        link, size, full, above, short_from = self.link, self.length, self.full, self.above, self.short_from
         state = length = 0
         for i, w in enumerate(words, 1):
-            to = nxt[state].get(w)
-            while to is None and state:
+            while state:
+                lo, hi = edge_from[state], edge_from[state + 1]
+                at = lo if hi - lo == 1 else bisect_left(edge, w, lo, hi)
+                if at < hi and edge[at] == w:
+                    state, length = edge_to[at], length + 1
+                    break
                 state = link[state]
                 length = size[state]
-                to = nxt[state].get(w)
-            if to is None:
-                continue
-            state, length = to, length + 1
+            else:
+                state = root[w]
+                if state < 0:
+                    state = length = 0
+                    continue
+                length = 1
             if length >= self.window:
                 spans.append((i - self.window, i))
-                found |= self.owners.get(full[state], set())
-            if short:
-                s = state if state in short else above[state]
+                s = full[state]
+                found.update(self.owner[self.owner_from[s] : self.owner_from[s + 1]])
+            if self.short:
+                s = state if short_from[state] < short_from[state + 1] else above[state]
                 while s >= 0:
-                    for n, names in short[s]:
+                    for k in range(short_from[s], short_from[s + 1]):
+                        n = self.short_words[k]
                         if n <= length:
                             spans.append((i - n, i))
-                            found |= names
+                            found.add(self.short[k])
                     s = above[s]
-        return spans, found
+        return spans, {self.names[k] for k in found}
 
 
 class Index:
