@@ -39,8 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstone.functions.vectors import cosine
-from loamstone.operators.vectors import _HIT, DIGITS, QUERY_BLOCK, Best, IvfIndex, _gathered, _matrix, _neighbours, _sample, _unit, top
+from loamstone.operators.vectors import _HIT, DIGITS, QUERY_BLOCK, Best, IvfIndex, _gathered, _hit_rows, _matrix, _neighbours, _sample, _unit, top
 from loamstone.sources.connectors import write_partitioned
 from loamstone.sources.manifest import Manifest
 from loamstone.sources.tables import broadcast_if_small, small_enough
@@ -238,8 +237,16 @@ class StoredIvf:
             yield best.batch(ids)
 
         judged = top(self._read(held, lists).select("list", "vec_id", "code").mapInArrow(run, _HIT), keep).select("query_id", "vec_id")
-        exact = judged.join(self._read(held, lists).select("vec_id", "embedding"), "vec_id").join(F.broadcast(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))), "query_id")
-        return top(exact.select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), DIGITS).alias("sim")), k)
+        def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, unit, _ = shared.value
+            for batch in batches:
+                if batch.num_rows:
+                    asked, other = batch.column("query_id").to_numpy(), batch.column("vec_id").to_numpy()
+                    sim = np.einsum("ij,ij->i", unit[np.searchsorted(ids, asked)], _unit(_matrix(batch.column("embedding"))))
+                    yield _hit_rows(asked, other, np.round(sim, DIGITS))
+
+        exact = judged.join(self._read(held, lists).select("vec_id", "embedding"), "vec_id")
+        return top(exact.select("query_id", "vec_id", "embedding").mapInArrow(compared, _HIT), k)
 
 
 def _known(vectors: DataFrame) -> DataFrame:
