@@ -4,7 +4,7 @@ Texts become unit vectors of (1 + ln tf) * ln(n / df) over FEATURES hashed words
 of them stays where the texts are: each pass multiplies A's own rows with a block of features x (dim + EXTRA)
 that is broadcast (19 MB at most, whatever the input), and tasks hand on sums by feature. `rounds` passes of
 A'A with an orthogonal basis kept in between, and one of the small product (AQ)'(AQ), whose eigenvectors turn the basis
-into A's right singular vectors. A text's embedding is its row times these, made a unit vector.
+into A's right singular vectors. Products are taken in pieces of CELLS numbers. A text's embedding is its row times these, made a unit vector.
 
 Defined results: texts without words, null ones too, have no embedding, nor has a row with a null id.
 A word of all texts has no weight. The fit depends on the texts alone, but for the order of floating-point sums.
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamstone.functions.text import tokenize
+from loamstone.operators import batches as B
 from loamstone.sources.tables import scratch
 
 FEATURES, EXTRA = 1 << 16, 10
@@ -40,13 +41,13 @@ class Lsa:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             idf, axes = shared.value
-            for batch in batches:
-                if batch.num_rows:
+            for whole in batches:
+                for batch in B.pieces(whole, "w"):
                     row, at, w = _weights(batch.column("w"), idf)
-                    out = _rows_sum(row, w[:, None] * axes[at], batch.num_rows)
+                    out = _add_products(np.zeros((batch.num_rows, axes.shape[1])), row, w, axes, at)
                     size = np.linalg.norm(out, axis=1, keepdims=True)
                     out = np.divide(out, size, out=np.zeros_like(out), where=size > 0).astype(np.float32)
-                    yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(list(out), pa.list_(pa.float32()))], names=["vec_id", "embedding"])
+                    yield pa.RecordBatch.from_arrays([batch.column("vec_id"), B.rows_of(out, pa.float32())], names=["vec_id", "embedding"])
 
         return _words(texts, id_col, text_col).mapInArrow(run, "vec_id long, embedding array<float>")
 
@@ -72,12 +73,13 @@ def _weights(words: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return row, at, np.divide(w, size[row], out=np.zeros_like(w), where=size[row] > 0)
 
 
-def _rows_sum(row: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the values' rows by sorted row numbers."""
-    out = np.zeros((n, values.shape[1]))
-    begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, int)
-    if len(begin):
-        out[row[begin]] = np.add.reduceat(values, begin, axis=0, dtype=float)
+def _add_products(out: np.ndarray, to: np.ndarray, w: np.ndarray, table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Adds w times the table's rows `at` to the rows `to` (rising) of out, no more than CELLS numbers at once."""
+    step = max(B.CELLS // max(table.shape[1], 1), 1)
+    for s in range(0, len(to), step):
+        own = to[s : s + step]
+        begin = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        out[own[begin]] += np.add.reduceat(w[s : s + step, None] * table[at[s : s + step]], begin, axis=0, dtype=float)
     return out
 
 
@@ -87,7 +89,7 @@ def fit(docs: DataFrame, dim: int = 64, *, rounds: int = 2, seed: int = 7, id_co
     path = scratch(spark, "lsa")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in B.pieces(whole, "w")):
             row, at, tf = _counted(batch.column("w"))
             cut = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(cut), pa.array(at.astype(np.int32))), pa.ListArray.from_arrays(pa.array(cut), pa.array(tf.astype(np.int32)))], names=["at", "tf"])
@@ -116,14 +118,14 @@ def fit(docs: DataFrame, dim: int = 64, *, rounds: int = 2, seed: int = 7, id_co
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q = shared.value
             total, seen = np.zeros(q.shape), np.zeros(FEATURES, bool)
-            for batch in batches:
+            for batch in (piece for whole in batches for piece in B.pieces(whole, "at")):
                 row, at, w = taken(batch)
-                y = _rows_sum(row, w[:, None] * q[at], batch.num_rows)
+                y = _add_products(np.zeros((batch.num_rows, q.shape[1])), row, w, q, at)
                 order = np.argsort(at, kind="stable")
-                total += _rows_sum(at[order], w[order, None] * y[row[order]], FEATURES)
+                _add_products(total, at[order], w[order], y, row[order])
                 seen[at] = True
             some = np.flatnonzero(seen)
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(list(total[some]), pa.list_(pa.float64()))], names=["at", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), B.rows_of(total[some], pa.float64())], names=["at", "v"])
 
         sums = rows.mapInArrow(run, "at int, v array<double>").groupBy("at").agg(F.array(*(F.sum(F.col("v")[k]) for k in range(basis.shape[1]))).alias("v"))
         out = np.zeros(basis.shape)
@@ -138,9 +140,9 @@ def fit(docs: DataFrame, dim: int = 64, *, rounds: int = 2, seed: int = 7, id_co
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q = shared.value
             total = np.zeros((q.shape[1], q.shape[1]))
-            for batch in batches:
+            for batch in (piece for whole in batches for piece in B.pieces(whole, "at")):
                 row, at, w = taken(batch)
-                y = _rows_sum(row, w[:, None] * q[at], batch.num_rows)
+                y = _add_products(np.zeros((batch.num_rows, q.shape[1])), row, w, q, at)
                 total += y.T @ y
             yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], names=["v"])
 

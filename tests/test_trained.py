@@ -78,3 +78,30 @@ def test_sketches_merge_in_any_order(spark, tmp_path):
     users = {g: {r.who for r in rows.where(F.col("g") == g).select("who").distinct().collect()} for g in "xy"}
     assert [(r.a, r.b) for r in both] == [("x", "y")] and abs(both[0].ids - len(users["x"] & users["y"])) <= 0.1 * len(users["x"] | users["y"])
     assert SketchStore(spark, f"file://{tmp_path}/none", time_col="ts", group_col="g", id_col="who", value_col="v").summary().count() == 0
+
+
+def test_products_are_taken_in_pieces(monkeypatch):
+    """2,000 rows of 200 features by 74 columns would be 237 MB at once."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    row, at, w = np.repeat(np.arange(2000), 200), rng.integers(0, 5000, 400_000), rng.random(400_000)
+    table = rng.random((5000, 74)).astype(np.float32)
+    tracemalloc.start()
+    out = lsa._add_products(np.zeros((2000, 74)), row, w, table, at)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6
+    assert np.allclose(out[1999], w[-200:] @ table[at[-200:]])
+    monkeypatch.setattr(lsa.B, "CELLS", 740)
+    assert np.allclose(out, lsa._add_products(np.zeros((2000, 74)), row, w, table, at))
+
+
+def test_batches_are_cut_by_their_lists():
+    import pyarrow as pa
+
+    lists = [[1] * k for k in (0, 3, 2, 0, 9, 1, 1, 0)]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(lists)], names=["id", "w"]).slice(1)
+    parts = list(lsa.B.pieces(whole, "w", 5))
+    assert [i for p in parts for i in p.column("id").to_pylist()] == list(range(1, 8)) and [p.num_rows for p in parts] == [3, 1, 3]
+    assert not list(lsa.B.pieces(whole.slice(7), "w", 5))
