@@ -1,6 +1,7 @@
 """Larger query sets take other plans with the same results; approximate search finds what it says."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from harness import data_dir
 from pyspark.sql import functions as F
@@ -117,3 +118,35 @@ def test_broadcasts_are_checked_by_rows_and_bytes(spark):
     wide = spark.range(100).select("id", F.lit("x" * 1000).alias("s"), F.array(F.lit(1.0), F.lit(2.0)).alias("a"), F.struct(F.lit("y" * 50).alias("t")).alias("z"))
     assert small_enough(wide, 100, 200_000) and not small_enough(wide, 99) and not small_enough(wide, 100, 100_000)
     assert small_enough(wide.limit(0), 0, 0)
+
+
+@pytest.mark.parametrize("find", [lambda v, q: vectors.IvfIndex(v).search(q), vectors.ann_lsh])
+def test_many_queries_meet_vectors_in_blocks(spark, monkeypatch, find):
+    """Candidates aren't joined pair by pair, and blocks change no result."""
+    v = load(spark, data_dir("0.01"), "embeddings")
+    q = vectors.query_set(v)
+    one = rows(find(v, q))
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 7)
+    many = find(v, q)
+    assert "Join" not in many._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(many) == one and one
+
+
+def test_comparisons_are_bounded_in_memory():
+    """4,096 queries against a batch of 10,000 vectors would be 328 MB a matrix."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    ids, unit = np.arange(4096), vectors._unit(rng.standard_normal((4096, 16)))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), pa.array(list(rng.standard_normal((10_000, 16)).astype(np.float32)), pa.list_(pa.float32()))], names=["vec_id", "embedding"])
+    keep = vectors.Best(4096, 10)
+    tracemalloc.start()
+    vectors._exact(True)(ids, unit)(batch, keep)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 250e6
+    sim, other = vectors._compared(ids[:5], unit[:5], batch, True)
+    got = keep.batch(ids).to_pandas()
+    for i in range(5):
+        want = np.lexsort((other, -sim[i]))[:10]
+        assert got[got.query_id == i].sort_values(["sim", "vec_id"], ascending=[False, True]).vec_id.tolist() == other[want].tolist()
