@@ -105,3 +105,17 @@ def test_batches_are_cut_by_their_lists():
     parts = list(lsa.B.pieces(whole, "w", 5))
     assert [i for p in parts for i in p.column("id").to_pylist()] == list(range(1, 8)) and [p.num_rows for p in parts] == [3, 1, 3]
     assert not list(lsa.B.pieces(whole.slice(7), "w", 5))
+
+
+def test_figures_of_many_ids_are_exact(spark, tmp_path):
+    """7,500 users of two kinds of events, above what a sketch holds."""
+    import __spark_entry__ as entry
+
+    e = spark.range(40_000).select(F.col("id").alias("event_id"), F.expr("timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, cast(id % 30 as int))").alias("ts"), (F.col("id") % 9001).alias("user_id"), F.when(F.col("id") % 4 == 0, "x").when(F.col("id") < 30_000, "y").otherwise("z").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"))
+    e.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    days = e.where("ts >= '2024-01-03' and ts < '2024-01-20'")
+    by = {k: {r.user_id for r in days.where(F.col("event_type") == k).select("user_id").distinct().collect()} for k in "xyz"}
+    queries, n = entry.queries(), {r.event_type: r["count"] for r in days.groupBy("event_type").count().collect()}
+    assert {r.grp: (r.n, r.users) for r in queries["agg_sketches"](spark, f"file://{tmp_path}").collect()} == {k: (n[k], len(by[k])) for k in "xyz"}
+    got = {(r.a, r.b): r.ids for r in queries["agg_sketch_overlap"](spark, f"file://{tmp_path}").collect()}
+    assert got == {p: len(by[p[0]] & by[p[1]]) for p in (("x", "y"), ("x", "z"), ("y", "z"))} and max(map(len, by.values())) > 4096
