@@ -6,6 +6,7 @@ watermark is ignored and all windows are closed.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Any
 
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from loamstone.sources.tables import fresh
+
 DELAY = "10 minutes"
 
 
@@ -44,44 +47,65 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 
 class FirstWithin(StatefulProcessor):
-    """Rows of a key, in order of time, that come no sooner than the delay after the last one kept; state goes once the watermark is past it."""
+    """Rows of a key, in order of time, that come no sooner than the delay after the last one kept; a key goes from the state once the watermark is past it.
+
+    Keys (texts in the column `key`) come in buckets, whose state is one value, so that Python is called once a bucket and not once a key.
+    """
 
-    def __init__(self, delay: str, columns: list[str]) -> None:
-        self.delay, self.columns = pd.Timedelta(delay), columns
+    def __init__(self, delay: str, key: str, bucket: str, columns: list[str]) -> None:
+        self.step, self.key, self.bucket, self.columns = pd.Timedelta(delay) // pd.Timedelta("1us"), key, bucket, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("last", "at long")
+        self.state = handle.getValueState("last", "held string")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        step = self.delay // pd.Timedelta("1us")
-        before = self.state.get()[0] if self.state.exists() else None
-        last, kept = before, []
-        some = pd.concat(list(rows)).sort_values(["ts", *(c for c in self.columns if c != "ts")], kind="stable", ignore_index=True)
-        for i, t in enumerate(some["ts"].astype("datetime64[us]").astype("int64").tolist()):
-            if last is None or abs(t - last) >= step:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        last = {k: t for k, t in self._held().items() if t + self.step >= mark}
+        # Names that begin with an underscore come changed, so columns go by their places.
+        some = pd.concat(list(rows)).set_axis([*self.columns, self.key, self.bucket], axis=1)
+        some = some.sort_values(["ts", *(c for c in self.columns if c != "ts")], kind="stable", ignore_index=True)
+        kept = []
+        for i, (k, t) in enumerate(zip(some[self.key].tolist(), some["ts"].astype("datetime64[us]").astype("int64").tolist(), strict=True)):
+            before = last.get(k)
+            if before is None or abs(t - before) >= self.step:
                 kept.append(i)
-                last = t if last is None else max(last, t)
-        if last != before:
-            self.state.update((last,))
-            for at in list(self.handle.listTimers()):
-                self.handle.deleteTimer(at[0] if isinstance(at, tuple) else at)
-            self.handle.registerTimer((last + step) // 1000 + 1)
+                last[k] = t if before is None else max(before, t)
+        self._hold(last)
         if kept:
             yield some.iloc[kept][self.columns]
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        self.state.clear()
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        self._hold({k: t for k, t in self._held().items() if t + self.step >= mark})
         return iter(())
 
+    def _held(self) -> dict[str, int]:
+        return json.loads(self.state.get()[0]) if self.state.exists() else {}
+
+    def _hold(self, last: dict[str, int]) -> None:
+        """Keep the state, and a timer for when all of it is over."""
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at[0] if isinstance(at, tuple) else at)
+        if last:
+            self.state.update((json.dumps(last),))
+            self.handle.registerTimer((max(last.values()) + self.step) // 1000 + 1)
+        else:
+            self.state.clear()
+
     def close(self) -> None:
         pass
 
 
-def dedup(events: DataFrame, *keys: str, delay: str = DELAY) -> DataFrame:
-    """Rows but those less than the delay after the last kept row of their key (needs the RocksDB state store); a stream's files should rise in time."""
+def dedup(events: DataFrame, *keys: str, delay: str = DELAY, buckets: int = 1024) -> DataFrame:
+    """Rows but those less than the delay after the last kept row of their key (needs the RocksDB state store); a stream's files should rise in time.
+
+    A bucket's rows of a micro-batch are one frame; a checkpoint keeps its number of buckets.
+    """
     timed = event_time(events, delay)
-    return timed.groupBy(*keys).transformWithStateInPandas(FirstWithin(delay, timed.columns), timed.schema, "Append", "EventTime")
+    key, bucket = fresh("__key", timed), fresh("__bucket", timed)
+    named = timed.withColumn(key, F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})).withColumn(bucket, F.pmod(F.xxhash64(key), F.lit(buckets)))
+    return named.groupBy(bucket).transformWithStateInPandas(FirstWithin(delay, key, bucket, timed.columns), timed.schema, "Append", "EventTime")
 
 
 def view_then_purchase(events: DataFrame, within: str = "1 hour") -> DataFrame:

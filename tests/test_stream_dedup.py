@@ -40,3 +40,19 @@ def test_registered_query_keeps_what_repeats_nothing(spark):
                 want.add(i)
                 last = t
     assert {r.event_id for r in QUERIES["st_dedup"](spark, data("0.001")).collect()} == want and len(want) > len(by)
+
+
+@pytest.mark.parametrize("buckets", [1, 64])
+def test_keys_share_calls_and_state(spark, tmp_path, buckets):
+    """2,000 keys in a bucket are one call a micro-batch; null keys are keys too."""
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    keys = [None, *range(2000)]
+    schema = "event_id long, k long, ts timestamp"
+    for i, m in enumerate((0, 6, 12)):
+        spark.createDataFrame([(10_000 * i + n, k, at(m)) for n, k in enumerate(keys)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", RocksDB)
+    try:
+        got = E.run_once(E.dedup(E.stream_files(spark, f"{tmp_path}/in", schema, 1), "k", buckets=buckets), f"{tmp_path}/out").collect()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert sorted(r.event_id for r in got) == sorted(10_000 * i + n for i in (0, 2) for n in range(2001))
