@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from loamstone.sources.tables import broadcast_if_small, fresh
+from loamstone.sources.tables import broadcast_if_small, fresh, row_bytes
 
 
 class _Range(InputPartition):
@@ -97,11 +97,11 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(RowGroupSource)
 
 
-def write_partitioned(df: DataFrame, path: str, *by: str, rows_a_file: int = 1_000_000, sort: tuple[str, ...] = ()) -> None:
-    """One folder a key, files sorted by some columns if asked. Rows of a key are brought together in as many tasks as its count asks for, so that small keys make one file and large ones don't end in one task."""
+def write_partitioned(df: DataFrame, path: str, *by: str, rows_a_file: int = 1_000_000, bytes_a_file: int = 128 << 20, sort: tuple[str, ...] = ()) -> None:
+    """One folder a key, files sorted by some columns if asked. Rows of a key are brought together in as many tasks as its count and bytes ask for, so that small keys make one file and large ones don't end in one task."""
     k, n = fresh("__key", df), fresh("__n", df)
     key = F.struct(*by).alias(k)
-    sizes = broadcast_if_small(df.groupBy(key).agg(F.ceil(F.count("*") / rows_a_file).alias(n)), 100_000)
+    sizes = broadcast_if_small(df.groupBy(key).agg(F.greatest(F.ceil(F.count("*") / rows_a_file), F.ceil(F.sum(row_bytes(df)) / bytes_a_file)).alias(n)), 100_000)
     dealt = df.withColumn(k, key).join(sizes, k).repartition(k, F.pmod(F.xxhash64(*df.columns), F.col(n)))
     rows = dealt.select(*df.columns)
     rows = rows.sortWithinPartitions(*by, *sort) if sort else rows

@@ -161,3 +161,13 @@ def test_words_of_a_phrase_are_split_out_once_a_text(spark):
     assert {r.doc_id: r.n for r in lexical.phrase_match(docs, "of the").collect()} == {1: 13_001, 5: 2}
     assert {r.doc_id: r.n for r in lexical.phrase_match(spark.createDataFrame([(1, "a a a")], "doc_id long, text string"), "a a").collect()} == {1: 2}
     assert time.time() - start < 60
+
+
+def test_writers_of_a_key_follow_its_bytes(spark, tmp_path):
+    df = spark.range(200).select("id", F.lit("hot").alias("k"), F.repeat(F.lit("x"), 10_000).alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        connectors.write_partitioned(df, f"file://{tmp_path}/t", "k", bytes_a_file=100_000)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "t" / "k=hot").glob("*.parquet"))) > 4 and spark.read.parquet(f"file://{tmp_path}/t").count() == 200
