@@ -8,7 +8,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstone.sources.tables import SCHEMAS, load, scratch
+from loamstone.sources.tables import SCHEMAS, load, row_bytes, scratch
 from loamstone.sources.upsert import UpsertTable
 from loamstone.streaming import events as E
 from loamstone.streaming import index
@@ -42,6 +42,11 @@ def _arriving(spark: SparkSession, parts: list[DataFrame], files: int, name: str
     return path
 
 
+def _files(df: DataFrame, bytes_a_file: int = 64 << 20) -> int:
+    """How many files a part of a stream takes: four, more as its bytes ask for."""
+    return max(4, -(-(df.agg(F.sum(row_bytes(df))).first()[0] or 0) // bytes_a_file))
+
+
 def _stream(spark: SparkSession, d: str, files: int = 4) -> DataFrame:
     """events as a stream, in files of rising time, one a micro-batch."""
     path = scratch(spark, "events")
@@ -171,7 +176,8 @@ FROM (SELECT doc_id, text, unnest(range(greatest(1, CAST(ceil((length(text) - 10
       FROM (SELECT doc_id, CASE lang WHEN 'fr' THEN 'v2 ' || text WHEN 'de' THEN '' ELSE text END AS text FROM documents WHERE lang <> 'es') WHERE length(text) > 0)""")
 def st_index(spark, d):
     """documents as a stream of files into a chunk index; then French ones revised, German ones emptied, Spanish ones deleted; its current chunks."""
-    files, docs = 4, load(spark, d, "documents").select("doc_id", "lang", "text", F.lit(1).alias("v"), F.lit(False).alias("gone"))
+    docs = load(spark, d, "documents").select("doc_id", "lang", "text", F.lit(1).alias("v"), F.lit(False).alias("gone"))
+    files = _files(docs)
     changed = docs.where("lang <> 'en'").withColumns({"v": F.lit(3), "gone": F.col("lang") == "es", "text": F.expr("case lang when 'fr' then 'v2 ' || text when 'de' then '' else text end")})
     stale = docs.where("lang <> 'en'").withColumns({"v": F.lit(2), "text": F.concat(F.lit("stale and longer "), "text")})
     path, out = _arriving(spark, [docs, changed.union(stale)], files, "docs"), scratch(spark, "index")

@@ -171,3 +171,10 @@ def test_writers_of_a_key_follow_its_bytes(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(list((tmp_path / "t" / "k=hot").glob("*.parquet"))) > 4 and spark.read.parquet(f"file://{tmp_path}/t").count() == 200
+
+
+def test_files_of_a_stream_follow_its_bytes(spark):
+    from loamstone.queries.streams import _files
+
+    df = spark.range(100).select("id", F.repeat(F.lit("x"), 10_000).alias("text"))
+    assert _files(df) == 4 and _files(df, 100_000) >= 10 and _files(df.limit(0)) == 4
