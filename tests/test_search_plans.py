@@ -48,6 +48,49 @@ def test_vector_blocks_agree(spark):
     assert vectors.knn_cosine(v, q.limit(0), 10).count() == 0
 
 
+def test_few_pairs_are_ranked_by_built_in_functions(spark, monkeypatch):
+    v = load(spark, data_dir("0.1"), "embeddings")
+    q, ranked, top = vectors.query_set(v), [], vectors.top
+    monkeypatch.setattr(vectors, "top", lambda hits, k: ranked.append(hits) or top(hits, k))
+    found = rows(vectors.knn_sql(v, q, 5))
+    assert sum(h.count() for h in ranked) < v.count() * q.count() / 5
+    monkeypatch.undo()
+    assert found == rows(vectors.knn_cosine(v, q, 5)) and len(found) == 500
+
+
+@pytest.mark.parametrize("shape", [{}, {"query_block": 7, "pairs": 500}])
+def test_copies_and_vectors_without_length_by_built_in_functions(spark, shape):
+    """400 copies of one vector, 100 times its double, zeros, nulls and 300 others; the k best of many equal ones are those of the smallest ids."""
+    x = np.random.default_rng(3).normal(size=(300, 6)).round(3).tolist()
+    all_of = [x[0]] * 400 + [[2 * y for y in x[0]]] * 100 + [[0.0] * 6] * 9 + x
+    v = spark.createDataFrame([((i * 7919) % 1009, e) for i, e in enumerate(all_of)], "vec_id long, embedding array<float>")
+    q = vectors.query_set(v)
+    got = rows(vectors.knn_sql(v, q, 4, **shape))
+    assert got == rows(vectors.knn_cosine(v, q, 4)) and len(got) == 4 * q.count()
+    none = spark.createDataFrame([(5000, None), (5001, [1.0, None] + [0.0] * 4)], v.schema)
+    assert got == rows(vectors.knn_sql(v.union(none), q, 4, **shape))
+    assert vectors.knn_sql(v.limit(0), q).count() == vectors.knn_sql(v, q.limit(0)).count() == 0
+    assert vectors.knn_sql(v.limit(3), v.limit(3), 9).count() == 6
+
+
+def test_wide_odd_and_repeated_vectors_by_built_in_functions(spark):
+    x = np.random.default_rng(5).normal(size=(300, 131)).round(3).tolist()
+    v = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<float>")
+    q = vectors.query_set(v)
+    exact = rows(vectors.knn_cosine(v, q, 4))
+    assert rows(vectors.knn_sql(v, q, 4)) == exact
+    twice = rows(vectors.knn_sql(v.union(v), q, 8).select("query_id", "vec_id", "sim"))
+    assert twice == sorted(r[:3] for r in exact for _ in range(2))
+    odd = spark.createDataFrame([(1001, [float("nan")] * 131)], v.schema)
+    assert [r[1] for r in rows(vectors.knn_sql(v.union(odd), q, 1))] == [1001] * q.count()
+
+
+def test_ragged_vectors_raise(spark):
+    v = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0]), (2, [2.0, 1.0])], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="hasn't 2 entries"):
+        vectors.knn_sql(v, vectors.query_set(v), 1).collect()
+
+
 @pytest.mark.parametrize("find", [lambda v, q: vectors.IvfIndex(v).search(q), vectors.ann_lsh])
 def test_recall_at_the_larger_scale(spark, find):
     v = load(spark, data_dir("0.1"), "embeddings")
