@@ -7,6 +7,7 @@ import pytest
 from harness import data_dir
 from pyspark.sql import functions as F
 
+from loamstone.functions.text import tokenize
 from loamstone.operators import inverted, lexical
 from loamstone.operators.inverted import InvertedIndex
 from loamstone.sources.manifest import Manifest, Store
@@ -146,6 +147,72 @@ def test_phrases(spark, tmp_path, small_ranges):
         assert {(r.doc_id, r.n) for r in index.phrases(spark.createDataFrame([(1, words)], "item_id long, text string")).collect()} == want
 
 
+def test_postings_travel_by_bucket_and_range(spark, tmp_path, monkeypatch):
+    """Additions and merges deal a row for each bucket and range of a million words, not one for each word of each document."""
+    dealt, real = [], inverted._blocks
+
+    def counted(rows_of_words, files):
+        dealt.append(rows_of_words.count())
+        return real(rows_of_words, files)
+
+    monkeypatch.setattr(inverted, "_blocks", counted)
+    docs = load(spark, data_dir("0.001"), "documents").select("doc_id", "text")
+    postings = lexical.postings(docs).count()
+    index = InvertedIndex(spark, f"file://{tmp_path}/i")
+    index.add(docs)
+    index.delete(docs.where("doc_id % 7 = 1"))
+    assert index.merge()
+    assert len(dealt) == 2 and all(0 < n < postings / 20 for n in dealt), (dealt, postings)
+
+
+@pytest.mark.parametrize("most", [1, 700])
+def test_texts_in_pieces_and_any_order(spark, tmp_path, monkeypatch, small_ranges, most):
+    """Ids that come mixed, in pieces of a few words put in order in several turns: the same hits, positions and lengths, also once merged."""
+    monkeypatch.setattr(inverted, "WORDS", most)
+    monkeypatch.setattr(inverted, "MOST_PLACES", 3 * most)
+    docs = load(spark, data_dir("0.001"), "documents").select(((F.col("doc_id") * 7919) % 10_007 - 5_000).alias("doc_id"), F.substring("text", 1, 400).alias("text")).repartition(3)
+    docs = docs.unionByName(spark.createDataFrame([(2**63 - 1, "of the été of the"), (-(2**63), "of the 数 of"), (2**53 + 1, "")], "doc_id long, text string")).localCheckpoint()
+    bench = load(spark, data_dir("0.001"), "benchmark").unionByName(spark.createDataFrame([(-1, "été 数 the")], "item_id long, text string"))
+    asked = spark.createDataFrame([(1, "of the")], "item_id long, text string")
+    index = InvertedIndex(spark, f"file://{tmp_path}/i")
+    index.add(docs)
+
+    def same(held):
+        assert rows(index.bm25(bench, 7)) == rows(lexical.bm25_topk(held, bench, 7))
+        assert {(r.doc_id, r.n) for r in index.phrases(asked).collect()} == {(r.doc_id, r.n) for r in lexical.phrase_match(held, "of the").collect()}
+        state = index._state()[1]
+        assert rows(index._docs(state).select("doc_id", "len")) == rows(held.select("doc_id", F.size(tokenize("text")).alias("len")).where("len > 0"))
+
+    same(docs)
+    index.delete(docs.where("doc_id % 3 = 0"))
+    held = docs.where("doc_id % 3 <> 0")
+    same(held)
+    assert index.merge()
+    same(held)
+    assert index.merge() and index.merge()
+    same(held)
+
+
+def test_order_by_two_keys():
+    rng = np.random.default_rng(2)
+    for ids in (rng.integers(-50, 50, 999), rng.integers(-(2**63), 2**63 - 1, 999), np.array([2**63 - 1, -(2**63), 0])):
+        words = rng.integers(0, 9, len(ids))
+        order = inverted._sorted(words, ids)
+        assert sorted(order.tolist()) == list(range(len(ids))) and list(zip(words[order], ids[order], strict=True)) == sorted(zip(words, ids, strict=True))
+
+
+def test_words_are_in_the_buckets_they_are_looked_for_in(spark, tmp_path):
+    import pyarrow as pa
+
+    words = ["a", "été", "数", "x" * 70, "1", "ß"]
+    want = [r.b for r in spark.createDataFrame([(w,) for w in words], "term string").select(inverted.bucket_of().alias("b")).collect()]
+    assert inverted._buckets(pa.array(words), inverted.BUCKETS).tolist() == want
+    index = InvertedIndex(spark, f"file://{tmp_path}/i")
+    index.manifest.publish(1, {"segments": [], "gone": [], "docs": 0, "words": 0})  # of before, when another hash dealt the words
+    with pytest.raises(ValueError):
+        index.merge()
+
+
 def test_a_version_has_one_writer(spark, tmp_path, monkeypatch):
     one = Manifest(spark, f"file://{tmp_path}/m")
     assert one.last() == (0, {}) and one.publish(1, {"a": 1}) and not one.publish(1, {"a": 2}) and one.last() == (1, {"a": 1})
